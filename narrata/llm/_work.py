@@ -56,3 +56,14 @@ def let(value, body) -> F.Column:
 def hash_unit(*cols) -> F.Column:
     """A number in [0, 1) fixed by the values of ``cols``."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / float(1 << 53)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` already has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -3,7 +3,8 @@
 A text becomes a unit vector of hashed letter n-grams (1 to 3, words set apart by a space), weighted
 ``log(1 + count) * idf``. Each language has several centroids, found by spherical k-means over its own training vectors.
 A text gets the language of the nearest centroid by cosine; the cosine is the score. A text that lies
-further from every centroid than texts of its length did in training, with slack, is rejected.
+further from every centroid than texts of its length did in training, with slack, is rejected; of fewer than 16 letters,
+only one without any is.
 
 The model is fitted on a bounded sample: at most about ``per_lang`` documents of a language (expected number,
 picked by a hash of the id), which the driver receives as sparse vectors. Scoring runs over all rows.
@@ -29,6 +30,7 @@ from narrata.llm._work import hash_unit
 DIMS = 1 << 13
 _PART = 1 << 18
 _SMALL = 24  #: length classes: powers of two of the letters
+_TOO_SHORT = 4  #: texts of fewer than 2 ** 4 letters are too short to be rejected by distance
 UNDETERMINED = "und"
 
 _LETTER: list[np.ndarray] = []
@@ -159,6 +161,7 @@ def fit(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str
     near, size = (x @ model.centroids.T).max(1), _length(letters)
     for k in range(_SMALL):  # texts at most as long are the yardstick; what is longer lies nearer
         model.least[k] = slack * near[size >= k].min() if (size >= k).any() else model.least[k - 1]
+    model.least[:_TOO_SHORT] = 0
     return model
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narrata.llm._work import materialize, word_count
+from narrata.llm._work import fresh, materialize, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -86,17 +86,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns, each as often as it is taken."""
     taken = materialize(mix(docs, id_col, text_col, **options), "taken")
-    copies = taken.select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    here = F.col(id_col).eqNullSafe(F.col("_id"))
+    i, z, c, k, mz, mk, n = fresh(docs, "_id", "_size", "_copies", "_place", "_mysize", "_myplace", "_copy")
+    copies = taken.select(F.col("id").alias(i), F.col("size").alias(z), F.col("copies").alias(c))
+    here = F.col(id_col).eqNullSafe(F.col(i))
     if taken.groupBy("id").count().where("count > 1").isEmpty():
-        rows = docs.join(copies.where("_copies > 0").drop("_size"), here)
+        rows = docs.join(copies.where(F.col(c) > 0).drop(z), here)
     else:  # rows that share an id are told apart by size and place
-        place = W.partitionBy("_id", "_size").orderBy(F.desc("_copies"))
-        copies = copies.withColumn("_place", F.row_number().over(place)).where("_copies > 0")
-        mine = docs.withColumn("_mysize", word_count(F.col(text_col)))
-        mine = mine.withColumn("_myplace", F.row_number().over(W.partitionBy(id_col, "_mysize").orderBy(text_col)))
-        rows = mine.join(copies, here & (F.col("_mysize") == F.col("_size")) & (F.col("_myplace") == F.col("_place")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        copies = copies.withColumn(k, F.row_number().over(W.partitionBy(i, z).orderBy(F.desc(c)))).where(F.col(c) > 0)
+        mine = docs.withColumn(mz, word_count(F.col(text_col)))
+        mine = mine.withColumn(mk, F.row_number().over(W.partitionBy(id_col, mz).orderBy(text_col)))
+        rows = mine.join(copies, here & (F.col(mz) == F.col(z)) & (F.col(mk) == F.col(k)))
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(c).cast("int")))).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 ORACLE = """

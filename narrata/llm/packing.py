@@ -1,12 +1,11 @@
 """Mixture-controlled packing of token sequences by deficit round-robin over source queues.
 
-In each round a source is given its share of one window as quantum; it serves its next packet (at most
-``packet`` tokens of a document) once its saved-up quanta cover it, and what it can't use yet stays as its
-deficit for the rounds to come. As a deficit never resets while documents wait, the round in which a packet is
-served is known at once: ``ceil(tokens of the source up to the packet's end / quantum)``. So the whole
-schedule is prefix sums: deficits carry over windows and partitions without any sequential task. Packets
-in the order (round, source, place) fill the windows one after the other, cut where a window ends, so
-only the last sequence is short.
+In each round a source is given its share of one window as quantum. It serves what its saved-up quanta cover,
+cutting documents where they end, and the rest of a token stays as its deficit for the rounds to come; a source whose quantum is
+under ``least_piece`` tokens saves up until it can serve that many. As a deficit never resets while documents wait, the
+round in which a packet is served is known at once: ``ceil(tokens of the source up to the packet's end / quantum)``. So
+the whole schedule is prefix sums: deficits carry over windows and partitions without any sequential task. Packets in
+the order (round, source, place) fill the windows one after the other, so only the last sequence is short.
 
 Quanta follow ``targets`` (source to weight) or, without them, each source's share of all tokens, so
 that every window holds the corpus's own proportions to the end. With targets, a source that runs dry leaves
@@ -37,7 +36,7 @@ from narrata.llm._work import hash_unit, materialize
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 WINDOW = 4096
-PACKET = 512
+LEAST_PIECE = 128
 
 # Latin-1 letters, numbers and white space, the only characters of the quick route.
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -121,7 +120,7 @@ def _running(df: DataFrame, block: str, value: str, into: str) -> DataFrame:
     return sums.withColumn("within", within).join(upper, "over").select(block, (F.col("base") + F.col("within")).alias(into))
 
 
-def schedule(tokens: DataFrame, window: int = WINDOW, packet: int = PACKET, targets: dict[str, float] | None = None, part_rows: int = 4096, part_rounds: int = 64) -> DataFrame:
+def schedule(tokens: DataFrame, window: int = WINDOW, least_piece: int = LEAST_PIECE, targets: dict[str, float] | None = None, part_rows: int = 4096, part_rounds: int = 64) -> DataFrame:
     """(row, start, length, sequence_id, offset) for every piece of (row, id, source, n, crc)."""
     rows = tokens.select("row", "id", "source", "n", "crc")
     by_source = materialize(rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")), "queues")
@@ -141,15 +140,19 @@ def schedule(tokens: DataFrame, window: int = WINDOW, packet: int = PACKET, targ
     run = W.partitionBy("source", "part").orderBy("h", "id", "crc", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("within", F.coalesce(F.sum("n").over(run), F.lit(0)))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("bs")) & (F.col("part") == F.col("bp")))
-    first = F.col("base") + F.col("within")
-    packets = placed.select("row", "n", "turn", "quantum", first.alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(packet).cast("long"))).alias("start"))
-    packets = packets.withColumn("length", F.least(F.lit(packet).cast("long"), F.col("n") - F.col("start"))).withColumn("end", F.col("first") + F.col("start") + F.col("length"))
-    packets = packets.withColumn("round", F.ceil(F.col("end") / F.col("quantum"))).withColumn("block", F.floor(F.col("round") / part_rounds)).drop("n", "quantum", "first")
-    packets = materialize(packets, "packets")
+    placed = placed.select("row", "n", "turn", "quantum", (F.col("base") + F.col("within")).alias("first"), F.greatest("quantum", F.lit(float(least_piece))).alias("packet"))
+    # the k-th packet of a queue ends at floor(k * packet); rounding can't part or overlap neighbours
+    end = F.col("first") + F.col("n")
+    span = F.sequence(F.ceil((F.col("first") + 1) / F.col("packet")) - 1, F.ceil(end / F.col("packet")) + 1)
+    packets = placed.select("row", "turn", "quantum", "packet", "first", end.alias("last"), F.explode(span).alias("k"))
+    packets = packets.withColumn("from", F.greatest("first", F.floor((F.col("k") - 1) * F.col("packet")))).withColumn("to", F.least("last", F.floor(F.col("k") * F.col("packet")))).where("`to` > `from`")
+    packets = packets.select("row", "turn", "to", (F.col("from") - F.col("first")).alias("start"), (F.col("to") - F.col("from")).alias("length"), F.ceil(F.col("k") * F.col("packet") / F.col("quantum") - 1e-6).alias("round"))
+    packets = materialize(packets.withColumn("block", F.floor(F.col("round") / part_rounds)), "packets")
     bases = _running(packets, "block", "length", "base").withColumnRenamed("block", "bb")
-    run = W.partitionBy("block").orderBy("round", "turn", "end", "row").rowsBetween(W.unboundedPreceding, -1)
+    run = W.partitionBy("block").orderBy("round", "turn", "to", "row").rowsBetween(W.unboundedPreceding, -1)
     stream = packets.withColumn("within", F.coalesce(F.sum("length").over(run), F.lit(0))).join(bases, F.col("block") == F.col("bb"))
     stream = stream.withColumn("g", F.col("base") + F.col("within"))
+    # a packet is no longer than a window, so at most one window ends within it
     room = F.lit(window) - F.col("g") % window
     piece = lambda start, length, g: F.struct(start.alias("start"), length.alias("length"), F.floor(g / window).cast("long").alias("sequence_id"), (g % window).alias("offset"))
     one = F.array(piece(F.col("start"), F.col("length"), F.col("g")))
@@ -157,13 +160,13 @@ def schedule(tokens: DataFrame, window: int = WINDOW, packet: int = PACKET, targ
     return stream.select("row", F.explode(F.when(F.col("length") <= room, one).otherwise(two)).alias("p")).select("row", "p.*")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str | None = None, end_id: int = END_ID, window: int = WINDOW, packet: int = PACKET, targets: dict[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str | None = None, end_id: int = END_ID, window: int = WINDOW, least_piece: int = LEAST_PIECE, targets: dict[str, float] | None = None) -> DataFrame:
     """(id, source, start, length, ids, doc_tokens, sequence_id, offset): every piece with its ids (binary, 2 or 4
     bytes each, little-endian, by ``wide``)."""
-    if packet > window:
-        raise ValueError("a packet is no longer than a window")
+    if least_piece > window:
+        raise ValueError("a piece is no longer than a window")
     tokens = tokenize(docs, id_col, text_col, source_col, path, end_id)
-    pieces = schedule(tokens, window, packet, targets).groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+    pieces = schedule(tokens, window, least_piece, targets).groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     held = tokens.select("row", "id", "source", F.col("n").alias("doc_tokens"), "wide", "ids").join(pieces, "row")
     each = F.col("p.length") * F.when(F.col("wide"), 4).otherwise(2)
     from_ = F.col("p.start") * F.when(F.col("wide"), 4).otherwise(2) + 1

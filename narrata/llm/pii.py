@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narrata.llm._work import let, materialize
+from narrata.llm._work import fresh, let, materialize
 
 # Titles by gender, and names of each gender and script from which surrogates are drawn.
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|господин|г-н"
@@ -96,22 +96,22 @@ def _letters(x, stream) -> F.Column:
             .otherwise(c)
         )
 
-    return F.concat_ws("", F.transform(F.split(x, "(?!^)"), one))
+    return F.concat_ws("", F.transform(F.split(x, ""), one))
 
 
 def _checksum(digits) -> F.Column:
     """Sum of a card number's digits, every second from the right doubled; 0 modulo 10 if it is well formed."""
     def add(c, i):
-        d = c.cast("int")
+        d = c.try_cast("int")
         twice = d * 2
         return F.when(i % 2 == 1, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
 
-    return F.aggregate(F.transform(F.split(F.reverse(digits), "(?!^)"), add), F.lit(0), lambda a, x: a + x)
+    return F.aggregate(F.transform(F.split(F.reverse(digits), ""), add), F.lit(0), lambda a, x: a + x)
 
 
 def _surrogate(kind, entity, attempt, key: str) -> F.Column:
     def made(s):
-        number = F.concat_ws("", F.transform(F.split(entity, "(?!^)"), lambda c, i: F.when(i == 0, c).otherwise(_draw(s, i, 10).cast("string"))))
+        number = F.concat_ws("", F.transform(F.split(entity, ""), lambda c, i: F.when(i == 0, c).otherwise(_draw(s, i, 10).cast("string"))))
         fixed = lambda n: F.concat(F.substring(n, F.lit(1), F.length(n) - 1), ((10 - _checksum(F.concat(F.substring(n, F.lit(1), F.length(n) - 1), F.lit("0"))) % 10) % 10).cast("string"))
         card = let(number, lambda n: F.when(_checksum(entity) % 10 == 0, fixed(n)).otherwise(n))
         octet = lambda o, i: F.when(F.length(o) == 3, _draw(s, i, 156) + 100).when(F.length(o) == 2, _draw(s, i, 90) + 10).otherwise(_draw(s, i, 10)).cast("string")
@@ -161,12 +161,12 @@ def draw_surrogates(entities: DataFrame, key: str, most_rounds: int = 20) -> Dat
 def _render(kind, hit, surrogate) -> F.Column:
     """The surrogate in the mention's punctuation and case."""
     digits = F.aggregate(
-        F.split(hit, "(?!^)"), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+        F.split(hit, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda a, c: F.when(F.regexp_like(c, F.lit("[0-9]")), F.struct(F.concat(a["out"], F.substring(surrogate, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
         lambda a: a["out"],
     )
     spaced = F.aggregate(
-        F.split(hit, "(?!^)"), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+        F.split(hit, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda a, c: F.when(c != " ", F.struct(F.concat(a["out"], F.substring(surrogate, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
         lambda a: a["out"],
     )
@@ -184,19 +184,20 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with surrogates in its texts; ``count_col`` adds the mentions of each."""
+    i, m = fresh(docs, "_id", "_map")
     found = materialize(mentions(docs, id_col, text_col), "mentions")
     drawn = draw_surrogates(found.select("kind", "entity").distinct(), key)
-    mine = found.distinct().join(drawn, ["kind", "entity"]).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "entity"), "surrogate")))).alias("_map"))
-    mine = mine.withColumnRenamed("id", "_id")
+    mine = found.distinct().join(drawn, ["kind", "entity"]).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "entity"), "surrogate")))).alias(m))
+    mine = mine.withColumnRenamed("id", i)
     text = F.col(text_col)
     has = F.coalesce(F.regexp_like(text, F.lit(ENTITY)), F.lit(False))
-    busy = docs.where(has).join(mine, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    busy = docs.where(has).join(mine, F.col(id_col).eqNullSafe(F.col(i)), "left")
 
     def put(x):
-        def one(hit, i):
+        def one(hit, at):
             kind = _kind(hit)
-            got = let(F.struct(kind.alias("k"), F.element_at(F.col("_map"), F.concat_ws("\x1f", kind, _entity(kind, hit))).alias("s")), lambda y: _render(y["k"], hit, y["s"]))
-            return F.concat(F.get(x["gaps"], i), got)
+            got = let(F.struct(kind.alias("k"), F.element_at(F.col(m), F.concat_ws("\x1f", kind, _entity(kind, hit))).alias("s")), lambda y: _render(y["k"], hit, y["s"]))
+            return F.concat(F.get(x["gaps"], at), got)
 
         return F.concat(F.concat_ws("", F.transform(x["hits"], one)), F.element_at(x["gaps"], -1))
 

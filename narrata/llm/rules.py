@@ -46,7 +46,6 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.col(host) if isinstance(host, str) else host
     drop = lambda x, chars: F.length(F.translate(x, chars, ""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: drop(x, SPACE_CHARS) > 0)
     rows = docs.select(F.col(id_col).alias("id"), host.cast("string").alias("host"), text.alias("t"))
     rows = rows.select(
         "id", "host", drop(F.col("t"), SPACE_CHARS).alias("word_chars"), (F.length("t") - drop(F.col("t"), SYMBOLS)).alias("n_symbols"),
@@ -94,7 +93,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host:
 
 ORACLE = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+w AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 m AS (SELECT doc_id, source, len(ws) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM w),
 win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm._work import materialize
+from narrata.llm._work import fresh, materialize
 
 BITS = 64
 SEED = 42
@@ -237,8 +237,8 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = materialize(near_duplicate_groups(docs, id_col, text_col, budget), "groups")
     keep = groups.where(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     twice = not keep.where("n > 1").isEmpty()
-    keep = keep.select(F.col("id").alias("_keep"))
-    kept = docs.join(keep, F.col(id_col).cast("long") == F.col("_keep"), "left_semi")
+    (name,) = fresh(docs, "_keep")
+    kept = docs.join(keep.select(F.col("id").alias(name)), F.col(id_col).cast("long") == F.col(name), "left_semi")
     if twice:
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
