@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from narrata.llm._work import fresh, let, materialize
 
 # Titles by gender, and names of each gender and script from which surrogates are drawn.
-MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|господин|г-н"
-FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Señorita|госпожа|г-жа"
-OTHER_TITLES = "Dr|Prof|Доктор|доктор|профессор"
+MALE_TITLES = "Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|SEÑOR|Sr|SR|господин|г-н"
+FEMALE_TITLES = "Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Madame|MADAME|Mme|Mademoiselle|Señora|SEÑORA|Sra|SRA|Señorita|госпожа|г-жа"
+OTHER_TITLES = "Dr|DR|Prof|PROF|Доктор|доктор|профессор"
 NAMES = {
     "m": "Adam Alan Albert Bruno Carl Daniel David Erik Felix Frank Georg Henri Hugo Ivan Jacob Jonas Karl Lars Leon Louis Lucas Marco Martin Max Miguel Nils Noel Oscar Otto Paul Pedro Peter Ralf Rene Robert Simon Thomas Victor Walter Xavier",
     "f": "Ada Alice Amelia Anna Beatriz Carla Clara Diana Doris Elena Elisa Emma Eva Flora Gina Greta Hanna Helena Ida Irene Jana Julia Karin Laura Lea Lena Lucia Maria Marta Nina Nora Olga Paula Petra Rita Rosa Sara Sofia Vera Zoe",

@@ -155,7 +155,7 @@ def links(nodes: DataFrame, budget: int = 2, leaf_rows: int = 8192) -> DataFrame
         hot = materialize(rows.join(busy, "u", "left_semi"), "hot-0")
         for level in range(1, BITS + 1):
             opened = _descend(hot, budget)
-            done = F.col("size") <= leaf_rows
+            done = (F.col("size") <= leaf_rows) | (F.col("pos") >= BITS)
             opened = materialize(opened, f"hot-{level}")
             ready = ready.unionByName(opened.where(done).select("u", "side", "fp"))
             hot = opened.where(~done).drop("size")
