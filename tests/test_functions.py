@@ -90,9 +90,9 @@ def test_packed_expression(spark):
 
 
 def test_voices():
-
+    assert splitting.voiced("«Да. Нет.» Он ушёл.", "v") == [("«Да.", "v"), ("Нет.»", "v"), ("Он ушёл.", None)]
     assert splitting.voiced('"Quite so." She left.', None) == [('"Quite so." She left.', None)]
-    assert splitting.voiced("«Куда идёшь? Домой иду!»", "v") == [("Куда идёшь?", "v"), ("Домой иду!", "v")]
+    assert splitting.voiced("«Куда идёшь? Домой иду!»", "v") == [("«Куда идёшь?", "v"), ("Домой иду!»", "v")]
     assert splitting.voiced('". Narrator goes on.', "v")[0][1] is None
     got = splitting.voiced('«Начало речи. [chunk_eof] Конец речи» и рассказ дальше.', "v")
     assert [v for _, v in got] == ["v", "v", None] and got[-1][0] == "и рассказ дальше."
@@ -125,6 +125,7 @@ def test_decimals_and_agreement():
     assert numerals.decimal("3.14") == "три целых четырнадцать сотых"
     assert numerals.decimal("-1.5") == "минус одна целая пять десятых"
     assert russian.speak_numbers("2 главы и 5 домов", {"главы": ("f", "n")}) == "две главы и пять домов"
+    assert russian.speak_numbers("1 глава") == "первая глава"
     assert russian.speak_numbers("1" * 30) == "1" * 30
 
 
