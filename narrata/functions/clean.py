@@ -168,7 +168,7 @@ def tempo_filter(tempo: Column) -> Column:
 
 def escape_metadata(text: Column) -> Column:
     r"""Chapter metadata: ``\ ; # =`` escaped, line ends to spaces."""
-    return F.replace(F.regexp_replace(text, r"([\;#=])", r"\\$1"), F.lit("\n"), F.lit(" "))
+    return F.replace(F.regexp_replace(text, r"([\\;#=])", r"\\$1"), F.lit("\n"), F.lit(" "))
 
 
 def chapter_key(title: Column, index: Column) -> Column:

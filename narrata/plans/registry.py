@@ -565,3 +565,68 @@ def chapter_merge(spark, sf_dir):
     """Two chunks of 0.5 and 0.25 s, crossed over 30 ms."""
     rows = spark.createDataFrame(pd.DataFrame({"chapter_key": ["c1", "c1", "c2"], "pos": [1, 0, 0], "content": [fx.wave(0.25), fx.wave(0.5), fx.wave(0.25)]}), "chapter_key string, pos int, content binary")
     return signal.merge_chapters(rows).select("chapter_key", F.col("n_chunks").cast("int").alias("n_chunks"), F.round("seconds", 6).alias("seconds"))
+
+
+# Model steps and back ends ---------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('c1', 'proper_name_0001', 'Тест Кафе', 'В город пришёл Тест Кафе', 'original|phonetic'), ('c1', 'proper_name_0002', 'А. Тестов', 'Это А. Тестов', 'original|guided')) t(chapter_key, item_id, source_text, context, options) WHERE item_id = 'proper_name_0001'")
+def name_candidates(spark, sf_dir):
+    from narrata.operators import models
+
+    rows = spark.createDataFrame([("c1", "В город пришёл Тест Кафе. И он ушёл.")], "chapter_key string, text string")
+    got = models.name_candidates(rows, {"тест": "тэст", "кафе": "кафэ"})
+    return got.select("chapter_key", "item_id", "source_text", F.rtrim("context", F.lit(".")).alias("context"), F.array_join(F.transform("options", lambda o: o["option_id"]), "|").alias("options"))
+
+
+@query("SELECT 'c1' AS chapter_key, 'Пришёл Тэст Кафэ и сел.' AS text")
+def name_choices(spark, sf_dir):
+    from narrata.operators import models
+
+    rows = spark.createDataFrame([("c1", "Пришёл Тест Кафе и сел.")], "chapter_key string, text string")
+    items = models.name_candidates(rows, {"тест": "тэст", "кафе": "кафэ"})
+    return models.apply_choices(rows, items, items.select("chapter_key", "item_id", F.lit("phonetic").alias("option_id"), F.lit(None).cast("string").alias("custom_text"))).select("chapter_key", "text")
+
+
+@query("SELECT * FROM (VALUES ('Старый замок и мука.', 1, 'Старый (1.1.за́мок|1.2.замо́к) и (2.1.му́ка|2.2.мука́).')) t(context, first_num, line)")
+def stress_prompt(spark, sf_dir):
+    from narrata.operators import models
+
+    rows = [(1, "Старый замок и мука.", "замок", "за́мок|замо́к"), (2, "Старый замок и мука.", "мука", "му́ка|мука́")]
+    items = spark.createDataFrame(rows, "num int, context string, source_text string, forms string")
+    items = items.withColumn("options", F.transform(F.split("forms", r"\|"), lambda f, i: F.struct(F.concat(F.lit("variant_"), (i + 1).cast("string")).alias("option_id"), f.alias("text"))))
+    return models.prompt_lines(items)
+
+
+@query("SELECT * FROM (VALUES ('a', 'variant_2'), ('b', 'original')) t(item_id, option_id)")
+def stress_answers(spark, sf_dir):
+    from narrata.operators import models
+
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "num int, item_id string").withColumn("options", F.array(*[F.struct(F.lit(f"variant_{i}").alias("option_id"), F.lit("x").alias("text")) for i in (1, 2)]))
+    return models.selections(spark.createDataFrame([("1.2\nI choose 2.9 here",)], "response string"), items).select("item_id", "option_id")
+
+
+@query("SELECT 'c1' AS chapter_key, 'Short. First half[chunk_eof] Second half. End.' AS text")
+def long_sentence_stitch(spark, sf_dir):
+    from narrata.operators import models
+
+    rows = spark.createDataFrame([("c1", "Short. First half and then the second half. End.")], "chapter_key string, text string")
+    asked = models.long_sentences(rows, 20)
+    return models.stitch(rows, asked.select("chapter_key", "pos", F.array(F.lit("First half."), F.lit("Second half")).alias("parts"))).select("chapter_key", "text")
+
+
+@query("SELECT * FROM (VALUES (1, 'Стоит за́мок.'), (2, 'Стоит замок.'), (3, 'Мука стоит.')) t(id, text)")
+def homograph_stress(spark, sf_dir):
+    from narrata.operators import models
+
+    rows = spark.createDataFrame([(1, "Стоит замок.", "Сто+ит з+амок."), (2, "Стоит замок.", "Сто+ит."), (3, "Мука стоит.", "Мук+а сто+ит.")], "id int, t string, a string")
+    return rows.select("id", models.stressed_homographs(F.col("t"), F.col("a"), ["замок"]).alias("text"))
+
+
+@query("""SELECT 'Russian' AS language, '{"model":"m","voice":"v2"}' AS payload, 'b' AS found, 2 AS speakers""")
+def backend_payload(spark, sf_dir):
+    from narrata.functions import backends
+
+    row = spark.createDataFrame([("ru-RU", '{"voice": "v2", "x": null}', '{"a": [{"k": "b"}]}', '{"A": "x", "B": "y"}')], "locale string, extra string, doc string, speakers string")
+    fields = {"model": F.lit("m"), "voice": F.lit("v1"), "speed": F.lit(1.0), "instructions": F.lit(None)}
+    return row.select(backends.language_name(F.lit(""), F.col("locale")).alias("language"), backends.payload(fields, "speed", F.col("extra")).alias("payload"), backends.json_path(F.col("doc"), "a.0.k").alias("found"), F.size(backends.speaker_map(F.col("speakers"))).alias("speakers"))

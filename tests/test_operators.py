@@ -105,3 +105,26 @@ def test_retry_loop(spark):
     out = worker.retry_until_good(lambda i: spark.range(left[i]), lambda df: recorded.append(df.count()))
     assert out == {"rounds": 3, "left": 0} and recorded == [2, 1]
     assert worker.retry_until_good(lambda i: spark.range(1), lambda df: None, most_retries=2) == {"rounds": 3, "left": 1}
+
+
+def test_configuration_layers(tmp_path):
+    from narrata import conf
+
+    (tmp_path / "user.ini").write_text("[a]\nx = 1\ny = yes\nz =\n[b]\nname = one\n")
+    (tmp_path / "book.ini").write_text("[a]\nx = 2.5\n")
+    files = conf.layers(book=tmp_path / "book.epub", user=tmp_path / "user.ini", project=tmp_path / "none.ini")
+    assert conf.merged(files, {"name": "two", "other": None}) == {"x": 2.5, "y": True, "name": "two"}
+    with pytest.raises(FileNotFoundError):
+        conf.layers(explicit=tmp_path / "no.ini")
+    conf.snapshot({"a": 1, "b": None, "c": False}, tmp_path / "s.ini")
+    assert conf.load(tmp_path / "s.ini") == {"a": 1}
+
+
+def test_resume_plan(spark):
+    from narrata.operators import steps
+
+    rows = fx.STEPS.df(spark)
+    assert steps.resume_plan(rows, "simple_symbols,ru_numbers,cosy_voice")["resume"]
+    assert not steps.resume_plan(rows, "ru_numbers")["resume"]
+    assert not steps.resume_plan(rows.where("status = 'success'"), "simple_symbols")["resume"]
+    assert steps.resume_plan(rows.limit(0), "simple_symbols")["resume"]
