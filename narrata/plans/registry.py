@@ -104,7 +104,12 @@ def title_modes_pages(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", mode("auto").alias("auto_title"), mode("tag_text").alias("tag_title"), mode("first_few").alias("first_few"), clean.sanitize_title(tag).alias("sanitized"))
 
 
-@query()
+_BARE = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'), '(?s)<[^>]*>', chr(10), 'g')"
+_PAGE = rf"regexp_replace(regexp_replace({_STRIP.format(_BARE)}, '\n+', ' @BRK#', 'g'), '\s+', ' ', 'g')"
+
+
+@query(rf"""SELECT page_id, regexp_replace({_STRIP.format("regexp_replace(replace(CASE WHEN " + _STRIP.format("tag") + " = '' OR regexp_matches(tag, '^[0-9]{1,3}$') THEN substr(text, 1, 60) ELSE tag END, ' @BRK#', ' '), '[^" + chr(92) + "pL" + chr(92) + "pN_" + chr(92) + "s]', '', 'g')")}, '\s+', '_', 'g') AS title, text
+FROM (SELECT page_id, {_TAG} AS tag, {_PAGE} AS text FROM pages)""")
 def page_chapters(spark, sf_dir):
     return books.page_chapters(read(spark, sf_dir, "pages"))
 

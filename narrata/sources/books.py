@@ -248,7 +248,7 @@ def toc_chapters(chapters: DataFrame, entries: DataFrame, break_string: str) ->
 
 def page_chapters(pages: DataFrame, break_string: str = " @BRK#", title_mode: str = "auto") -> DataFrame:
     """(page_id, title, text) of a table of web pages, without markup, scripts and styles."""
-    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
+    bare = F.regexp_replace("html", r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "")
     text = F.regexp_replace(bare, r"(?s)<[^>]*>", "\n")
     rows = pages.select("page_id", clean.html_tag_title(F.col("html")).alias("tag"), clean.newline_mode(text, "single", break_string).alias("text"))
     return rows.select("page_id", clean.sanitize_title(clean.document_title(F.col("tag"), F.col("text"), title_mode), break_string).alias("title"), "text")
