@@ -64,7 +64,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if not hot.isEmpty():
         sizes = sizes.join(hot, F.col("source").eqNullSafe(F.col("hs")) & (F.col("size") == F.col("hz")), "left")
         part = F.expr("coalesce(parts, 1)") * key / F.lit(4294967296)
-        sizes = sizes.withColumn("part", F.floor(part).cast("long")).drop("hs", "hz", "parts")
+        # dealt by all three, or what the join was dealt by would do for the counts and keep a large cell in one task
+        sizes = sizes.withColumn("part", F.floor(part).cast("long")).drop("hs", "hz", "parts").repartition("source", "size", "part")
     else:
         sizes = sizes.withColumn("part", F.lit(0).cast("long"))
     counted = sizes.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
