@@ -6,8 +6,6 @@ import configparser
 from pathlib import Path
 from typing import Any
 
-SECTIONS_DROPPED = True  #: section names only order a file; keys are flat
-
 
 def _value(raw: str) -> Any:
     low = raw.strip().lower()

@@ -378,7 +378,7 @@ def phoneme_overrides(spark, sf_dir):
 # Books and runs --------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('b1', 0, 'two', 'Text 2 @BRK# @BRK#Text 3'), ('b1', 1, 'Part_Four', 'Text 4'), ('b2', 0, 'a', 'Text a')) t(book, chapter_idx, title, text)".replace("'two', 'Text 2", "'Part_Two', 'Text 2"))
+@query("SELECT * FROM (VALUES ('b1', 0, 'Part_Two', 'Text 2 @BRK# @BRK#Text 3'), ('b1', 1, 'Part_Four', 'Text 4'), ('b2', 0, 'a', 'Text a')) t(book, chapter_idx, title, text)")
 def toc_range_join(spark, sf_dir):
     entries = fx.TOC.df(spark).withColumn("hrefs", F.split("hrefs", r"\|"))
     return books.toc_chapters(fx.TOC_DOCS.df(spark), entries, " @BRK#")
@@ -389,7 +389,7 @@ def _books(spark: SparkSession) -> DataFrame:
     return rows.withColumn("format", books.book_format("path"))
 
 
-@query("SELECT * FROM (VALUES ('x.EPUB', 0, 'b.xhtml', 'Beta', 'Beta! @BRK#Beta text.'), ('x.EPUB', 1, 'a.xhtml', '12Alpha_text', '12Alpha text.'), ('x.EPUB', 2, 'c.xhtml', 'Gamma', 'Gamma')) t(book, chapter_idx, href, title, text)".replace("Beta! @BRK#Beta text.", "Beta!Beta @BRK#text."))
+@query("SELECT * FROM (VALUES ('x.EPUB', 0, 'b.xhtml', 'Beta', 'Beta!Beta @BRK#text.'), ('x.EPUB', 1, 'a.xhtml', '12Alpha_text', '12Alpha text.'), ('x.EPUB', 2, 'c.xhtml', 'Gamma', 'Gamma')) t(book, chapter_idx, href, title, text)")
 def epub_chapters(spark, sf_dir):
     return books.document_chapters(books.epub_documents(_books(spark)), " @BRK#")
 
@@ -399,7 +399,7 @@ def epub_contents(spark, sf_dir):
     return books.epub_entries(_books(spark)).select("book", "entry_pos", "title", F.get("hrefs", 0).alias("href"))
 
 
-@query("SELECT * FROM (VALUES ('y.fb2', 0, 'One', 'First line. Second. @BRK#Third.'), ('y.fb2', 1, 'Two', 'Verse a Verse b'), ('y.fb2', 2, 'Untitled_text_here', 'Untitled text here.')) t(book, chapter_idx, title, text)".replace("First line. Second. @BRK#", "First line.' || chr(10) || 'Second. @BRK#").replace("Verse a Verse b", "Verse a' || chr(10) || 'Verse b"))
+@query("SELECT * FROM (VALUES ('y.fb2', 0, 'One', 'First line.' || chr(10) || 'Second. @BRK#Third.'), ('y.fb2', 1, 'Two', 'Verse a' || chr(10) || 'Verse b'), ('y.fb2', 2, 'Untitled_text_here', 'Untitled text here.')) t(book, chapter_idx, title, text)")
 def fb2_chapters(spark, sf_dir):
     return books.section_chapters(books.fb2_sections(_books(spark)), " @BRK#")
 
@@ -414,7 +414,7 @@ def next_run(spark, sf_dir):
     return runs.next_run(fx.RUN.df(spark))
 
 
-@query(f"SELECT doc_id, CASE doc_id WHEN 1 THEN 'First' WHEN 3 THEN 'Third' ELSE lang END AS title FROM documents")
+@query("SELECT doc_id, CASE doc_id WHEN 1 THEN 'First' WHEN 3 THEN 'Third' ELSE lang END AS title FROM documents")
 def title_override_positional(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter_idx"), F.col("lang").alias("title"))
     return runs.override_titles(rows, fx.TITLES.df(spark)).select(F.col("chapter_idx").alias("doc_id"), "title")
@@ -549,7 +549,7 @@ def candidate_splice(spark, sf_dir):
     return rows.select(steps.splice(F.col("t"), F.reverse(spans)).alias("spliced"), found.alias("found"))
 
 
-@query("SELECT * FROM (VALUES ('c1', 'h2'), ('c2', 'h9')) t(chapter_key, sentence_hash) WHERE chapter_key = 'c2'")
+@query("SELECT 'c2' AS chapter_key, 'h9' AS sentence_hash")
 def legacy_disputes(spark, sf_dir):
     legacy = spark.createDataFrame([("c1", "h2", "x", 0), ("c2", "h9", "[manual] y", 0)], "chapter_key string, sentence_hash string, transcription string, resolved int")
     now = fx.CACHE.df(spark)
@@ -575,7 +575,7 @@ def chapter_merge(spark, sf_dir):
 # Model steps and back ends ---------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('c1', 'proper_name_0001', 'Тест Кафе', 'В город пришёл Тест Кафе', 'original|phonetic'), ('c1', 'proper_name_0002', 'А. Тестов', 'Это А. Тестов', 'original|guided')) t(chapter_key, item_id, source_text, context, options) WHERE item_id = 'proper_name_0001'")
+@query("SELECT 'c1' AS chapter_key, 'proper_name_0001' AS item_id, 'Тест Кафе' AS source_text, 'В город пришёл Тест Кафе' AS context, 'original|phonetic' AS options")
 def name_candidates(spark, sf_dir):
     from narrata.operators import models
 
