@@ -129,9 +129,9 @@ def schedule(tokens: DataFrame, window: int = WINDOW, least_piece: int = LEAST_P
         weighed = by_source.withColumn("w", F.coalesce(weigh[F.col("source")], F.lit(float(min(targets.values())))))
     else:
         weighed = by_source.withColumn("w", F.col("tokens").cast("double"))
-    total = weighed.agg(F.sum("w").alias("all_w"))
-    queues = weighed.crossJoin(F.broadcast(total)).select(  # one row
-        F.col("source").alias("qs"), F.ceil(F.col("rows") / part_rows).alias("parts"), (F.col("w") / F.col("all_w") * window).alias("quantum"), F.xxhash64(F.lit("queue"), "source").alias("turn"),
+    total = weighed.agg(F.sum("w")).first()[0] or 1.0
+    queues = weighed.select(
+        F.col("source").alias("qs"), F.ceil(F.col("rows") / part_rows).alias("parts"), (F.col("w") / F.lit(float(total)) * window).alias("quantum"), F.xxhash64(F.lit("queue"), "source").alias("turn"),
     )
     here = F.col("source").eqNullSafe(F.col("qs"))
     placed = rows.join(queues, here).withColumn("h", hash_unit(F.lit("place"), F.col("id"))).withColumn("part", F.floor(F.col("h") * F.col("parts")))

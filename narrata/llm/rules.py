@@ -73,13 +73,13 @@ def host_rates(measured: DataFrame) -> DataFrame:
         fails = fails | rule
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.sum(fails.cast("long")).alias("failed"))
     n, f = F.col("docs").cast("double"), F.col("failed").cast("double")
-    whole = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("sq"), F.count(F.lit(1)).cast("double").alias("h"))
-    mean = F.col("f") / F.col("n")
-    spread = F.col("sq") / F.col("n") - mean * mean - mean * (1 - mean) * F.col("h") / F.col("n")
+    mean, spread = F.col("f") / F.col("n"), F.col("sq") / F.col("n")
+    spread = spread - mean * mean - mean * (1 - mean) * F.col("h") / F.col("n")
     strength = F.least(F.greatest(mean * (1 - mean) / F.greatest(spread, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1e6))
-    prior = whole.where("n > 0").select((mean * strength).alias("prior_a"), ((1 - mean) * strength).alias("prior_b"))
-    rate = (f + F.col("prior_a")) / (n + F.col("prior_a") + F.col("prior_b"))
-    return hosts.crossJoin(F.broadcast(prior)).withColumn("rate", rate)  # the prior is one row
+    whole = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("sq"), F.count(F.lit(1)).cast("double").alias("h"))
+    a_, b_ = whole.select((mean * strength).alias("a"), ((1 - mean) * strength).alias("b")).first()  # two numbers; null without hosts
+    prior_a, prior_b = F.lit(a_).cast("double"), F.lit(b_).cast("double")
+    return hosts.withColumn("prior_a", prior_a).withColumn("prior_b", prior_b).withColumn("rate", (f + F.col("prior_a")) / (n + F.col("prior_a") + F.col("prior_b")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: F.Column | str = "source", host_limit: float = 0.5) -> DataFrame:
