@@ -39,7 +39,7 @@ CYRILLIC = "ба ва га да ди за ка ки ла ли ло ма ми м
 
 _NAME = r"(?:\s+\p{Lu}[\p{L}'’\-]+){1,3}"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_%+][\p{L}\p{N}._%+\-]{0,127}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}(?<![\-.])",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_%+][\p{L}\p{N}._%+\-]{0,127}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}(?<![\-.])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}(?:[ .\-]?\d{2,4}){1,2}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\d.\-])\d{3}([ .\-])\d{3}\1\d{4}(?![\d.\-])",
@@ -47,10 +47,19 @@ PATTERNS = {
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
     "person": rf"(?<!\p{{L}})(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.?{_NAME}",
 }
-ENTITY = "|".join(p.replace(r"([ .\-])\d{3}\1", r"(?:[ .\-])\d{3}(?:[ .\-])") for p in PATTERNS.values())
+#: One pattern for all; a look at the first character keeps most places from trying most types.
+_FIRST = {"ip": r"(?=\d)", "ssn": r"(?=\d)", "phone": r"(?=[\d+(])", "account": r"(?=[A-Z]{2}\d)", "card": r"(?=\d)", "person": "(?=[DFHMPSДгдп])"}
+ENTITY = "|".join(f"{_FIRST.get(k, '')}(?:{p})" for k, p in ((k, p.replace(r"([ .\-])\d{3}\1", r"(?:[ .\-])\d{3}(?:[ .\-])")) for k, p in PATTERNS.items()))
+_TITLED = rf"(?=[DFHMPSДгдп])(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.?\s"
 _NUMERIC = ("phone", "card", "ssn")
 
 
+def has_entity(text) -> F.Column:
+    """Whether a text has an entity. No entity is without an at sign, a digit or a title, which is quickly seen."""
+    maybe = F.contains(text, F.lit("@")) | F.regexp_like(text, F.lit("[0-9]")) | F.regexp_like(text, F.lit(_TITLED))
+    return F.coalesce(maybe & F.regexp_like(text, F.lit(ENTITY)), F.lit(False))
+
+
 def _kind(hit) -> F.Column:
     """Type of a mention; the first pattern that covers the whole of it."""
     got = F.when(F.contains(hit, F.lit("@")), "email")
@@ -177,7 +186,7 @@ def _render(kind, hit, surrogate) -> F.Column:
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kind, entity) of every mention."""
-    hits = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"({ENTITY})"), F.lit(1))).alias("hit"))
+    hits = docs.where(has_entity(F.col(text_col))).select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"({ENTITY})"), F.lit(1))).alias("hit"))
     hits = hits.withColumn("kind", _kind(F.col("hit")))
     return hits.select("id", "kind", _entity(F.col("kind"), F.col("hit")).alias("entity"))
 
@@ -190,7 +199,7 @@ def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     mine = found.distinct().join(drawn, ["kind", "entity"]).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "entity"), "surrogate")))).alias(m))
     mine = mine.withColumnRenamed("id", i)
     text = F.col(text_col)
-    has = F.coalesce(F.regexp_like(text, F.lit(ENTITY)), F.lit(False))
+    has = has_entity(text)
     busy = docs.where(has).join(mine, F.col(id_col).eqNullSafe(F.col(i)), "left")
 
     def put(x):
@@ -199,11 +208,10 @@ def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
             got = let(F.struct(kind.alias("k"), F.element_at(F.col(m), F.concat_ws("\x1f", kind, _entity(kind, hit))).alias("s")), lambda y: _render(y["k"], hit, y["s"]))
             return F.concat(F.get(x["gaps"], at), got)
 
-        return F.concat(F.concat_ws("", F.transform(x["hits"], one)), F.element_at(x["gaps"], -1))
+        return F.struct(F.concat(F.concat_ws("", F.transform(x["hits"], one)), F.element_at(x["gaps"], -1)).alias("text"), F.size(x["hits"]).cast("long").alias("n"))
 
     parts = F.struct(F.split(text, ENTITY, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1)).alias("hits"))
-    count = [F.size(F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1))).cast("long").alias(count_col)] if count_col else []
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    done = busy.select(*[let(parts, put).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *count)
+    done = busy.withColumn(i, let(parts, put)).select(*[F.col(f"{i}.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *([F.col(f"{i}.n").alias(count_col)] if count_col else []))
     rest = docs.where(~has).select(*columns, *([F.lit(0).cast("long").alias(count_col)] if count_col else []))
     return done.unionByName(rest)
