@@ -114,10 +114,12 @@ def difference(a: np.ndarray, b: np.ndarray, sa: Sketch | None = None, sb: Sketc
     width, sa, sb = BASE, sa or Sketch.of(a), sb or Sketch.of(b)
     while True:
         left = sa.minus(sb)
-        guess = int((left.count * left.count).sum() / 3)  # each digest adds 1 to the variance of three cells
+        # a digest adds 1 to the squares of its cell in each subtable, besides what the surplus of one text adds to all
+        guess = (left.count @ left.count) / 3 - (len(a) - len(b)) ** 2 / width
         if (got := left.peel()) is not None:
             return got
-        width = max(4 * width, 1 << math.ceil(math.log2(max(1, guess))))
+        need = min(max(guess, 1), len(a) + len(b)) * 0.6
+        width = max(4 * width, 1 << math.ceil(math.log2(max(1, need))))
         sa, sb = Sketch.of(a, width), Sketch.of(b, width)
 
 
