@@ -91,12 +91,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     copies = taken.select(F.col("id").alias(i), F.col("size").alias(z), F.col("copies").alias(c))
     here = F.col(id_col).eqNullSafe(F.col(i))
     if taken.groupBy("id").count().where("count > 1").isEmpty():
-        rows = docs.join(copies.where(F.col(c) > 0).drop(z), here)
+        # the copies grow with the documents: a merge join at every size, never a broadcast of them
+        rows = docs.join(copies.where(F.col(c) > 0).drop(z).hint("merge"), here)
     else:  # rows that share an id are told apart by size and place
         copies = copies.withColumn(k, F.row_number().over(W.partitionBy(i, z).orderBy(F.desc(c)))).where(F.col(c) > 0)
         mine = docs.withColumn(mz, word_count(F.col(text_col)))
         mine = mine.withColumn(mk, F.row_number().over(W.partitionBy(id_col, mz).orderBy(text_col)))
-        rows = mine.join(copies, here & (F.col(mz) == F.col(z)) & (F.col(mk) == F.col(k)))
+        rows = mine.join(copies.hint("merge"), here & (F.col(mz) == F.col(z)) & (F.col(mk) == F.col(k)))
     return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(c).cast("int")))).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
