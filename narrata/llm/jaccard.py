@@ -1,0 +1,173 @@
+"""Near-duplicate groups by the Jaccard similarity of word shingles, for the pipeline.
+
+Texts whose sets of five-word shingles have a Jaccard similarity of ``least`` or more are linked; groups are the components of
+the links. Candidates share one of 32 bands of five MinHash values: a pair at 0.8 shares none with a
+probability of 3 in a million, a pair above it with less. Every candidate is verified on the whole sets, so that
+no link is below ``least``.
+
+How it is spread out. Equal texts are one node. Rounds pair each member of a band's bucket with its neighbour in a random order,
+which joins large groups of near copies without all pairs; then all pairs of a bucket that are in different components
+yet are verified. Sets are made only for nodes that share a bucket, and go with a pair, never with a bucket.
+
+Defined results: words are those of ``simhash.fingerprint``; a text of fewer than five words is one shingle; texts
+without words (null ones too) are equal to one another and to nothing else.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from narrata.llm._work import materialize
+from narrata.llm.simhash import SEED, components
+
+SHINGLE, LEAST = 5, 0.8
+BANDS, ROWS = 32, 5
+_PART = 1 << 11
+_RANDOM = np.random.default_rng(SEED)
+_XOR = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None]
+_ODD = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None] | np.uint64(1)
+
+
+def _words(data: bytes | None) -> list[bytes]:
+    return (data or b"").lower().split()
+
+
+def _node(words: list[bytes]) -> int:
+    from xxhash import xxh64_intdigest as xxh
+
+    return xxh(b" ".join(words), SEED)
+
+
+def grams(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    from xxhash import xxh64_intdigest as xxh
+
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < shingle:
+        return np.array([xxh(b" ".join(words), SEED)], np.uint64)
+    return np.unique(np.array([xxh(b" ".join(w), SEED) for w in zip(*(words[i:] for i in range(shingle)), strict=False)], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One signed long for each band of MinHash values."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), _PART):
+        part = (hashes[None, at : at + _PART] ^ _XOR) * _ODD
+        least = np.minimum(least, (part ^ (part >> np.uint64(29))).min(1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64).tolist()
+
+
+def _signed(nodes: list[int]) -> pa.Array:
+    return pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64())
+
+
+def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, node, n, bands) of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, keys = [], [], []
+            for x in b.column(1):
+                words = _words(x.as_py())
+                got = grams(words, shingle)
+                nodes.append(_node(words))
+                sizes.append(len(got))
+                keys.append(bands(got))
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed(nodes), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "n", "bands"])
+
+    return rows.mapInArrow(run, "id long, node long, n long, bands array<long>")
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams) of the wanted nodes."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([_signed([_node(_words(x.as_py())) for x in b.column(1)]), b.column(1)], ["node", "text"])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([grams(_words(x.as_py()), shingle).tobytes() for x in b.column(1)], pa.binary())], ["node", "grams"])
+
+    texts = rows.mapInArrow(name, "node long, text binary").join(wanted, "node", "left_semi")
+    return texts.dropDuplicates(["node"]).mapInArrow(made, "node long, grams binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are as similar as ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= least * (len(p) + len(q) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("p")), "a")
+    full = with_a.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("q")), "b")
+    return full.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def links(rows: DataFrame, nodes: DataFrame, least: float = LEAST, shingle: int = SHINGLE, most_rounds: int = 8) -> DataFrame:
+    """(node, root) of all nodes that have a link. ``rows`` are (id, text), ``nodes`` (node, n, bands)."""
+    held = nodes.select("node", "n", F.explode("bands").alias("key"))
+    busy = held.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    held = materialize(held.join(busy, "key", "left_semi"), "buckets")
+    sets = materialize(_sets(rows, held.select("node").distinct(), shingle), "shingles")
+    like = F.expr(f"least(n, n2) >= {least!r} * greatest(n, n2) - 1e-9")
+    edges, roots = None, None
+    now, before = held.withColumn("comp", F.col("node")), None
+    for turn in range(most_rounds + 1):
+        # what is left: members of buckets that hold more than one component, and the pairs across components
+        parts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("m"), F.sum(F.expr("c * c")).alias("s")).where("comps > 1")
+        parts = materialize(parts.select("key", F.expr("(m * m - s) / 2").alias("cross"), "m"), "open")
+        left, members = parts.agg(F.sum("cross"), F.sum("m")).first()
+        if not left:
+            break
+        now = materialize(now.join(parts.select("key"), "key", "left_semi"), "members")
+        last = left <= 4 * members or turn == most_rounds or (before is not None and left > 0.9 * before)
+        if last:
+            other = now.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+            pairs = now.withColumnRenamed("node", "a").join(other, "key").where("a < b")
+        else:
+            order = W.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+            ahead = {"b": "node", "n2": "n", "comp2": "comp"}
+            pairs = now.select(F.col("node").alias("a"), "n", "comp", *[F.lead(v).over(order).alias(k) for k, v in ahead.items()]).where("b is not null")
+        pairs = pairs.where("comp <> comp2").where(like).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = materialize(_verified(pairs, sets, least), "links")
+        edges = found if edges is None else edges.unionByName(found)
+        if not found.isEmpty():
+            roots = components(edges)
+        if last:
+            break
+        if roots is not None:
+            now = now.drop("comp").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
+        before = left
+    return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).where("false")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
+    """(id, component_id) for every row: the smallest id among all rows that links reach."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    prints = materialize(_sketches(rows, shingle), "sketches")
+    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    roots = links(rows, nodes, least, shingle)
+    rooted = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(smallest, "root").select("node", "component_id")
+    return prints.select("id", "node").join(named, "node").select("id", "component_id")

@@ -231,10 +231,10 @@ def fingerprint_hex(fp="fp") -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2) -> DataFrame:
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2, groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, one row an id; all columns stay.
-    Rows without an id can't be named by a decision and stay."""
-    groups = materialize(near_duplicate_groups(docs, id_col, text_col, budget), "groups")
+    Rows without an id can't be named by a decision and stay. ``groups`` (id, component_id) can be given."""
+    groups = materialize(near_duplicate_groups(docs, id_col, text_col, budget) if groups is None else groups, "groups")
     keep = groups.where(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     twice = not keep.where("n > 1").isEmpty()
     (name,) = fresh(docs, "_keep")

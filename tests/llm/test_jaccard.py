@@ -1,0 +1,65 @@
+"""The pipeline's near duplicates against brute-force Jaccard."""
+
+import itertools
+import random
+
+import corpus_pipeline
+from narrata.llm import jaccard
+
+
+def _set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def _texts():
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(5000)}"
+    texts = []
+    for k in range(40):
+        base = [word() for _ in range(r.randrange(60, 200))]
+        texts.append(" ".join(base))
+        for _ in range(3):  # similarities from about 0.55 to 1
+            new = list(base)
+            for at in r.sample(range(len(new)), r.randrange(1 + len(new) // 20)):
+                new[at] = word()
+            texts.append(" ".join(new))
+    hot = [word() for _ in range(150)]
+    for _ in range(60):
+        new = list(hot)
+        for at in r.sample(range(150), r.randrange(8)):
+            new[at] = word()
+        texts.append(" ".join(new))
+    return [*texts, "a b", "A  b", "", None, " \n", texts[0].upper()]
+
+
+def _want(texts):
+    sets, root = [_set(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or both and both >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    texts = _texts()
+    want = _want(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id: r.component_id for r in jaccard.near_duplicate_groups(docs).collect()} == want
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == set(want.values())
+
+
+def test_stage_on_the_tables(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    want = _want([r.text for r in rows])
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows), sf)
+    assert {r.doc_id for r in kept.collect()} == {rows[k].doc_id for k in set(want.values())}
