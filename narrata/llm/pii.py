@@ -1,7 +1,9 @@
 """Personal data replaced by surrogates. DataFrame functions only.
 
 Mail addresses, telephone numbers, network addresses, card, account and social security numbers, and names after a
-title are found by pattern. Each distinct entity of the whole corpus gets one surrogate, a keyed digest of it turned into the
+title are found by pattern. In a text that names persons, their full names and surnames are also found without a title, and mentions are
+resolved before they are keyed: a surname is the person of the full name before it (or else the next one) unless the titles' genders differ, and
+a person's gender is that of any titled mention. Short forms get the surname of the full name's surrogate. Each distinct entity of the whole corpus gets one surrogate, a keyed digest of it turned into the
 same type and form: digits for digits, letters for letters, octets in range, card numbers that pass the check digit
 where the original does, names of the title's gender and the original's script. Numbers with other
 punctuation, and addresses or names in other case, are the same entity.
@@ -37,7 +39,7 @@ NAMES = {
 SYLLABLES = "ba be bo da de do fa fe ga go ha hi ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te to va ve wa".split()
 CYRILLIC = "ба ва га да ди за ка ки ла ли ло ма ми мо на не но па пе ра ри ро са се со та те то ха ча".split()
 
-_NAME = r"(?:\s+\p{Lu}[\p{L}'’\-]+){1,3}"
+_NAME = r"(?:\s+(?=\p{Lu}[\p{L}'’\-])\p{Lu}\p{L}*(?:['’\-](?![sS](?!\p{L}))\p{L}+)*){1,3}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_%+][\p{L}\p{N}._%+\-]{0,127}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}(?<![\-.])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
@@ -72,10 +74,15 @@ def _title(hit) -> F.Column:
     return F.regexp_extract(hit, rf"^(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.?\s+", 0)
 
 
+def _name(hit) -> F.Column:
+    return F.regexp_replace(F.substring(hit, F.length(_title(hit)) + 1, F.length(hit)), r"\s+", " ")
+
+
 def _entity(kind, hit) -> F.Column:
     """What mentions of one entity have in common; for a person, the gender's letter comes first."""
-    male, female = F.regexp_like(hit, F.lit(rf"^(?:{MALE_TITLES})\b")), F.regexp_like(hit, F.lit(rf"^(?:{FEMALE_TITLES})\b"))
-    name = F.lower(F.regexp_replace(F.substring(hit, F.length(_title(hit)) + 1, F.length(hit)), r"\s+", " "))
+    title = _title(hit)
+    male, female = F.regexp_like(title, F.lit(rf"^(?:{MALE_TITLES})\.?\s")), F.regexp_like(title, F.lit(rf"^(?:{FEMALE_TITLES})\.?\s"))
+    name = F.lower(_name(hit))
     return (
         F.when(kind.isin(*_NUMERIC), F.regexp_replace(hit, "[^0-9]", ""))
         .when(kind == "account", F.regexp_replace(hit, " ", ""))
@@ -84,6 +91,65 @@ def _entity(kind, hit) -> F.Column:
     )
 
 
+def _pattern(text) -> F.Column:
+    """ENTITY, and for a text that names persons also their full names and surnames without a title."""
+    def also(hits):
+        names = F.transform(F.filter(hits, lambda h: _kind(h) == "person"), _name)
+        forms = F.flatten(F.transform(names, lambda n: F.array(n, F.regexp_extract(n, r"\S+$", 0))))
+        forms = F.array_distinct(F.flatten(F.transform(forms, lambda n: F.array(n, F.upper(n), F.initcap(n)))))
+        longest = F.reverse(F.array_sort(F.transform(forms, lambda n: F.struct(F.length(n).alias("n"), n.alias("form")))))
+        quoted = F.transform(longest, lambda x: F.replace(x["form"], F.lit(" "), F.lit(r"\s+")))  # letters, apostrophes and hyphens only
+        names_only = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}_@.])(?<!\p{L}[\-'’])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}_@]|\.[\p{L}\p{N}]|[\-'’](?![sS](?!\p{L}))\p{L})"))
+        return F.when(F.size(names) > 0, names_only).otherwise(F.lit(ENTITY))
+
+    titled = F.when(F.regexp_like(text, F.lit(_TITLED)), F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1)))
+    return F.coalesce(let(titled, also), F.lit(ENTITY))
+
+
+def _resolved(hits) -> F.Column:
+    """array<struct<kind, entity, hit>> of a text's hits, the mentions of one person under one entity."""
+    plain = F.transform(hits, lambda h: let(_kind(h), lambda k: F.struct(k.alias("kind"), _entity(k, h).alias("entity"), h.alias("hit"))))
+
+    def person(x, i):
+        name = F.substring(x["entity"], F.lit(3), F.length(x["entity"]))
+        return F.struct(i.alias("i"), F.substring(x["entity"], 1, 1).alias("g"), name.alias("name"), F.regexp_extract(name, r"\S+$", 0).alias("last"))
+
+    sure = lambda ps: F.filter(ps, lambda q: q["g"] != "u")
+    gender = lambda ps: F.get(sure(ps), F.lit(0))["g"]
+    is_full = lambda p: p["name"] != p["last"]
+
+    def with_gender(ps):
+        def one(p):
+            own = gender(F.filter(ps, lambda q: q["name"] == p["name"]))
+            short = F.when(is_full(p), gender(F.filter(ps, lambda q: q["name"] == p["last"])))
+            return F.struct(p["i"].alias("i"), F.when(p["g"] != "u", p["g"]).otherwise(F.coalesce(own, short, F.lit("u"))).alias("g"), p["name"].alias("name"), p["last"].alias("last"), p["g"].alias("said"))
+
+        return F.transform(ps, one)
+
+    def linked(ps):
+        full = F.filter(ps, is_full)
+
+        def one(p):
+            same = F.filter(full, lambda q: (q["last"] == p["name"]) & ((p["said"] == "u") | (q["g"] == "u") | (p["said"] == q["g"])))
+            near = let(same, lambda s: F.coalesce(F.try_element_at(F.filter(s, lambda q: q["i"] < p["i"]), F.lit(-1)), F.get(s, F.lit(0))))
+            got = F.when(is_full(p), F.concat(p["g"], F.lit(":"), p["name"])).otherwise(let(near, lambda q: F.when(q.isNotNull(), F.concat(q["g"], F.lit(":"), q["name"])).otherwise(F.concat(p["g"], F.lit(":"), p["name"]))))
+            return F.struct(p["i"].alias("i"), got.alias("entity"))
+
+        return F.map_from_entries(F.transform(ps, one))
+
+    def joined(xs):
+        people = F.filter(F.transform(xs, lambda x, i: F.when(x["kind"] == "person", person(x, i))), lambda p: p.isNotNull())
+        names = let(let(people, with_gender), linked)
+        return let(names, lambda m: F.transform(xs, lambda x, i: F.struct(x["kind"].alias("kind"), F.coalesce(F.try_element_at(m, i), x["entity"]).alias("entity"), x["hit"].alias("hit"))))
+
+    return let(plain, lambda xs: F.when(F.exists(xs, lambda x: x["kind"] == "person"), joined(xs)).otherwise(xs))
+
+
+def _found(text) -> F.Column:
+    """struct<gaps, hits> of a text; hits as ``_resolved`` gives them."""
+    return let(_pattern(text), lambda p: F.struct(F.split(text, p, -1).alias("gaps"), _resolved(F.regexp_extract_all(text, F.concat(F.lit("("), p, F.lit(")")), F.lit(1))).alias("hits")))
+
+
 def _stream(kind, entity, attempt, key: str) -> F.Column:
     """128 hexadecimal digits fixed by key, entity and attempt."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, entity, attempt.cast("string"))
@@ -179,16 +245,17 @@ def _render(kind, hit, surrogate) -> F.Column:
         lambda a, c: F.when(c != " ", F.struct(F.concat(a["out"], F.substring(surrogate, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
         lambda a: a["out"],
     )
-    shouted = (F.upper(hit) == hit) & (F.lower(hit) != hit)
-    cased = F.when(shouted, F.upper(surrogate)).otherwise(surrogate)
+    own = F.when(kind == "person", _name(hit)).otherwise(hit)
+    short = F.when((kind == "person") & ~F.contains(own, F.lit(" ")), F.regexp_extract(surrogate, r"\S+$", 0)).otherwise(surrogate)
+    shouted = (F.upper(own) == own) & (F.lower(own) != own)
+    cased = F.when(shouted, F.upper(short)).otherwise(short)
     return F.when(kind.isin(*_NUMERIC), digits).when(kind == "account", spaced).when(kind == "person", F.concat(_title(hit), cased)).otherwise(cased)
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kind, entity) of every mention."""
-    hits = docs.where(has_entity(F.col(text_col))).select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"({ENTITY})"), F.lit(1))).alias("hit"))
-    hits = hits.withColumn("kind", _kind(F.col("hit")))
-    return hits.select("id", "kind", _entity(F.col("kind"), F.col("hit")).alias("entity"))
+    hits = docs.where(has_entity(F.col(text_col))).select(F.col(id_col).alias("id"), F.explode(_found(F.col(text_col))["hits"]).alias("x"))
+    return hits.select("id", "x.kind", "x.entity")
 
 
 def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -204,14 +271,12 @@ def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
 
     def put(x):
         def one(hit, at):
-            kind = _kind(hit)
-            got = let(F.struct(kind.alias("k"), F.element_at(F.col(m), F.concat_ws("\x1f", kind, _entity(kind, hit))).alias("s")), lambda y: _render(y["k"], hit, y["s"]))
+            got = let(F.element_at(F.col(m), F.concat_ws("\x1f", hit["kind"], hit["entity"])), lambda y: _render(hit["kind"], hit["hit"], y))
             return F.concat(F.get(x["gaps"], at), got)
 
         return F.struct(F.concat(F.concat_ws("", F.transform(x["hits"], one)), F.element_at(x["gaps"], -1)).alias("text"), F.size(x["hits"]).cast("long").alias("n"))
 
-    parts = F.struct(F.split(text, ENTITY, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(f"({ENTITY})"), F.lit(1)).alias("hits"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    done = busy.withColumn(i, let(parts, put)).select(*[F.col(f"{i}.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *([F.col(f"{i}.n").alias(count_col)] if count_col else []))
+    done = busy.withColumn(i, let(_found(text), put)).select(*[F.col(f"{i}.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *([F.col(f"{i}.n").alias(count_col)] if count_col else []))
     rest = docs.where(~has).select(*columns, *([F.lit(0).cast("long").alias(count_col)] if count_col else []))
     return done.unionByName(rest)
