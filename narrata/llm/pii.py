@@ -9,7 +9,8 @@ where the original does, names of the title's gender and the original's script.
 punctuation, and addresses or names in other case, are the same entity.
 
 Surrogates of two entities never agree and none is an entity of the corpus: what collides is drawn
-again, all but the first of a group, until nothing does. Surrogates are joined to mentions by entity and put
+again, all but the first of a group, until nothing does. The space grows with the draws where a form is narrow: names get more
+syllables, octets more digits, addresses more letters, numbers another first digit. Surrogates are joined to mentions by entity and put
 into texts in the place of the mention, in its own case and punctuation.
 
 Defined results: a null text stays null; a text without entities is unchanged and never shuffled; rows
@@ -54,6 +55,7 @@ _FIRST = {"ip": r"(?=\d)", "ssn": r"(?=\d)", "phone": r"(?=[\d+(])", "account":
 ENTITY = "|".join(f"{_FIRST.get(k, '')}(?:{p})" for k, p in ((k, p.replace(r"([ .\-])\d{3}\1", r"(?:[ .\-])\d{3}(?:[ .\-])")) for k, p in PATTERNS.items()))
 _TITLED = rf"(?=[DFHMPSДгдп])(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.?\s"
 _NUMERIC = ("phone", "card", "ssn")
+_NARROW = 4  #: draws in the entity's own form before the space grows
 
 
 def has_entity(text) -> F.Column:
@@ -185,14 +187,17 @@ def _checksum(digits) -> F.Column:
 
 
 def _surrogate(kind, entity, attempt, key: str) -> F.Column:
+    more = F.greatest(attempt - (_NARROW - 1), F.lit(0))  # draws beyond those in the entity's own form
+
     def made(s):
-        number = F.concat_ws("", F.transform(F.split(entity, ""), lambda c, i: F.when(i == 0, c).otherwise(_draw(s, i, 10).cast("string"))))
+        number = F.concat_ws("", F.transform(F.split(entity, ""), lambda c, i: F.when((i == 0) & (more == 0), c).otherwise(_draw(s, i, 10).cast("string"))))
         fixed = lambda n: F.concat(F.substring(n, F.lit(1), F.length(n) - 1), ((10 - _checksum(F.concat(F.substring(n, F.lit(1), F.length(n) - 1), F.lit("0"))) % 10) % 10).cast("string"))
         card = let(number, lambda n: F.when(_checksum(entity) % 10 == 0, fixed(n)).otherwise(n))
-        octet = lambda o, i: F.when(F.length(o) == 3, _draw(s, i, 156) + 100).when(F.length(o) == 2, _draw(s, i, 90) + 10).otherwise(_draw(s, i, 10)).cast("string")
+        octet = lambda o, i: F.when(more > 0, _draw(s, i, 256)).when(F.length(o) == 3, _draw(s, i, 156) + 100).when(F.length(o) == 2, _draw(s, i, 90) + 10).otherwise(_draw(s, i, 10)).cast("string")
         ip = F.concat_ws(".", F.transform(F.split(entity, r"\."), octet))
         top = F.regexp_extract(entity, r"\.[^.@]*$", 0)
-        email = F.concat(_letters(F.substring(entity, F.lit(1), F.length(entity) - F.length(top)), s), top)
+        longer = F.concat_ws("", F.transform(F.slice(F.array(*[F.lit(k) for k in range(1, 21)]), F.lit(1), more + F.when(more > 0, 3).otherwise(0)), lambda k: F.char(_draw(s, k + 10, 26) + 97)))
+        email = F.concat(longer, _letters(F.substring(entity, F.lit(1), F.length(entity) - F.length(top)), s), top)
         account = F.concat(F.substring(entity, 1, 2), _letters(F.substring(entity, F.lit(3), F.length(entity)), s))
         words = F.split(F.substring(entity, F.lit(3), F.length(entity)), " ")
         cyrillic = F.regexp_like(entity, F.lit(r"\p{IsCyrillic}"))
@@ -202,7 +207,7 @@ def _surrogate(kind, entity, attempt, key: str) -> F.Column:
         def name(w, i):
             pool = let(F.element_at(lists, F.concat(F.when(cyrillic, F.lit("c")).otherwise(F.lit("")), gender)), lambda p: F.get(p, _draw(s, i * 4, F.size(p))))
             parts = F.when(cyrillic, F.array(*[F.lit(x) for x in CYRILLIC])).otherwise(F.array(*[F.lit(x) for x in SYLLABLES]))
-            family = let(parts, lambda p: F.initcap(F.concat(*[F.get(p, _draw(s, i * 4 + k, F.size(p))) for k in range(1, 4)])))
+            family = let(parts, lambda p: F.initcap(F.concat_ws("", F.transform(F.sequence(F.lit(1), more + 3), lambda k: F.get(p, _draw(s, i * 4 + k, F.size(p)))))))
             return F.when((i == 0) & (F.size(words) > 1), pool).otherwise(family)
 
         person = F.concat_ws(" ", F.transform(words, name))
