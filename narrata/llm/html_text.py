@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. In the first pass each block is d
 stop-word density make it good or bad, or leave it open ("short", "neargood"). In the second pass open blocks inherit the
 label of the nearest decided neighbours. Marks in the page itself count first: what stands in menus, headers, footers, sidebars, forms,
 scripts, notices, adverts or comment threads is bad, and where a page marks its article, blocks outside it are bad and blocks
-inside it are held to link density only.
+inside it are held to link density only. Where most of the long text outside links reaches no stop-word density, the lists are not
+for the page's language, and link density and length decide alone.
 
 Defined results: a null page has empty text; tags that never close end with the element around them, and an unclosed
 script, style or comment runs to the end of the page; character references are decoded once; two line breaks in a row divide blocks, a single one is
@@ -46,9 +47,10 @@ _TOKEN = re.compile(
 )
 _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
-LINKS_MOST, SHORT, LONG, STOPS_LOW, STOPS_HIGH, REACH = 0.33, 70, 200, 0.30, 0.32, 200
+LINKS_MOST, SHORT, LONG, STOPS_SOME, STOPS_LOW, STOPS_HIGH, REACH = 0.33, 70, 200, 0.15, 0.30, 0.32, 200
 
 
 @dataclass(slots=True)
@@ -134,7 +136,27 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def _alone(b: Block, marked: bool) -> str:
+def _size(b: Block) -> int:
+    """Characters, those of scripts without spaces between words threefold."""
+    return len(b.text) + 2 * len(_DENSE.findall(b.text))
+
+
+def _stops(b: Block) -> float:
+    words = _WORD.findall(b.text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _listed(found: list[Block]) -> bool:
+    """Whether the stop words are of the page's language: half of its long text outside links and marks has their density."""
+    size = known = 0
+    for b in found:
+        if not b.boilerplate and not b.heading and b.linked <= LINKS_MOST * len(b.text) and _size(b) >= SHORT:
+            size += len(b.text)
+            known += len(b.text) if _stops(b) >= STOPS_LOW else 0
+    return 2 * known >= size
+
+
+def _alone(b: Block, marked: bool, listed: bool = True) -> str:
     n = len(b.text)
     links = b.linked / n
     if b.boilerplate or (marked and not b.article):
@@ -145,20 +167,23 @@ def _alone(b: Block, marked: bool) -> str:
         return "bad"
     if b.heading:
         return "short"
-    words = _WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    n = _size(b)
     if n < SHORT:
         return "bad" if b.linked else "short"
+    stops = _stops(b) if listed else 1.0
     if stops >= STOPS_HIGH:
         return "good" if n > LONG else "neargood"
-    return "neargood" if stops >= STOPS_LOW else "bad"
+    if stops >= STOPS_LOW:
+        return "neargood"
+    return "short" if stops >= STOPS_SOME else "bad"  # dense prose counts as its neighbours do
 
 
 def classify(found: list[Block]) -> list[Block]:
     """Both passes; every label ends as good or bad."""
     marked = any(b.article and not b.boilerplate for b in found)
+    listed = marked or _listed(found)
     for b in found:
-        b.label = _alone(b, marked)
+        b.label = _alone(b, marked, listed)
     first = [b.label for b in found]
     decided = [x in ("good", "bad") for x in first]
     before, after, seen = [], [None] * len(found), None
