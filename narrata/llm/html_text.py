@@ -8,13 +8,15 @@ inside it are held to link density only. Where most of the long text outside lin
 for the page's language, and link density and length decide alone.
 
 Defined results: a null page has empty text; tags that never close end with the element around them, and an unclosed
-script, style or comment runs to the end of the page; character references are decoded once; two line breaks in a row divide blocks, a single one is
+script, style or comment runs to the end of the page; a head ends at the first element or text that can't stand in one; a button, picture or other
+element whose text is skipped ends with its parent, and where it never closes, at the next block; an unclosed title, frame or text area holds nothing; character references are decoded once; two line breaks in a row divide blocks, a single one is
 white space; repeated rows give equal rows; an empty table gives an empty result; nothing is dropped or cut for its length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -32,7 +34,9 @@ STOP_WORDS = frozenset(
 )
 # Elements that divide blocks, that hold no text of their own, and that hold boilerplate.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|button|head|title"
+RAW = "script|style|iframe|textarea|title"  # no elements inside
+SKIPPED = frozenset("noscript template svg math object canvas select button".split())
+HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -42,9 +46,10 @@ MARKS = frozenset(
     "modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget complementary contentinfo".split()
 )
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>",
     re.S | re.I,
 )
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in [*RAW.split("|"), *SKIPPED]}
 _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -74,6 +79,20 @@ def blocks(html: str) -> list[Block]:
     links: list[str] = []
     in_link = breaks = 0
     in_head = False
+    path: list[str] = []  # all elements that are open, and how often each
+    depth: Counter[str] = Counter()
+    skip: list[str] = []  # the skipped element that is open and what is open in it
+    open_head = False
+    ends: dict[str, int] = {}
+
+    def close_at(name: str, at: int) -> re.Match | None:
+        """The next closing tag of ``name``; that there is none is remembered."""
+        if ends.get(name) == -1:
+            return None
+        found = _CLOSE[name].search(html, at)
+        if found is None:
+            ends[name] = -1
+        return found
 
     def end() -> None:
         nonlocal in_head
@@ -85,8 +104,10 @@ def blocks(html: str) -> list[Block]:
         links.clear()
 
     def say(text: str) -> None:
-        nonlocal breaks
-        if text:
+        nonlocal breaks, open_head
+        if open_head and not skip and text and not text.isspace():
+            open_head = False
+        if text and not skip:
             parts.append(text)
             if in_link:
                 links.append(text)
@@ -94,17 +115,61 @@ def blocks(html: str) -> list[Block]:
                 breaks = 0
 
     last = 0
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, last):
         say(html[last : m.start()])
         last = m.end()
+        if m[1]:  # what it holds is skipped
+            raw = m[1].lower()
+            if open_head and raw not in HEAD:
+                open_head = False
+            done = close_at(raw, last)
+            if done:
+                last = done.end()
+            elif raw in ("script", "style"):
+                last = len(html)
+            elif raw == "title":  # without an end: its text, to the next tag
+                last = at if (at := html.find("<", last)) >= 0 else len(html)
+            if not open_head:
+                say(" ")
+                if raw == "title" and not skip:
+                    end()
+            continue
         name = m[3]
         if not name:
-            if m[0][:9] == "<![CDATA[":
+            if m[0][:9] == "<![CDATA[" and not skip:
                 say(m[0][9:].removesuffix("]]>"))
-            elif m[1]:
-                say(" ")
             continue
         name, closes, attributes = name.lower(), bool(m[2]), m[4]
+        if skip:
+            if closes:
+                if name in skip:
+                    del skip[len(skip) - 1 - skip[::-1].index(name) :]
+                    continue
+                if not depth[name]:
+                    continue
+                skip.clear()  # its parent ends
+            elif (name in BLOCKS or name == "body") and "foreignobject" not in skip and (skip[0] in ("svg", "math") or (name not in ("option", "optgroup") and not close_at(skip[0], last))):
+                skip.clear()
+            else:
+                if name not in VOID and not attributes.endswith("/"):
+                    skip.append(name)
+                continue
+        if name == "head" or (open_head and (name not in HEAD or closes)):
+            open_head = name == "head" and not closes
+        if not closes and name in SKIPPED:
+            if not open_head:
+                say(" ")
+            if not (name in ("svg", "math") and attributes.endswith("/")):
+                skip.append(name)
+            continue
+        if closes:
+            while depth[name]:
+                depth[path[-1]] -= 1
+                if path.pop() == name:
+                    break
+        elif name not in VOID:
+            path.append(name)
+            depth[name] += 1
         if name == "br":
             breaks += 1
             say(" ")

@@ -26,3 +26,32 @@ def test_stop_words_still_tell_lists_from_prose():
     body = " ".join(("This is the long text of the page and it has many of the words that are in the list of stop words, so it is good. " * 3).split())
     tags = "red green blue yellow orange purple violet indigo black white silver golden bronze copper"
     assert html_text.main_text(f"<p>{body}</p><p>{body}</p><div>{tags}</div>{MENU}") == f"{body}\n{body}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>x</title><body><article><p>Main</p><p>Text</p></article></body></html>",
+        "<html><head><meta charset=utf-8><title>x</title><link rel=a href=b><article><p>Main</p><p>Text</p></article>",
+        "<html><head><title>x<body><article><p>Main</p><p>Text</p></article>",
+        "<article><p><svg class=icon href='#a' />Main</p><p>Text</p></article>",
+        "<article><p><svg viewBox='0 0 1 1'><g><path d=x /><text>no</text></g></svg>Main</p><p>Text <svg><g>no</p></article>",
+        "<article><p><svg><foreignObject><div>no</div></foreignObject></svg>Main</p><p>Text</p></article>",
+        "<article><p>Main<button>no</p><p>Text</p></article>",
+        "<article><div><select><option>no<option>no</div><p>Main</p><p>Text</p></article>",
+        "<article><p>Main</p><object data=x>no<p>Text</p></article>",
+        "<article><p>Main</p><div><canvas><b>no</b></div><p>Text</p></article>",
+        "<article><p>Main</p><iframe src=x><p>Text</p></article>",
+        "<article><p>Main</p><button><div>no</div></button><p>Text<noscript><p>no</p></noscript></p><script>no</p>",
+    ],
+)
+def test_open_elements_end_with_their_parents(page):
+    assert html_text.main_text(page) == "Main\nText"
+
+
+def test_many_open_elements_take_linear_time():
+    import time
+
+    started = time.monotonic()
+    assert html_text.main_text("<iframe><button><p>" * 20000 + "Text") == "Text"
+    assert time.monotonic() - started < 20
