@@ -39,11 +39,12 @@ DICTIONARY = (
     "secret secure server service site some source src static string test text the this todo token undefined user username utils value version web with word "
     "www xxxx your"
 ).split()
-_TOK = r"A-Za-z0-9+/_\-"
+# No candidate is capped: possessive and lazy loops over one character class take no stack and never go back.
+_TOK, _TOK_LETTERS = r"A-Za-z0-9+/_\-", r"A-Za-z+/_\-"
 _ASSIGN = rf"(?i:(?<![A-Za-z])(?:{KEYS})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)"
-_VALUE = r"[^\s\"'<>|&,;]{8,4096}"
-_BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,40}PRIVATE KEY-----"
-CANDIDATE = rf"{_BLOCK}|{_ASSIGN}{_VALUE}|(?<![{_TOK}])(?=[{_TOK}]{{0,4096}}[0-9])[{_TOK}]{{16,4096}}={{0,2}}"
+_VALUE = r"[^\s\"'<>|&,;]{8,}+"
+_BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?>[\s\S]*?(?=-----))-----END [A-Z ]{0,40}PRIVATE KEY-----"
+CANDIDATE = rf"{_BLOCK}|{_ASSIGN}{_VALUE}|(?<![{_TOK}])(?=[{_TOK_LETTERS}]*+[0-9])[{_TOK}]{{16,}}+={{0,2}}"
 MARK = "[SECRET]"
 FEATURES = ("length", "transitions", "digits", "upper", "lower", "distinct", "dictionary", "path", "assigned", "near_for", "near_against", "hexadecimal")
 
@@ -62,7 +63,7 @@ def _features(before, value, after, assigned) -> dict[str, F.Column]:
         "digits": count("[0-9]") / n,
         "upper": count("[A-Z]") / n,
         "lower": count("[a-z]") / n,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(value, 1, 4096), ""))) / n,
+        "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
         "dictionary": covered / n,
         "path": F.when(F.regexp_like(before, F.lit(r"(?:://|www\.|[\w.]/)\S*$")) | F.regexp_like(value, F.lit(r"[a-z]{2,}/[a-z]|\.[a-z]{2,4}$")), 1.0).otherwise(0.0),
         "assigned": F.when(assigned, 1.0).otherwise(0.0),
