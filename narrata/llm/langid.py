@@ -6,7 +6,7 @@ A text gets the language of the nearest centroid by cosine; the cosine is the sc
 further from every centroid than texts of its length did in training, with slack, is rejected; of fewer than 16 letters,
 only one without any is.
 
-The model is fitted on a bounded sample: at most about ``per_lang`` documents of a language (expected number,
+Document frequencies are counted over all training rows, by bucket. The centroids are fitted on a bounded sample: at most about ``per_lang`` documents of a language (expected number,
 picked by a hash of the id), which the driver receives as sparse vectors. Scoring runs over all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; with nothing to
@@ -126,6 +126,25 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """(texts that have each bucket, texts with letters) over all rows of one text column; partitions send sums of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIMS + 1, np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 128):
+                x, letters = counts(b.slice(at, 128).column(0).to_pylist())
+                total[:DIMS] += (x[letters > 0] > 0).sum(0)
+                total[DIMS] += (letters > 0).sum()
+        at_ = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at_.astype(np.int32)), pa.array(total[at_])], ["bucket", "n"])
+
+    out = np.zeros(DIMS + 1, np.int64)
+    for r in texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out[:DIMS], int(out[DIMS])
+
+
 def fit(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, clusters: int = 4, slack: float = 0.5) -> Model:
     """Learn from the rows for which ``train`` holds and the language is not null."""
     labelled = docs.where(train & F.col(lang_col).isNotNull())
@@ -154,7 +173,8 @@ def fit(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str
         return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [])
     order = np.lexsort((x.sum(1), letters, lang.astype(str)))  # the same model in whatever order rows arrive
     lang, letters, x = lang[order], letters[order], x[order]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
+    having, total = frequencies(labelled.select(F.col(text_col).alias("text")))
+    idf = np.log((1 + total) / (1 + having)).astype(np.float32) + 1
     x = _unit(np.log1p(x) * idf)
     found = {name: _spherical_kmeans(x[lang == name], clusters) for name in sorted(set(lang))}
     model = Model(idf, np.concatenate(list(found.values())).astype(np.float32), [k for k, c in found.items() for _ in c])
