@@ -1,26 +1,34 @@
 """Near-duplicate groups by SimHash and a binary trie self-join.
 
-Every text becomes a 64-bit fingerprint; equal fingerprints are one node. The distinct fingerprints
-form a binary trie that is joined with itself: pairs of trie nodes are walked together, the bits in
-which they differ are summed, and a pair of subtrees is dropped as soon as that sum exceeds the
-error budget. Linked fingerprints are joined to components by alternating large-star and small-star
-steps.
-
-How it is spread out. Two fingerprints that differ in at most ``k`` bits agree on at least one of
-``k + 1`` blocks, so the trie is stored under ``k + 1`` rotations and every rotation is entered at the
-nodes of its first block (difference 0). Each such node is a unit of work. A unit of more than
-``leaf_rows`` fingerprints is opened level by level with DataFrame joins of child nodes, under the
-same budget, until every unit is small; a node at full depth is one fingerprint, so this ends. A
-unit gives at most a spanning forest of its links, never all pairs.
+Every text becomes a fingerprint of shingle hashes; equal ones are one node. Fingerprints form a binary trie that is joined with
+itself: pairs of trie nodes are walked together, the bits in which they differ are summed, and a pair of subtrees is dropped as soon
+as that sum exceeds the error budget. Linked nodes are joined to components by alternating large-star and small-star steps.
+
+Two uses. ``near_duplicate_groups`` links 64-bit fingerprints within a budget of a few bits. ``similar_groups`` links texts whose
+sets of shingles have a Jaccard similarity of ``least`` or more: bits of two such texts differ with a probability of up to
+``acos(2 * least / (1 + least)) / pi`` (15 % at 0.8), too many for one trie of 64 bits, so the fingerprint is wider. It is cut into blocks, the trie is
+entered at the nodes of every block (difference 0) and walked on through the 64 bits after it, and every pair that it gives is verified on the whole
+sets. ``plan`` derives the blocks from the wanted recall: a pair exactly at ``least`` is a candidate with a probability of ``recall``,
+a more similar one with more. A block is as wide as keeps its units small however many texts there are, but at least 16 bits.
+
+How it is spread out. Two 64-bit fingerprints that differ in at most ``k`` bits agree on at least one of ``k + 1`` blocks, so that trie
+is entered at the nodes of each of ``k + 1`` blocks too. Each entered node is a unit of work. A unit of more than ``leaf_rows`` rows is opened level by level
+with DataFrame joins of child nodes, under the same budget, until every unit is small; a node at full depth is one fingerprint, so this ends. A
+task walks a few units at a time, merges what it has linked as it goes, and drops pairs of subtrees that are in one component already, so that
+groups of copies give a forest, not all pairs.
+
+Links of ``similar_groups`` are verified ones, which a forest of candidates could miss. So a first pass verifies a forest (large units only
+in parts, each part's rows with the row most like all of them), and a second pass walks all pairs across the components of the first.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked
-like any other; equal texts share a component; rows repeated under one id give as many equal rows; a
+like any other by ``near_duplicate_groups``, and only with other texts without words by ``similar_groups``; equal texts share a component; rows repeated under one id give as many equal rows; a
 null id stays null and never becomes a component id unless the component has no other; an empty
 table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,30 +36,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm._work import fresh, materialize
+from narrata.llm._work import SPACE, fresh, materialize
 
 BITS = 64
 SEED = 42
 SHINGLE = 3
-_BLOCK = 1 << 15
+_COUNTED = 240  #: shingles whose bits are counted at a time, in bytes
+_GROUP = 1 << 15  #: rows of units that are walked at a time
+_U = np.uint64
 
 
-def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of one UTF-8 text."""
+def words(data: bytes | None) -> list[bytes]:
+    return (data or b"").lower().split()  # bytes: only A-Z change, only ASCII white space splits
+
+
+def shingle_hashes(found: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; the whole of fewer words; nothing without words."""
     from xxhash import xxh64_intdigest as xxh
 
-    words = (data or b"").lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not words:
-        return 0
-    if len(words) < shingle:
-        hashes = [xxh(b" ".join(words), SEED)]
-    else:
-        hashes = [xxh(b" ".join(w), SEED) for w in zip(*(words[i:] for i in range(shingle)), strict=False)]
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), _BLOCK):
-        part = np.array(hashes[at : at + _BLOCK], "<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    if not found:
+        return np.zeros(0, _U)
+    if len(found) < shingle:
+        return np.array([xxh(b" ".join(found), SEED)], _U)
+    return np.array([xxh(b" ".join(w), SEED) for w in zip(*(found[i:] for i in range(shingle)), strict=False)], _U)
+
+
+def majority(hashes: np.ndarray, wide: int = 1) -> np.ndarray:
+    """Bytes of ``wide`` 64-bit words: bits set in over half of the hashes, the first word of the hashes themselves and each further one of another mix of them."""
+    ones = np.zeros(wide * BITS, np.int64)
+    for at in range(0, len(hashes), _COUNTED):
+        part = hashes[at : at + _COUNTED, None]
+        if wide > 1:
+            part = part ^ (np.arange(wide, dtype=_U) * _U(0x9E3779B97F4A7C15))
+            mixed = (part ^ (part >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> _U(27)
+            mixed *= _U(0x94D049BB133111EB)
+            mixed[:, 0] = part[:, 0]
+            part = mixed
+        bits = np.unpackbits(np.ascontiguousarray(part, "<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little")
+
+
+def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of one UTF-8 text."""
+    return int(majority(shingle_hashes(words(data), shingle)).view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -59,43 +88,83 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], _U).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "id long, fp long")
 
 
-def trie_links(unit: np.ndarray, side: np.ndarray, value: np.ndarray, budget: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs linked within units. ``side`` is 0 where a unit joins with itself, else 1 and 2.
+# The walk --------------------------------------------------------------------------------------------------
+
+
+def _products(pairs: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of all members of pairs of ranges; a range with itself gives each pair once."""
+    sizes = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2])
+    for first in range(0, pairs.shape[1], 1 + most // max(1, int(sizes.max(initial=1)))):
+        part = pairs[:, first : first + 1 + most // max(1, int(sizes.max(initial=1)))]
+        size, width = (part[1] - part[0]) * (part[3] - part[2]), part[3] - part[2]
+        each = np.repeat(np.arange(part.shape[1]), size)
+        k = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+        a, b = part[0][each] + k // width[each], part[2][each] + k % width[each]
+        keep = (part[0] != part[2])[each] | (a < b)
+        yield a[keep], b[keep]
 
-    The trie over (unit, side, value) is a sorted array, a node is a range of it. ``most`` bounds
-    the node pairs that are held at once; more are walked in parts.
+
+def trie_pairs(unit: np.ndarray, side: np.ndarray, value: np.ndarray, budget: int, comp: np.ndarray | None = None, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the budget in the same unit. ``side`` is 0 where a unit joins with itself, else 1 and 2; pairs of
+    subtrees that are in one component (``comp``) are dropped.
+
+    The trie over (unit, side, value) is a sorted array, a node is a range of it; a pair of leaves is compared at once. ``most`` bounds
+    the node pairs that are held; more are walked in parts.
     """
+    n = len(value)
+    if not n:
+        return
     order = np.lexsort((value, side, unit))
     unit, side, value = unit[order], side[order], value[order]
-    n = len(value)
-    cut = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (side[1:] != side[:-1])]) if n else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (side[1:] != side[:-1])])
     end = np.r_[cut[1:], n]
-    own = (side[cut] == 0) & (end - cut > 1) if n else np.zeros(0, bool)
-    left = np.flatnonzero((side[cut[:-1]] == 1) & (side[cut[1:]] == 2) & (unit[cut[:-1]] == unit[cut[1:]])) if len(cut) > 1 else np.zeros(0, np.int64)
-    start = np.concatenate([np.stack([cut[own], end[own], cut[own], end[own]]), np.stack([cut[left], end[left], cut[left + 1], end[left + 1]])], axis=1)
-    ones = {}
-    found: list[np.ndarray] = []
-    stack = [(BITS - 1, start, np.zeros(start.shape[1], np.int8))]
+    own = (side[cut] == 0) & (end - cut > 1)
+    left = np.flatnonzero((side[cut[:-1]] == 1) & (side[cut[1:]] == 2) & (unit[cut[:-1]] == unit[cut[1:]]))
+    pairs = np.concatenate([np.stack([cut[own], end[own], cut[own], end[own]]), np.stack([cut[left], end[left], cut[left + 1], end[left + 1]])], axis=1)
+    if comp is not None:
+        comp = comp[order]
+        breaks = np.flatnonzero(comp[1:] != comp[:-1]) + 1
+        same_to = np.r_[breaks, n][np.searchsorted(breaks, np.arange(n), "right")]  # where the run of one component ends
+    ones: dict[int, np.ndarray] = {}
+    stack = [(BITS - 1, pairs, np.zeros(pairs.shape[1], np.int8))]
     while stack:
         bit, pairs, diff = stack.pop()
+        if comp is not None and pairs.shape[1]:
+            alo, ahi, blo, bhi = pairs
+            open_ = ~((comp[alo] == comp[blo]) & (same_to[alo] >= ahi) & (same_to[blo] >= bhi))
+            pairs, diff = pairs[:, open_], diff[open_]
         if not pairs.shape[1]:
             continue
-        if bit < 0:
-            found.append(pairs[[0, 2]])
-            continue
         if pairs.shape[1] > most:
             half = pairs.shape[1] // 2
             stack += [(bit, pairs[:, :half], diff[:half]), (bit, pairs[:, half:], diff[half:])]
             continue
+        leaf = (pairs[1] - pairs[0] == 1) & (pairs[3] - pairs[2] == 1)
+        if bit < 0:
+            for a, b in _products(pairs, most):
+                if comp is not None:
+                    across = comp[a] != comp[b]
+                    a, b = a[across], b[across]
+                yield order[a], order[b]
+            continue
+        if leaf.any():
+            a, b = pairs[0, leaf], pairs[2, leaf]
+            rest = (value[a] ^ value[b]) & _U((1 << (bit + 1)) - 1)
+            near = diff[leaf] + np.bitwise_count(rest) <= budget
+            if near.any():
+                yield order[a[near]], order[b[near]]
+            pairs, diff = pairs[:, ~leaf], diff[~leaf]
+            if not pairs.shape[1]:
+                continue
         if bit not in ones:
-            ones[bit] = np.r_[0, np.cumsum((value >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)]
+            ones[bit] = np.r_[0, np.cumsum((value >> _U(bit)) & _U(1), dtype=np.int64)]
         count, (alo, ahi, blo, bhi) = ones[bit], pairs
         amid, bmid = ahi - (count[ahi] - count[alo]), bhi - (count[bhi] - count[blo])
         same = alo == blo  # a node with itself
@@ -107,84 +176,163 @@ def trie_links(unit: np.ndarray, side: np.ndarray, value: np.ndarray, budget: in
         keep = [full(zero) & twin(zero), full(one) & twin(one), full(over) & may, full(under) & may & ~same]
         nxt = np.concatenate([p[:, k] for p, k in zip((zero, one, over, under), keep, strict=True)], axis=1)
         stack.append((bit - 1, nxt, np.concatenate([diff[keep[0]], diff[keep[1]], diff[keep[2]] + np.int8(1), diff[keep[3]] + np.int8(1)])))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(found, axis=1)
-    return order[a], order[b]
-
-
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
-    """Positions of links that make a spanning forest of the links over ``n`` nodes."""
-    root, kept = list(range(n)), []
-    for at, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        while root[y] != y:
-            root[y] = y = root[root[y]]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(at)
-    return kept
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """(first bit from the top, width) of each of budget + 1 blocks."""
-    cuts = [BITS * i // (budget + 1) for i in range(budget + 2)]
-    return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-
-
-def _rotl(fp, by) -> F.Column:
-    return F.expr(f"shiftleft({fp}, {by}) | shiftrightunsigned({fp}, {BITS} - {by})") if by else F.col(fp)
-
+class _Forest:
+    """Joins positions; tells which links join something new."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while (up := self.root[self.root]).tolist() != self.root.tolist():
+            self.root = up
+        return self.root
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the links (a, b) joined two trees."""
+        root = self.roots()
+        new = np.flatnonzero(root[a] != root[b])
+        parent, kept = root, []
+        for at in new.tolist():
+            x, y = int(a[at]), int(b[at])
+            while parent[x] != x:
+                x = int(parent[x])
+            while parent[y] != y:
+                y = int(parent[y])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                kept.append(at)
+        return np.array(kept, np.int64)
+
+
+def _near_rows(unit: np.ndarray, side: np.ndarray, value: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the budget of each row (sorted by unit, side and value) with the next of its unit and with the one most like all of its unit."""
+    n = len(value)
+    fits = lambda a, b: np.bitwise_count(value[a] ^ value[b]) <= budget
+    new = np.r_[True, (unit[1:] != unit[:-1]) | (side[1:] != side[:-1])]
+    cut = np.flatnonzero(new)
+    size = np.diff(np.r_[cut, n])
+    a, b = np.flatnonzero(~new) - 1, np.flatnonzero(~new)
+    many = size > 2
+    if many.any():
+        row = np.repeat(many, size)
+        which, first = np.repeat(np.arange(len(cut)), size), cut
+        half = np.zeros((len(cut), BITS), np.int32)
+        bits = np.unpackbits(value[row].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        starts = np.flatnonzero(np.r_[True, which[row][1:] != which[row][:-1]])
+        half[many] = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        middle = np.packbits(2 * half > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        off = np.bitwise_count(value ^ middle[which]).astype(np.int64)
+        best = np.minimum.reduceat(off * n + np.arange(n), first) % n
+        star_a, star_b = best[which[row]], np.flatnonzero(row)
+        other = star_a != star_b
+        a, b = np.r_[a, star_a[other]], np.r_[b, star_b[other]]
+    keep = fits(a, b) if len(a) else np.zeros(0, bool)
+    return a[keep], b[keep]
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by unit, in tables of whole units of about ``_GROUP`` rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        if size >= _GROUP:
+            t = pa.Table.from_batches(held).combine_chunks()
+            u = t.column("u").to_numpy()
+            last = int(np.searchsorted(u, u[-1], "left")) if (u[:-1] <= u[1:]).all() else 0
+            if last:
+                yield t.slice(0, last)
+                held, size = t.slice(last).to_batches(), t.num_rows - last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _linked(ready: DataFrame, budget: int, least: float = 0.0, forest: bool = True) -> DataFrame:
+    """(a, b) of rows (u, side, value[, node, comp, n]): links within the budget, all of them or a forest of each task's units; between
+    different components, where there are, and of sizes that allow a similarity of ``least``."""
 
-def links(nodes: DataFrame, budget: int = 2, leaf_rows: int = 8192) -> DataFrame:
-    """(a, b) links among the distinct fingerprints of ``nodes`` (column fp) that join all pairs
-    within ``budget`` differing bits into the same components as all pairs would."""
-    blocks = _blocks(budget)
-    if budget == 0:
-        return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    turned = F.array(*[F.struct(F.lit(width).alias("pos"), _rotl("fp", lo).alias("rot")) for lo, width in blocks])
-    rows = nodes.select("fp", F.posexplode(turned).alias("r", "t")).select(
-        "fp", "t.rot", "t.pos", F.lit(0).alias("side"), F.lit(0).alias("diff"),
-        F.expr("xxhash64(r, shiftrightunsigned(t.rot, 64 - t.pos))").alias("u"),
-    )
-    busy = materialize(rows.groupBy("u").count().where(F.col("count") > leaf_rows).select("u"), "hot-nodes")
-    ready = rows.select("u", "side", "fp")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_units(batches):
+            column = lambda name: t.column(name).to_numpy() if name in t.column_names else None  # noqa: B023, E731
+            unit, side, value = column("u"), column("side"), column("value")
+            new = np.r_[True, unit[1:] != unit[:-1]]
+            alone = new & np.r_[new[1:], True]
+            keep = np.flatnonzero(~alone)
+            if not len(keep):
+                continue
+            unit, side, value = unit[keep], side[keep], value[keep].view(_U)
+            order = np.lexsort((value, side, unit))
+            keep, unit, side, value = keep[order], unit[order], side[order], value[order]
+            node = column("node")
+            node = value.view(np.int64) if node is None else node[keep]
+            comp, n = column("comp"), column("n")
+            comp = None if comp is None else comp[keep]
+            n = None if n is None else n[keep]
+
+            def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+                ok = node[a] != node[b]  # noqa: B023
+                if comp is not None:  # noqa: B023
+                    ok &= comp[a] != comp[b]  # noqa: B023
+                if n is not None:  # noqa: B023
+                    ok &= np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9  # noqa: B023
+                if ok.any():
+                    x, y = node[a[ok]], node[b[ok]]  # noqa: B023
+                    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+            if not forest:
+                for a, b in trie_pairs(unit, side, value, budget, comp):
+                    yield from out(a, b)
+                continue
+            tree = _Forest(len(value))
+            a, b = _near_rows(unit, side, value, budget)
+            yield from out(a, b)
+            tree.add(a, b)
+            for a, b in trie_pairs(unit, side, value, budget, tree.roots().copy()):
+                new_ = tree.add(a, b)
+                yield from out(a[new_], b[new_])
+
+    return ready.repartition("u").sortWithinPartitions("u").mapInArrow(run, "a long, b long")
+
+
+def _open_units(rows: DataFrame, budget: int, leaf_rows: int, step: int, label: str) -> DataFrame:
+    """Rows (u, side, diff, pos, rot, ...) with every unit of more than ``leaf_rows`` rows opened into small ones."""
+    keep = [c for c in rows.columns if c not in ("diff", "pos", "rot")]
+    counts = rows.groupBy("u").agg(F.count(F.lit(1)).alias("m"), *([F.min("comp").alias("lo"), F.max("comp").alias("hi")] if "comp" in rows.columns else []))
+    if "comp" in rows.columns:  # a unit of one component has no link to give
+        counts = materialize(counts.where("lo <> hi").select("u", "m"), f"{label}-units")
+        rows = rows.join(counts.select("u"), "u", "left_semi")
+    busy = materialize(counts.where(F.col("m") > leaf_rows).select("u"), f"{label}-hot-units")
+    ready = rows.select(*keep)
     if not busy.isEmpty():
-        ready = rows.join(busy, "u", "left_anti").select("u", "side", "fp")
-        hot = materialize(rows.join(busy, "u", "left_semi"), "hot-0")
-        for level in range(1, BITS + 1):
-            opened = _descend(hot, budget)
+        ready = rows.join(busy, "u", "left_anti").select(*keep)
+        hot = materialize(rows.join(busy, "u", "left_semi"), f"{label}-hot")
+        for level in range(BITS):
+            opened = materialize(_descend(hot, budget, step), f"{label}-hot-{level}")
             done = (F.col("size") <= leaf_rows) | (F.col("pos") >= BITS)
-            opened = materialize(opened, f"hot-{level}")
-            ready = ready.unionByName(opened.where(done).select("u", "side", "fp"))
+            ready = ready.unionByName(opened.where(done).select(*keep))
             hot = opened.where(~done).drop("size")
             if hot.isEmpty():
                 break
+    return ready
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        unit, side, fp = (t.column(i).to_numpy() for i in range(3))
-        a, b = trie_links(unit, side, fp.view(np.uint64), budget)
-        names, code = np.unique(fp, return_inverse=True)
-        kept = forest(code[a], code[b], len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[a[kept]]), pa.array(fp[b[kept]])], ["a", "b"])
-
-    return ready.repartition("u").mapInArrow(run, "a long, b long")
-
-
-def _descend(hot: DataFrame, budget: int) -> DataFrame:
-    """Open each unit of ``hot`` by up to eight more bits: pairs of child nodes within the budget."""
-    step = F.expr("least(8, 64 - pos)")
-    hot = hot.withColumn("step", step).withColumn("x", F.expr("shiftrightunsigned(shiftleft(rot, pos), 64 - step)"))
-    nodes = hot.groupBy("u", "side", "pos", "step", "diff", "x").agg(F.count(F.lit(1)).alias("n"))
+
+def _descend(hot: DataFrame, budget: int, most_step: int) -> DataFrame:
+    """Open each unit of ``hot`` by up to ``most_step`` more bits: pairs of child nodes within the budget and not in one component."""
+    others = [c for c in hot.columns if c not in ("u", "side", "diff", "pos", "rot")]
+    labelled = "comp" in others
+    hot = hot.withColumn("step", F.expr(f"least({most_step}, {BITS} - pos)")).withColumn("x", F.expr(f"shiftrightunsigned(shiftleft(rot, pos), {BITS} - step)"))
+    parts = [F.min("comp").alias("lo"), F.max("comp").alias("hi")] if labelled else [F.lit(0).alias("lo"), F.lit(1).alias("hi")]
+    nodes = hot.groupBy("u", "side", "pos", "step", "diff", "x").agg(F.count(F.lit(1)).alias("n"), *parts)
     a, b = nodes.where("side < 2").alias("a"), nodes.where("side <> 1").alias("b")
     differ = F.expr("a.diff + bit_count(a.x ^ b.x)")
     own = F.expr("a.side = 0 and a.x = b.x")
-    pairs = a.join(b, F.expr("a.u = b.u and (a.side = 1 or a.x <= b.x)")).where(differ <= budget).select(
+    pairs = a.join(b, F.expr("a.u = b.u and (a.side = 1 or a.x <= b.x)")).where(differ <= budget).where("not (a.lo = a.hi and b.lo = b.hi and a.lo = b.lo)").select(
         F.col("a.u").alias("u"), F.col("a.x").alias("x"), F.col("b.x").alias("y"), F.col("a.side").alias("sa"), F.col("b.side").alias("sb"),
         differ.alias("d"), own.alias("own"), F.when(own, F.col("a.n")).otherwise(F.expr("a.n + b.n")).alias("size"),
         F.expr("xxhash64(a.u, a.x, b.x, a.pos)").alias("nu"),
@@ -192,12 +340,37 @@ def _descend(hot: DataFrame, budget: int) -> DataFrame:
     member = F.when(F.col("own"), F.expr("array(struct(sa as side, x as x, 0 as ns))")).otherwise(F.expr("array(struct(sa as side, x as x, 1 as ns), struct(sb as side, y as x, 2 as ns))"))
     members = pairs.select("u", "nu", "d", "size", F.explode(member).alias("m")).select("u", F.col("m.side").alias("side"), F.col("m.x").alias("x"), "nu", "d", "size", "m.ns")
     return hot.join(members, ["u", "side", "x"]).select(
-        "fp", "rot", F.expr("pos + step").alias("pos"), F.col("ns").alias("side"), F.col("d").cast("int").alias("diff"), F.col("nu").alias("u"), "size",
+        F.col("nu").alias("u"), F.col("ns").alias("side"), F.col("d").cast("int").alias("diff"), F.expr("pos + step").alias("pos"), "rot", *others, "size",
+    )
+
+
+# Fingerprints within a budget ------------------------------------------------------------------------------
+
+
+def _blocks(budget: int) -> list[tuple[int, int]]:
+    """(first bit from the top, width) of each of budget + 1 blocks."""
+    cuts = [BITS * i // (budget + 1) for i in range(budget + 2)]
+    return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def _rotl(fp, by) -> F.Column:
+    return F.expr(f"shiftleft({fp}, {by}) | shiftrightunsigned({fp}, {BITS} - {by})") if by else F.col(fp)
+
+
+def links(nodes: DataFrame, budget: int = 2, leaf_rows: int = 8192) -> DataFrame:
+    """(a, b) links among the distinct fingerprints of ``nodes`` (column fp) that join all pairs
+    within ``budget`` differing bits into the same components as all pairs would."""
+    if budget == 0:
+        return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+    turned = F.array(*[F.struct(F.lit(width).alias("pos"), _rotl("fp", lo).alias("rot")) for lo, width in _blocks(budget)])
+    rows = nodes.select(F.col("fp").alias("value"), F.posexplode(turned).alias("r", "t")).select(
+        F.expr("xxhash64(r, shiftrightunsigned(t.rot, 64 - t.pos))").alias("u"), F.lit(0).alias("side"), F.lit(0).alias("diff"), "t.pos", "t.rot", "value",
     )
+    return _linked(_open_units(rows, budget, leaf_rows, 8, "trie"), budget)
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(node, root): every node of ``edges`` (a, b) with the smallest node it can reach."""
+    """(node, root): every node of ``edges`` (a, b) with the smallest node it can reach. Each round at least halves the longest way."""
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -231,14 +404,154 @@ def fingerprint_hex(fp="fp") -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2, groups: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, one row an id; all columns stay.
-    Rows without an id can't be named by a decision and stay. ``groups`` (id, component_id) can be given."""
-    groups = materialize(near_duplicate_groups(docs, id_col, text_col, budget) if groups is None else groups, "groups")
-    keep = groups.where(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    twice = not keep.where("n > 1").isEmpty()
-    (name,) = fresh(docs, "_keep")
-    kept = docs.join(keep.select(F.col("id").alias(name)), F.col(id_col).cast("long") == F.col(name), "left_semi")
-    if twice:
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+# Texts of a similarity -------------------------------------------------------------------------------------
+
+
+def plan(texts: int, least: float = 0.8, recall: float = 0.999, narrowest: int = 16) -> tuple[int, int, int]:
+    """(block width, blocks, budget over the 64 bits after a block) that make a pair at ``least`` a candidate with probability ``recall``."""
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    width = min(max(narrowest, math.ceil(math.log2(max(texts, 2))) - 4), 48)
+    budget, within = 0, (1 - p) ** BITS
+    while within < 0.985:
+        budget += 1
+        within += math.comb(BITS, budget) * p**budget * (1 - p) ** (BITS - budget)
+    one = (1 - p) ** width * within
+    return width, math.ceil(math.log1p(-recall) / math.log1p(-one)), budget
+
+
+def node_of(text) -> F.Column:
+    """XXH64 of a text's words as ``words`` finds them, as a signed long; texts of the same words are one node."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.xxhash64(F.trim(F.regexp_replace(low, SPACE, " ")))
+
+
+def _prints(rows: DataFrame, shingle: int, wide: int) -> DataFrame:
+    """(id, node, n, fp) of (id, text): the words' hash, distinct shingles and their wide fingerprint; texts without words have none."""
+    from xxhash import xxh64_intdigest as xxh
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                b = batch.slice(at, 2048)
+                nodes, sizes, prints = np.zeros(b.num_rows, _U), [], []
+                for i, x in enumerate(b.column(1)):
+                    found = words(x.as_py())
+                    nodes[i] = xxh(b" ".join(found), SEED)
+                    h = np.unique(shingle_hashes(found, shingle))
+                    sizes.append(len(h))
+                    prints.append(majority(h, wide).tobytes() if len(h) else b"")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], ["id", "node", "n", "fp"])
+
+    return rows.mapInArrow(run, "id long, node long, n long, fp binary")
+
+
+def _entries(nodes: DataFrame, width: int, blocks: int, wide: int) -> DataFrame:
+    """(u, value, node, n[, comp]) for each block of (node, n, fp[, comp]): the node entered and the 64 bits after it."""
+    labelled = "comp" in nodes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                b = batch.slice(at, 2048)
+                raw = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, wide * 8)
+                bits = np.unpackbits(raw, axis=1)
+                bits = np.concatenate([bits, bits[:, : width + BITS]], axis=1)
+                for i in range(blocks):
+                    key = np.zeros((b.num_rows, BITS), np.uint8)
+                    key[:, BITS - width :] = bits[:, i * width : (i + 1) * width]
+                    key = np.packbits(key, axis=1).view(">u8")[:, 0].astype(np.int64) + (i << width)
+                    value = np.packbits(bits[:, (i + 1) * width : (i + 1) * width + BITS], axis=1).view(">u8")[:, 0].astype(_U).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value), b.column(0), b.column(1), *([b.column(3)] if labelled else [])], ["u", "value", "node", "n", *(["comp"] if labelled else [])])
+
+    return nodes.select("node", "n", "fp", *(["comp"] if labelled else [])).mapInArrow(run, "u long, value long, node long, n long" + (", comp long" if labelled else ""))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets are as similar as ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (np.frombuffer(z.as_py(), _U) for z in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= least * (len(p) + len(q) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("p")), "a")
+    full = with_a.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("q")), "b")
+    return full.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams): the sorted distinct shingle hashes of the wanted nodes of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(words(x.as_py()), shingle)).tobytes() for x in b.column(1)], pa.binary())], ["node", "grams"])
+
+    return texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(run, "node long, grams binary")
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame, least: float, shingle: int, blocks: tuple[int, int, int], wide: int, leaf_rows: int = 8192) -> DataFrame:
+    """(node, root) of all nodes (node, n, fp) that have a verified link; ``texts`` are (node, text)."""
+    width, count, budget = blocks
+    rows = _entries(nodes, width, count, wide)
+    # a forest is enough here, so a large unit is dealt in parts
+    large = materialize(rows.groupBy("u").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > leaf_rows).select("u", F.ceil(F.col("m") / leaf_rows).alias("parts")), "large-units")
+    if not large.isEmpty():
+        split = rows.join(large, "u", "left").withColumn("u", F.expr("if(parts is null, u, xxhash64(u, pmod(xxhash64(node, u), parts)))"))
+        rows = split.select("u", "value", "node", "n")
+    first = materialize(_linked(rows.withColumn("side", F.lit(0)), budget, least).distinct(), "candidates")
+    alive = materialize(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "alive")
+    sets = materialize(_sets(texts, alive, shingle), "shingles")
+    edges = materialize(_verified(first, sets, least), "links")
+    roots = components(edges)
+    # all pairs across components: whatever has a candidate in a unit is alive
+    labelled = nodes.join(alive, "node").join(roots, "node", "left").select("node", "n", "fp", F.coalesce("root", "node").alias("comp"))
+    rows = _entries(labelled, width, count, wide).select("u", F.lit(0).alias("side"), F.lit(0).alias("diff"), F.lit(0).alias("pos"), F.col("value").alias("rot"), "value", "node", "n", "comp")
+    rest = _linked(_open_units(rows, budget, leaf_rows, 4, "across"), budget, least, forest=False).distinct()
+    more = materialize(_verified(rest.join(first, ["a", "b"], "left_anti"), sets, least), "links")
+    return roots if more.isEmpty() else components(edges.unionByName(more))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5, recall: float = 0.999, leaf_rows: int = 8192) -> DataFrame:
+    """(id, node, root) for every row: rows of one root are near duplicates."""
+    width, count, budget = plan(docs.count(), least, recall)
+    wide = math.ceil(width * count / BITS)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    prints = materialize(_prints(rows, shingle, wide), "prints")
+    nodes = prints.where("n > 0").dropDuplicates(["node"]).select("node", "n", "fp")
+    texts = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).cast("binary").alias("text"))
+    roots = similar_links(texts, materialize(nodes, "nodes"), least, shingle, (width, count, budget), wide, leaf_rows)
+    return prints.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, component_id): ``similar_groups`` by the smallest id of each."""
+    groups = materialize(similar_groups(docs, id_col, text_col, **options), "groups")
+    least = groups.groupBy("root").agg(F.min("id").alias("component_id"))
+    return groups.join(least, "root").select("id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each group of ``similar_groups``, all columns kept: the one with the smallest id (null ids last), of rows that
+    share it the one with the smallest words' hash, then text; of rows that are still equal, one."""
+    groups = materialize(similar_groups(docs, id_col, text_col, **options), "groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
+    keep = materialize(groups.groupBy("root").agg(first).select(F.col("first.id").alias("kid"), F.col("first.node").alias("knode")), "kept")
+    mine = F.col("id").eqNullSafe(F.col("kid")) & (F.col("node") == F.col("knode"))
+    twice = materialize(groups.join(keep, mine, "left_semi").groupBy("id", "node").count().where("count > 1").select(F.col("id").alias("kid"), F.col("node").alias("knode")), "repeated")
+    i, k, r = fresh(docs, "kid_", "knode_", "row_")
+    rows = docs.withColumn(k, node_of(F.col(text_col)))
+    here = lambda names: (F.col(k) == names["knode"]) & F.col(id_col).cast("long").eqNullSafe(names["kid"])
+    named = lambda df: df.select(F.col("kid").alias(i), F.col("knode").alias(f"{k}_"))
+    at = {"kid": F.col(i), "knode": F.col(f"{k}_")}
+    kept = rows.join(named(keep), here(at), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if twice.isEmpty():
+        return kept.select(*columns)
+    some = kept.join(named(twice), here(at), "left_semi")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = some.groupBy(F.col(f"`{id_col}`").cast("long"), k).agg(F.min_by(F.struct(*columns), F.struct(text_col, F.xxhash64(*plain))).alias(r))
+    return kept.join(named(twice), here(at), "left_anti").select(*columns).unionByName(one.select(f"{r}.*"))

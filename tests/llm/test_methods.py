@@ -73,8 +73,8 @@ def test_components_are_those_of_all_pairs(spark, leaf):
 @settings(max_examples=60, deadline=None)
 def test_trie_links_are_all_links(values, budget, most):
     v = np.array(values, np.uint64)
-    a, b = simhash.trie_links(np.zeros(len(v), np.int64), np.zeros(len(v), np.int32), v, budget, most)
-    got = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    parts = simhash.trie_pairs(np.zeros(len(v), np.int64), np.zeros(len(v), np.int32), v, budget, most=most)
+    got = {frozenset(p) for a, b in parts for p in zip(a.tolist(), b.tolist(), strict=True)}
     assert got == {frozenset((i, j)) for i in range(len(v)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= budget}
 
 
