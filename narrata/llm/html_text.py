@@ -2,15 +2,16 @@
 
 A page is cut into blocks at block-level tags. In the first pass each block is decided on its own: link density, length and
 stop-word density make it good or bad, or leave it open ("short", "neargood"). In the second pass open blocks inherit the
-label of the nearest decided neighbours. Marks in the page itself count first: what stands in menus, headers, footers, sidebars, forms,
-scripts, notices, adverts or comment threads is bad, and where a page marks its article, blocks outside it are bad and blocks
-inside it are held to link density only. Where most of the long text outside links reaches no stop-word density, the lists are not
-for the page's language, and link density and length decide alone.
-
-Defined results: a null page has empty text; tags that never close end with the element around them, and an unclosed
-script, style or comment runs to the end of the page; a head ends at the first element or text that can't stand in one; a button, picture or other
+label of the nearest decided neighbours. Marks in the page shift this. Menus, headers, footers, sidebars, forms, notices, adverts and comment threads
+(elements, or names of a class, id or role that say nothing else) are bad. Within an article element the thresholds are lower, and where the
+articles hold at least as much good text as the rest of the page, the rest is bad, the article's blocks have no neighbours outside it or in boilerplate, and an open one needs
+two bad neighbours to be bad; where they hold less (teasers, comment cards), the articles count for nothing. Where most of the long text outside links
+reaches no stop-word density, the lists are not for the page's language, and link density and length decide alone.
+
+Defined results: a null page has empty text; tags that never close end with the element around them, a link that never closes with its block, and an
+unclosed script, style or comment runs to the end of the page; a tag with a stray quote ends at the next ">"; a head ends at the first element or text that can't stand in one; a button, picture or other
 element whose text is skipped ends with its parent, and where it never closes, at the next block; an unclosed title, frame or text area holds nothing; character references are decoded once; two line breaks in a row divide blocks, a single one is
-white space; repeated rows give equal rows; an empty table gives an empty result; nothing is dropped or cut for its length.
+white space; equal densities on both sides count for the article; repeated rows give equal rows; an empty table gives an empty result; other columns are ignored; nothing is dropped or cut for its length.
 """
 
 from __future__ import annotations
@@ -45,15 +46,23 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disclaimer disqus footer form gdpr header legal login menu masthead "
     "modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget complementary contentinfo".split()
 )
+# Words that say nothing beside such a mark, and those that name the article itself beside "header".
+GENERIC = frozenset(
+    "a about all area bar bars block blocks body bottom box btn button buttons center col column columns content container count desktop element external fixed float footer for form global group has head hidden icon icons inner "
+    "inline is item items js layout left link links list lists main middle mobile module more my of on outer panel page pages policy post posts article articles entry entries story stories primary right row second secondary section side site "
+    "slot small source span spot sticky tertiary text the third title top unit us user users view website wide widgets wrap wrapper".split()
+)
+OWN = frozenset("article entry post story".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][a-z0-9:-]*)(?=[\s/>])([^<>]*)>|<[!?][^>]*>|</[^>]*>",
     re.S | re.I,
 )
 _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in [*RAW.split("|"), *SKIPPED]}
 _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 
 LINKS_MOST, SHORT, LONG, STOPS_SOME, STOPS_LOW, STOPS_HIGH, REACH = 0.33, 70, 200, 0.15, 0.30, 0.32, 200
 
@@ -69,7 +78,14 @@ class Block:
 
 
 def _marked(attributes: str) -> bool:
-    return any(word in MARKS for m in _MARKED.finditer(attributes) for word in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+    """Whether a class, id or role is the name of boilerplate: a mark beside words that say nothing."""
+    for m in _MARKED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            said = [w.lower() for w in _SPLIT.split(name) if w]
+            marks = MARKS.intersection(said)
+            if marks and all(w in MARKS or w in GENERIC or not w.isalpha() for w in said) and not (marks <= {"header"} and OWN.intersection(said)):
+                return True
+    return False
 
 
 def blocks(html: str) -> list[Block]:
@@ -77,7 +93,8 @@ def blocks(html: str) -> list[Block]:
     open_: list[tuple[str, bool, bool]] = []  # element, boilerplate from here on, article from here on
     parts: list[str] = []
     links: list[str] = []
-    in_link = breaks = 0
+    breaks = 0
+    in_link = spans = False  # in a link; in one that closes, which may hold blocks
     in_head = False
     path: list[str] = []  # all elements that are open, and how often each
     depth: Counter[str] = Counter()
@@ -134,12 +151,12 @@ def blocks(html: str) -> list[Block]:
                 if raw == "title" and not skip:
                     end()
             continue
-        name = m[3]
+        name, closes, attributes = (m[3], bool(m[2]), m[4]) if m[3] else (m[6], bool(m[5]), m[7])
         if not name:
             if m[0][:9] == "<![CDATA[" and not skip:
                 say(m[0][9:].removesuffix("]]>"))
             continue
-        name, closes, attributes = name.lower(), bool(m[2]), m[4]
+        name = name.lower()
         if skip:
             if closes:
                 if name in skip:
@@ -180,10 +197,14 @@ def blocks(html: str) -> list[Block]:
         if block:
             end()
             breaks = 0
+            in_link = in_link and spans
         if name in HEADINGS:
             in_head = not closes
         if name == "a":
-            in_link = 0 if closes else 1
+            in_link = not closes
+            if in_link:
+                then = _ANCHOR.search(html, last)
+                spans = bool(then and then[1])
         if closes:
             at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
             if at is not None:
@@ -221,49 +242,58 @@ def _listed(found: list[Block]) -> bool:
     return 2 * known >= size
 
 
-def _alone(b: Block, marked: bool, listed: bool = True) -> str:
-    n = len(b.text)
-    links = b.linked / n
-    if b.boilerplate or (marked and not b.article):
-        return "bad"
-    if marked:
-        return "bad" if links > LINKS_MOST and not b.heading else "good"
-    if links > LINKS_MOST:
+def _alone(b: Block, listed: bool) -> str:
+    ease = 0.5 if b.article else 1.0  # an article's blocks pass with half of each density and length
+    if b.boilerplate or b.linked > LINKS_MOST / ease * len(b.text):
         return "bad"
+    n = _size(b)
     if b.heading:
         return "short"
-    n = _size(b)
-    if n < SHORT:
-        return "bad" if b.linked else "short"
+    if n < SHORT * ease:
+        return "bad" if b.linked and not b.article else "short"
     stops = _stops(b) if listed else 1.0
-    if stops >= STOPS_HIGH:
-        return "good" if n > LONG else "neargood"
-    if stops >= STOPS_LOW:
+    if stops >= STOPS_HIGH * ease:
+        return "good" if n > LONG * ease else "neargood"
+    if stops >= STOPS_LOW * ease:
         return "neargood"
-    return "short" if stops >= STOPS_SOME else "bad"  # dense prose counts as its neighbours do
+    return "short" if stops >= STOPS_SOME * ease or b.article else "bad"  # dense prose counts as its neighbours do
+
+
+def _nearest(labels: list[str]) -> tuple[list, list]:
+    """The nearest decided label before and after each; those of "out" don't count."""
+    sides = []
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        at, seen = [None] * len(labels), None
+        for i in order:
+            at[i] = seen
+            seen = labels[i] if labels[i] in ("good", "bad") else seen
+        sides.append(at)
+    return sides[0], sides[1]
 
 
 def classify(found: list[Block]) -> list[Block]:
     """Both passes; every label ends as good or bad."""
-    marked = any(b.article and not b.boilerplate for b in found)
-    listed = marked or _listed(found)
-    for b in found:
-        b.label = _alone(b, marked, listed)
-    first = [b.label for b in found]
-    decided = [x in ("good", "bad") for x in first]
-    before, after, seen = [], [None] * len(found), None
-    for x, d in zip(first, decided, strict=True):
-        before.append(seen)
-        seen = x if d else seen
-    seen = None
-    for i in range(len(found) - 1, -1, -1):
-        after[i] = seen
-        seen = first[i] if decided[i] else seen
-    for b, x, p, q in zip(found, first, before, after, strict=True):
-        if x == "short":  # both sides must speak for it; at the edge of a page one
-            b.label = "good" if {p, q} - {None} == {"good"} or (b.heading and q == "good") else "bad"
-        elif x == "neargood":  # both sides must speak against it
+    listed = _listed(found)
+    first = [_alone(b, listed) for b in found]
+    mass = [0, 0]
+    for b, x in zip(found, first, strict=True):
+        mass[b.article] += len(b.text) * (x in ("good", "neargood"))
+    trusted = any(b.article and x != "bad" for b, x in zip(found, first, strict=True)) and mass[1] >= mass[0]
+    if trusted:
+        first = [x if b.article and not b.boilerplate else "out" for b, x in zip(found, first, strict=True)]
+    elif any(b.article for b in found):
+        for b in found:
+            b.article = False
+        first = [_alone(b, listed) for b in found]
+    for b, x, p, q in zip(found, first, *_nearest(first), strict=True):
+        if x == "out":
+            b.label = "bad"
+        elif x == "neargood" or (x == "short" and trusted):  # both sides must speak against it
             b.label = "bad" if p == q == "bad" else "good"
+        elif x == "short":  # both sides must speak for it; at the edge of a page one
+            b.label = "good" if {p, q} - {None} == {"good"} or (b.heading and q == "good") else "bad"
+        else:
+            b.label = x
     if not any(b.label == "good" for b in found):  # nothing was decided for: what is left open stands
         for b, x in zip(found, first, strict=True):
             if x in ("short", "neargood"):

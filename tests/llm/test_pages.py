@@ -42,11 +42,49 @@ def test_stop_words_still_tell_lists_from_prose():
         "<article><p>Main</p><object data=x>no<p>Text</p></article>",
         "<article><p>Main</p><div><canvas><b>no</b></div><p>Text</p></article>",
         "<article><p>Main</p><iframe src=x><p>Text</p></article>",
+        "<article><p>Main with a <a href=x>link</p><p>Text that goes on for a while</article>",
+        "<article><div class='share-price-report'><p>Main</p></div><p>Text</p><div class='social-share-buttons'>no</div></article>",
+        "<article><p title=5\" class='a'>Main</p><p>Text</p></article>",
+        "<article><header class='article-header'><h1>Main</h1></header><p>Text</p><div class='commentList'>no</div></article>",
         "<article><p>Main</p><button><div>no</div></button><p>Text<noscript><p>no</p></noscript></p><script>no</p>",
     ],
 )
 def test_open_elements_end_with_their_parents(page):
-    assert html_text.main_text(page) == "Main\nText"
+    assert html_text.main_text(page).replace(" with a link", "").replace(" that goes on for a while", "") == "Main\nText"
+
+
+PARAGRAPH = "This is the long text of the page and it has many of the words that are in the list of stop words, so it is good. " * 3
+LINKS = "<p><a href=x>one link</a> <a href=y>other link</a> end</p>"
+
+
+def _labels(page, passes):
+    found = html_text.blocks(page)
+    if passes == 2:
+        html_text.classify(found)
+        return [b.label for b in found]
+    listed = html_text._listed(found)
+    return [html_text._alone(b, listed) for b in found]
+
+
+@pytest.mark.parametrize("start", ["<div>", "<article>"])
+def test_second_pass_decides_what_the_first_leaves_open(start):
+    """Short blocks follow their neighbours, in and out of articles; the marks of a page only shift what counts."""
+    page = f"{start}<p>{PARAGRAPH}</p><p>Short.</p><p>{PARAGRAPH}</p>{LINKS}<p>Tail.</p>{LINKS}"
+    assert _labels(page, 1) == ["good", "short", "good", "bad", "short", "bad"]
+    assert _labels(page, 2) == ["good", "good", "good", "bad", "bad", "bad"]
+    single = f"{start}<p>{PARAGRAPH}</p><p>Tail.</p>{LINKS}"  # one neighbour for it and one against it
+    assert _labels(single, 2) == (["good", "good", "bad"] if start == "<article>" else ["good", "bad", "bad"])
+
+
+def test_articles_that_hold_less_than_the_page_count_for_nothing():
+    teaser = "<article><h3><a href=x>Other story</a></h3><p>Read it.</p></article>"
+    body = " ".join(PARAGRAPH.split())
+    assert html_text.main_text(f"<div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>{LINKS}{teaser}{LINKS}{teaser}") == f"{body}\n{body}"
+
+
+def test_blocks_beside_the_article_are_bad_though_they_are_dense():
+    body = " ".join(PARAGRAPH.split())
+    assert html_text.main_text(f"<article><p>{PARAGRAPH}</p><p>x</p></article><div>{PARAGRAPH}</div>") == f"{body}\nx"
 
 
 def test_many_open_elements_take_linear_time():
