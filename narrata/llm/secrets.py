@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-A candidate is a value assigned to a telling key (``token = "..."``), a private-key block, or a run of 16 or more
-token characters with a digit. Its features are length, transitions between character classes, shares
+A candidate is a value assigned to a telling key (``token = "..."``), a private-key block, a run of 16 or more
+token characters with a digit, or one of 24 or more with letters of both cases. Its features are length, transitions between character classes, shares
 of classes and of distinct characters, dictionary coverage, whether it stands in a path, and the neighbouring words. A
 random forest (JVM library, fixed seed) learns from labelled findings; the fitted trees become one SQL
 expression, so that scoring is part of the same projection as the scan and texts are never shuffled.
@@ -10,12 +10,13 @@ The default labelled findings are made by rule from a seed (``labelled_findings`
 after, assigned, secret) can be given in their place. It is the only thing that is fitted, and its size is fixed.
 
 Defined results: a null text has no finding and stays null; an empty text has none; repeated candidates
-are findings one by one; rows repeated under one id give their findings each; an empty table gives an empty result; other columns are kept
+are findings one by one; a score at the threshold is a secret; rows repeated under one id give their findings each; an empty table gives an empty result; other columns are kept
 by ``redact`` and ignored by ``find``. Offsets count code points.
 """
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -40,12 +41,13 @@ DICTIONARY = (
     "www xxxx your"
 ).split()
 # No candidate is capped: possessive and lazy loops over one character class take no stack and never go back.
-_TOK, _TOK_LETTERS = r"A-Za-z0-9+/_\-", r"A-Za-z+/_\-"
+_TOK, _TOK_LETTERS, _UNCASED = r"A-Za-z0-9+/_\-", r"A-Za-z+/_\-", r"0-9+/_\-"
 _ASSIGN = rf"(?i:(?<![A-Za-z])(?:{KEYS})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)"
 _VALUE = r"[^\s\"'<>|&,;]{8,}+"
 _BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?>[\s\S]*?(?=-----))-----END [A-Z ]{0,40}PRIVATE KEY-----"
-CANDIDATE = rf"{_BLOCK}|{_ASSIGN}{_VALUE}|(?<![{_TOK}])(?=[{_TOK_LETTERS}]*+[0-9])[{_TOK}]{{16,}}+={{0,2}}"
+CANDIDATE = rf"{_BLOCK}|{_ASSIGN}{_VALUE}|(?<![{_TOK}])(?:(?=[{_TOK_LETTERS}]*+[0-9])[{_TOK}]{{16,}}+|(?=[A-Z{_UNCASED}]*+[a-z])(?=[a-z{_UNCASED}]*+[A-Z])[{_TOK}]{{24,}}+)={{0,2}}"
 MARK = "[SECRET]"
+_NEAR = 4  #: words on either side that count as neighbours
 FEATURES = ("length", "transitions", "digits", "upper", "lower", "distinct", "dictionary", "path", "assigned", "near_for", "near_against", "hexadecimal")
 
 
@@ -55,7 +57,8 @@ def _features(before, value, after, assigned) -> dict[str, F.Column]:
     kinds = F.translate(value, lower + upper + digit, "a" * 26 + "A" * 26 + "0" * 10)
     count = lambda pattern: F.regexp_count(value, F.lit(pattern)).cast("double")
     near = lambda words, x: F.when(F.regexp_like(x, F.lit(rf"(?i)(?<![A-Za-z])(?:{words})(?![a-z])")), 1.0).otherwise(0.0)
-    around = F.concat_ws(" ", F.regexp_extract(before, r"((?:\S+\s+){0,3}\S*\s*)$", 1), F.regexp_extract(after, r"^(\s*\S*(?:\s+\S+){0,2})", 1))
+    flat = lambda x: F.translate(x, "\t\n\r\x0b\x0c", "     ")
+    around = F.concat_ws(" ", F.substring_index(F.rtrim(flat(before)), " ", -_NEAR), F.substring_index(F.ltrim(flat(after)), " ", _NEAR))
     covered = n - F.length(F.regexp_replace(F.lower(value), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
     return {
         "length": n,
@@ -65,7 +68,7 @@ def _features(before, value, after, assigned) -> dict[str, F.Column]:
         "lower": count("[a-z]") / n,
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
         "dictionary": covered / n,
-        "path": F.when(F.regexp_like(before, F.lit(r"(?:://|www\.|[\w.]/)\S*$")) | F.regexp_like(value, F.lit(r"[a-z]{2,}/[a-z]|\.[a-z]{2,4}$")), 1.0).otherwise(0.0),
+        "path": F.when(F.regexp_like(F.substring_index(flat(before), " ", -1), F.lit(r"://|www\.|[\w.]/")) | F.regexp_like(value, F.lit(r"[a-z]{2,}/[a-z]|\.[a-z]{2,4}$")), 1.0).otherwise(0.0),
         "assigned": F.when(assigned, 1.0).otherwise(0.0),
         "near_for": near(FOR, around),
         "near_against": near(AGAINST, around),
@@ -83,7 +86,7 @@ def labelled_findings(spark: SparkSession, rows: int = 1600, seed: int = 42) ->
     word = lambda: pick("etaoinshrdlu", 2, 9)
 
     def secret():
-        kind, k = r.randrange(6), key()
+        kind, k = r.randrange(8), key()
         k = k.upper() if r.random() < 0.3 else k
         if kind == 0:
             v = pick(hexa, 32, 64)
@@ -96,10 +99,14 @@ def labelled_findings(spark: SparkSession, rows: int = 1600, seed: int = 42) ->
             return "key", r.choice(["AKIA", "ASIA"]) + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16), False
         if kind == 4:
             return "auth", r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + pick(alnum, 24, 40), False
+        if kind == 5:
+            return k, r.choice(["", "-", "_"]).join(pick("abcdefghijklmnoprstuvw", 4, 8) for _ in range(r.randint(2, 4))), True  # a passphrase
+        if kind == 6:
+            return r.choice([k, word()]), pick(alnum[:52], 24, 48), False
         return "bearer", pick(alnum + "-_", 32, 80), False
 
     def benign():
-        kind = r.randrange(9)
+        kind = r.randrange(11)
         if kind == 0:
             return key(), r.choice(["your_token_here", "xxxxxxxxxxxx", "placeholder", "changeme1234", "example_password", "<redacted>", "undefined", "test_secret_value", "replace_this_key", "insert-your-api-key"]), True
         if kind == 1:
@@ -116,6 +123,10 @@ def labelled_findings(spark: SparkSession, rows: int = 1600, seed: int = 42) ->
             return word(), pick("etaoinshrdlu", 16, 30) + pick("0123456789", 1, 2), False
         if kind == 7:
             return key(), r.choice(["settings.", "os.environ.", "config."]) + r.choice(DICTIONARY) + "_" + r.choice(DICTIONARY), True
+        if kind == 8:
+            return word(), "".join(r.choice(DICTIONARY).capitalize() for _ in range(r.randint(5, 9))), False
+        if kind == 9:
+            return word(), "/".join(r.choice(DICTIONARY).capitalize() for _ in range(r.randint(4, 7))), False
         return word(), f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}-{r.choice(DICTIONARY)}-{r.choice(DICTIONARY)}", False
 
     made = []
@@ -124,7 +135,8 @@ def labelled_findings(spark: SparkSession, rows: int = 1600, seed: int = 42) ->
         lead = " ".join(word() for _ in range(3))
         glue = r.choice([" = \"", ": ", "=", " = '"]) if assigned else r.choice([" ", ": ", " = "]) if "://" not in k else "/"
         made.append((lead + " " + k + glue, v, r.choice(["\" ", " ", "' ", ".\n"]) + word(), assigned, float(i % 2 == 0)))
-    return spark.createDataFrame(made, "before string, value string, after string, assigned boolean, secret double").coalesce(1)
+    rows = [dict(zip(("before", "value", "after", "assigned", "secret"), m, strict=True)) for m in made]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<before: string, value: string, after: string, assigned: boolean, secret: double>>")))
 
 
 def fit(findings: DataFrame, trees: int = 12, depth: int = 6, seed: int = 7) -> dict:
@@ -169,8 +181,8 @@ def _hits(text, model) -> F.Column:
             block = F.startswith(hit, F.lit("-----BEGIN"))
             assigned = lead > 0
             value = F.when(assigned, F.substring(hit, lead + 1, F.length(hit))).otherwise(hit)
-            before = F.concat(F.right(gap, F.lit(80)), F.when(assigned, F.substring(hit, F.lit(1), lead)).otherwise(F.lit("")))
-            made = let(F.struct(value.alias("value"), before.alias("before"), F.left(nxt, F.lit(60)).alias("after"), assigned.alias("assigned")), lambda x: F.struct(*[c.alias(k) for k, c in _features(x["before"], x["value"], x["after"], x["assigned"]).items()]))
+            before = F.concat(gap, F.when(assigned, F.substring(hit, F.lit(1), lead)).otherwise(F.lit("")))
+            made = let(F.struct(value.alias("value"), before.alias("before"), nxt.alias("after"), assigned.alias("assigned")), lambda x: F.struct(*[c.alias(k) for k, c in _features(x["before"], x["value"], x["after"], x["assigned"]).items()]))
             points = F.when(block, F.lit(1.0)).otherwise(let(made, lambda f: score(model, f)))
             kind = F.when(block, F.lit("private_key")).when(assigned, F.lit("assigned")).otherwise(F.lit("run"))
             return F.struct(gap.alias("gap"), hit.alias("hit"), kind.alias("kind"), lead.alias("lead"), points.alias("score"))
