@@ -4,7 +4,7 @@ Mail addresses, telephone numbers, network addresses, card, account and social s
 title are found by pattern. In a text that names persons, their full names and surnames are also found without a title, and mentions are
 resolved before they are keyed: a surname is the person of the full name before it (or else the next one) unless the titles' genders differ, and
 a person's gender is that of any titled mention. Short forms get the surname of the full name's surrogate. Each distinct entity of the whole corpus gets one surrogate, a keyed digest of it turned into the
-same type and form: digits for digits, letters for letters, octets in range, card numbers that pass the check digit
+same type and form: digits for digits, letters for letters, octets in range, card and account numbers that pass the check digits
 where the original does, names of the title's gender and the original's script. Numbers with other
 punctuation, and addresses or names in other case, are the same entity.
 
@@ -13,7 +13,7 @@ again, all but the first of a group, until nothing does. The space grows with th
 syllables, octets more digits, addresses more letters, numbers another first digit. Surrogates are joined to mentions by entity and put
 into texts in the place of the mention, in its own case and punctuation.
 
-Defined results: a null text stays null; a text without entities is unchanged and never shuffled; rows
+Defined results: a name after a title is one to five capitalised words, a surname that could be two persons' is the nearest one's before it; a null text stays null; a text without entities is unchanged and never shuffled; rows
 repeated under one id are treated alike; an empty table gives an empty result; other columns are kept by ``surrogates``.
 """
 
@@ -40,9 +40,10 @@ NAMES = {
 SYLLABLES = "ba be bo da de do fa fe ga go ha hi ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te to va ve wa".split()
 CYRILLIC = "ба ва га да ди за ка ки ла ли ло ма ми мо на не но па пе ра ри ро са се со та те то ха ча".split()
 
-_NAME = r"(?:\s+(?=\p{Lu}[\p{L}'’\-])\p{Lu}\p{L}*(?:['’\-](?![sS](?!\p{L}))\p{L}+)*){1,3}"
+# A name is one to five capitalised words. Loops are possessive: they take no stack, however long a mention is.
+_NAME = r"(?:\s+(?=\p{Lu}[\p{L}'’\-])\p{Lu}\p{L}*+(?:['’\-](?![sS](?!\p{L}))\p{L}++)*+){1,5}+"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_%+][\p{L}\p{N}._%+\-]{0,127}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}(?<![\-.])",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_%+][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}(?:[ .\-]?\d{2,4}){1,2}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\d.\-])\d{3}([ .\-])\d{3}\1\d{4}(?![\d.\-])",
@@ -186,6 +187,16 @@ def _checksum(digits) -> F.Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), add), F.lit(0), lambda a, x: a + x)
 
 
+def _remainder(account) -> F.Column:
+    """An account number modulo 97, its first four characters last and letters as 10 to 35; 1 if its check digits are right."""
+    def add(a, c):
+        digit = F.when(F.regexp_like(c, F.lit("[0-9]")), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+        return (a * F.when(digit > 9, 100).otherwise(10) + digit) % 97
+
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    return F.aggregate(F.split(turned, ""), F.lit(0), add)
+
+
 def _surrogate(kind, entity, attempt, key: str) -> F.Column:
     more = F.greatest(attempt - (_NARROW - 1), F.lit(0))  # draws beyond those in the entity's own form
 
@@ -198,7 +209,9 @@ def _surrogate(kind, entity, attempt, key: str) -> F.Column:
         top = F.regexp_extract(entity, r"\.[^.@]*$", 0)
         longer = F.concat_ws("", F.transform(F.slice(F.array(*[F.lit(k) for k in range(1, 21)]), F.lit(1), more + F.when(more > 0, 3).otherwise(0)), lambda k: F.char(_draw(s, k + 10, 26) + 97)))
         email = F.concat(longer, _letters(F.substring(entity, F.lit(1), F.length(entity) - F.length(top)), s), top)
-        account = F.concat(F.substring(entity, 1, 2), _letters(F.substring(entity, F.lit(3), F.length(entity)), s))
+        rest = let(_letters(F.substring(entity, F.lit(5), F.length(entity)), s), lambda r: F.struct(r.alias("r"), _remainder(F.concat(F.substring(entity, 1, 2), F.lit("00"), r)).alias("m")))
+        checked = let(rest, lambda x: F.concat(F.substring(entity, 1, 2), F.lpad((98 - x["m"]).cast("string"), 2, "0"), x["r"]))
+        account = F.when(_remainder(entity) == 1, checked).otherwise(F.concat(F.substring(entity, 1, 2), _letters(F.substring(entity, F.lit(3), F.length(entity)), s)))
         words = F.split(F.substring(entity, F.lit(3), F.length(entity)), " ")
         cyrillic = F.regexp_like(entity, F.lit(r"\p{IsCyrillic}"))
         gender = F.substring(entity, 1, 1)
@@ -264,15 +277,16 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in its texts; ``count_col`` adds the mentions of each."""
-    i, m = fresh(docs, "_id", "_map")
-    found = materialize(mentions(docs, id_col, text_col), "mentions")
-    drawn = draw_surrogates(found.select("kind", "entity").distinct(), key)
-    mine = found.distinct().join(drawn, ["kind", "entity"]).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "entity"), "surrogate")))).alias(m))
-    mine = mine.withColumnRenamed("id", i)
+    """``docs`` with surrogates in its texts; ``count_col`` adds the mentions of each. Texts with entities are scanned once and kept
+    with what was found, under a number of their own, so that ids may repeat or be null."""
+    i, f, m, r, q = fresh(docs, "_row", "_found", "_map", "_mapped", "_made")
     text = F.col(text_col)
     has = has_entity(text)
-    busy = docs.where(has).join(mine, F.col(id_col).eqNullSafe(F.col(i)), "left")
+    busy = materialize(docs.where(has).withColumn(f, _found(text)).withColumn(i, F.monotonically_increasing_id()), "entities")
+    found = busy.select(F.col(i).alias("row"), F.explode(F.col(f)["hits"]).alias("x")).select("row", "x.kind", "x.entity").distinct()
+    drawn = draw_surrogates(found.select("kind", "entity").distinct(), key)
+    pair = F.struct(F.concat_ws("\x1f", "kind", "entity"), "surrogate")
+    mine = found.join(drawn, ["kind", "entity"]).groupBy("row").agg(F.map_from_entries(F.collect_list(pair)).alias(m)).withColumnRenamed("row", r)
 
     def put(x):
         def one(hit, at):
@@ -282,6 +296,6 @@ def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         return F.struct(F.concat(F.concat_ws("", F.transform(x["hits"], one)), F.element_at(x["gaps"], -1)).alias("text"), F.size(x["hits"]).cast("long").alias("n"))
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    done = busy.withColumn(i, let(_found(text), put)).select(*[F.col(f"{i}.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *([F.col(f"{i}.n").alias(count_col)] if count_col else []))
+    done = busy.join(mine, F.col(i) == F.col(r)).withColumn(q, put(F.col(f))).select(*[F.col(f"{q}.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *([F.col(f"{q}.n").alias(count_col)] if count_col else []))
     rest = docs.where(~has).select(*columns, *([F.lit(0).cast("long").alias(count_col)] if count_col else []))
     return done.unionByName(rest)
