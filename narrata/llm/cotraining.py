@@ -1,16 +1,18 @@
 """Quality scores by co-training of two views of a document.
 
-One classifier sees the text's content (shares of character classes, word forms, repetition, hashed words), the other the
+One classifier sees the text's content (shares of character classes, word forms, repetition, all its words hashed), the other the
 record around it (language, source, length, layout of its lines). Both start from the labelled documents; in each round each
 view names the unlabelled documents it is surest of, as many good ones to bad ones as among the labels, and the other view learns
 them as if they were labelled. At the end each view is calibrated on labelled documents left out of training
 (logistic scaling), and the mean of the calibrated log-odds scores every document.
 
-The classifiers are logistic regressions, fitted on the driver from a bounded sample: at most about ``labelled`` labelled and
-``unlabelled`` other documents (expected numbers, picked by a hash of the id), 2 x 64 numbers each. Scoring runs over all rows.
+The vectors of all documents are made once and kept (``vectors``, 640 bytes a document). Every round runs over all unlabelled documents: each view's log-odds are
+counted in a histogram of fixed size, which gives the round's thresholds; whether a document was named in an earlier round is known by
+replaying the models and thresholds of those rounds, so that no state is kept and a lost executor loses nothing. Only what is fitted is bounded: logistic regressions
+on the driver, from about ``labelled`` labelled documents and about ``taught`` of those named to a view (expected numbers, picked by a hash of the row).
 
 Defined results: a null text counts as empty; null metadata is a value of its own; several labels of one
-document count by majority, a tie as good; without both classes among the labels every score is the share of good
+document count by majority, a tie as good; documents of equal log-odds at a threshold are all named; without both classes among the labels every score is the share of good
 ones (0.5 without labels); rows repeated under one id are scored alike; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm._work import hash_unit
+from narrata.llm._work import hash_unit, materialize
 
-CONTENT, RECORD = 64, 64
+CONTENT, RECORD = 256, 64
 _SHARES = 16
 _BANDS = 12
 _SYMBOL = bytes(c for c in range(128) if not chr(c).isalnum() and not chr(c).isspace())
@@ -56,10 +58,8 @@ def content_view(data: bytes) -> np.ndarray:
     x[14] = float(not words)
     x[15] = len(words) - distinct > w / 2
     if words:
-        low = b" ".join(v for v in words if len(v) <= 4).lower().split()
-        if low:
-            h = np.array([zlib.crc32(v) for v in low]) % (CONTENT - _SHARES)
-            x[_SHARES:] = np.sqrt(np.bincount(h, minlength=CONTENT - _SHARES) / w)
+        h = np.fromiter(map(zlib.crc32, data.lower().split()), np.int64, len(words)) % (CONTENT - _SHARES)
+        x[_SHARES:] = np.sqrt(np.bincount(h, minlength=CONTENT - _SHARES) / w)
     return x
 
 
@@ -135,78 +135,161 @@ class Model:
         return 1 / (1 + np.exp(-(odds[0] + odds[1]) / 2)), [1 / (1 + np.exp(-o)) for o in odds]
 
 
-def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, other: tuple[np.ndarray, np.ndarray], rounds: int = 5, step: float = 0.05, sure: float = 0.9) -> Model:
-    """``labelled`` and ``other`` hold the two views; every fifth labelled document is left out for calibration."""
-    if len(set(y.tolist())) < 2:
-        return Model([], float(y.mean()) if len(y) else 0.5)
-    kept = np.arange(len(y)) % 5 != 4
-    if len(set(y[kept].tolist())) < 2 or len(set(y[~kept].tolist())) < 2:
-        kept = np.ones(len(y), bool)
-    named: list[dict[int, float]] = [{}, {}]  # what each view has been told
-    fitted: list[Logistic] = []
-    for turn in range(rounds + 1):
-        fitted = []
-        for v in range(2):
-            at = np.array(sorted(named[v]), int)
-            x = np.r_[labelled[v][kept], other[v][at]]
-            t = np.r_[y[kept], [named[v][i] for i in at]]
-            fitted.append(_train(x, t, np.r_[np.ones(kept.sum()), np.full(len(at), 0.5)]))
-        if turn == rounds or not len(other[0]):
-            break
+_EDGE, _BINS = 30.0, 6000  #: histograms of log-odds: range and bins
+
+
+def _bin(odds: np.ndarray) -> np.ndarray:
+    return np.clip(((odds + _EDGE) * (_BINS / (2 * _EDGE))).astype(int), 0, _BINS - 1)
+
+
+@dataclass
+class Round:
+    """The views' models in a round, and the bins from which on, and up to which, each view is sure."""
+
+    views: list[Logistic]
+    good: list[int]
+    bad: list[int]
+
+
+def named(rounds: list[Round], x: list[np.ndarray]) -> np.ndarray:
+    """(2, rows): what each view has been told of each row by the other, 1 good, 0 bad, -1 nothing; the first round counts."""
+    told = np.full((2, len(x[0])), -1, np.int8)
+    for r in rounds:
         for v in range(2):
-            p = 1 / (1 + np.exp(-np.clip(fitted[v].raw(other[v]), -30, 30)))
-            free = np.array([i not in named[1 - v] for i in range(len(p))])
-            good = int(np.ceil(step * len(p) * y.mean()))
-            bad = int(np.ceil(step * len(p) * (1 - y.mean())))
-            order = np.argsort(p, kind="stable")
-            for i in [i for i in order[::-1] if free[i] and p[i] >= sure][:good]:
-                named[1 - v][int(i)] = 1.0
-            for i in [i for i in order if free[i] and p[i] <= 1 - sure][:bad]:
-                named[1 - v][int(i)] = 0.0
-    hold = ~kept if (~kept).any() else kept
-    for v in range(2):
-        raw = fitted[v].raw(labelled[v][hold])
-        fitted[v].b, fitted[v].a = _newton(raw[:, None], y[hold], np.ones(hold.sum()), ridge=1e-2)
-    return Model(fitted, float(y.mean()))
-
-
-def _input(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", labelled: int = 4000, unlabelled: int = 4000, rounds: int = 5) -> Model:
-    told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
-    sizes = told.agg(F.count(F.lit(1))).first()[0], docs.agg(F.count(F.lit(1))).first()[0]
-    unit = lambda c: hash_unit(F.lit("cotrain"), F.col(c))
-    told = told.where(unit("lid") < min(1.0, labelled / max(1, sizes[0])))
-    rows = _input(docs, id_col, text_col, lang_col, source_col)
-    some = rows.join(told, F.col("id") == F.col("lid")).drop("lid")
-    other = rows.where(hash_unit(F.lit("other"), F.col("id")) < min(1.0, unlabelled / max(1, sizes[1]))).join(labels.select(F.col(id_col).alias("lid")), F.col("id") == F.col("lid"), "left_anti")
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, free = _bin(r.views[v].raw(x[v])), told[1 - v] < 0
+            told[1 - v][free & (at >= r.good[v])] = 1
+            told[1 - v][free & (at <= r.bad[v]) & (at < r.good[v])] = 0
+    return told
+
+
+def thresholds(counts: np.ndarray, total: int, share: float, step: float, sure: float) -> tuple[int, int]:
+    """(first good bin, last bad bin) of a view, from the counts of the rows that are free to be named."""
+    edge = np.log(sure / (1 - sure))
+    good, bad = int(np.ceil(step * total * share)), int(np.ceil(step * total * (1 - share)))
+    top, low = np.cumsum(counts[::-1])[::-1], np.cumsum(counts)
+    return max(int(_bin(np.array([edge]))[0]) + 1, int(np.searchsorted(-top, -good, "right")) - 1), min(int(_bin(np.array([-edge]))[0]) - 1, int(np.searchsorted(low, bad, "left")))
+
+
+def calibrated(views: list[Logistic], x: list[np.ndarray], y: np.ndarray) -> None:
+    for v, one in enumerate(views):
+        one.b, one.a = _newton(one.raw(x[v])[:, None], y, np.ones(len(y)), ridge=1e-2)
+
+
+def left_out(y: np.ndarray) -> np.ndarray:
+    """Every fifth labelled row, for calibration; none if that leaves a side without both classes."""
+    out = np.arange(len(y)) % 5 == 4
+    return out if len(set(y[~out].tolist())) == len(set(y[out].tolist())) == 2 else np.zeros(len(y), bool)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
+
+
+def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(id, pick, c, r) for every row: both views as half-precision numbers, and a number in [0, 1) for picking samples. Written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                c, r = views(*(part.column(i).to_pylist() for i in (1, 2, 3)))
+                held = [pa.array([x.tobytes() for x in v.astype("<f2")], pa.binary()) for v in (c, r)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *held], ["id", "c", "r"])
+
+    made = _rows(docs, id_col, text_col, lang_col, source_col).mapInArrow(run, "id long, c binary, r binary")
+    return materialize(made.select("id", hash_unit(F.lit("cotrain"), F.col("id"), F.col("c")).alias("pick"), "c", "r"), "vectors")
+
+
+def _unpacked(c: pa.Array, r: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(x.to_pylist()), "<f2").reshape(len(x), n).astype(float) for x, n in ((c, CONTENT), (r, RECORD))]
+
+
+def _histograms(pool: DataFrame, rounds: list[Round], views: list[Logistic]) -> np.ndarray:
+    """(2, _BINS): how many rows that the other view hasn't been told of have each log-odds; partitions send sums of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, _BINS), np.int64)
         for b in batches:
-            c, r = views(*(b.column(i).to_pylist() for i in (1, 2, 3)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.tolist(), pa.list_(pa.float64())), pa.array(r.tolist(), pa.list_(pa.float64())), b.column(4)], ["id", "c", "r", "y"])
+            x = _unpacked(b.column(0), b.column(1))
+            told = named(rounds, x)
+            for v in range(2):
+                total[v] += np.bincount(_bin(views[v].raw(x[v]))[told[1 - v] < 0], minlength=_BINS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], ["at", "n"])
 
-    both = some.unionByName(other.withColumn("y", F.lit(None).cast("double")))
-    got = both.mapInArrow(vectors, "id long, c array<double>, r array<double>, y double").toArrow()
-    ids = got.column("id").to_numpy(zero_copy_only=False)
-    order = np.argsort(ids, kind="stable")
-    stack = lambda k, n: np.array(got.column(k).to_pylist(), float).reshape(-1, n)[order]
-    c, r, y = stack("c", CONTENT), stack("r", RECORD), np.array([np.nan if v is None else v for v in got.column("y").to_pylist()])[order]
-    known = ~np.isnan(y)
-    return cotrain((c[known], r[known]), y[known], (c[~known], r[~known]), rounds)
+    out = np.zeros(2 * _BINS, np.int64)
+    for row in pool.select("c", "r").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[row["at"]] = row["n"]
+    return out.reshape(2, _BINS)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: float = 0.5) -> DataFrame:
-    """(id, quality_score, content_score, record_score, kept) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors
+def _taught(pool: DataFrame, rounds: list[Round], parts: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view, the vectors and labels of the rows named to it, of each view's rows the given part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = named(rounds, _unpacked(b.column(1), b.column(2)))
+            pick = b.column(0).to_numpy()
+            for v in range(2):
+                keep = (told[v] >= 0) & (pick < parts[v])
+                if keep.any():
+                    mine = b.filter(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(mine.num_rows, v)), mine.column(0), mine.column(1 + v), pa.array(told[v][keep].astype(float))], ["view", "pick", "x", "y"])
+
+    got = pool.select("pick", "c", "r").mapInArrow(run, "view long, pick double, x binary, y double").toArrow()
+    view, pick, y = (got.column(k).to_numpy() for k in ("view", "pick", "y"))
+    x = got.column("x").to_pylist()
+    out = []
+    for v, n in ((0, CONTENT), (1, RECORD)):
+        at = np.flatnonzero(view == v)
+        at = at[np.lexsort(([x[i] for i in at], pick[at]))]  # the same model in whatever order rows arrive
+        out.append((np.frombuffer(b"".join(x[i] for i in at), "<f2").reshape(-1, n).astype(float), y[at]))
+    return out
+
+
+def cotrain(labelled: list[np.ndarray], y: np.ndarray, total: int, histograms: Callable, taught: Callable, rounds: int = 5, step: float = 0.05, sure: float = 0.9, most: int = 4000) -> Model:
+    """``labelled`` holds the two views of the labelled rows; ``histograms(rounds, views)`` and ``taught(rounds, parts)`` look at the ``total`` unlabelled ones."""
+    if len(set(y.tolist())) < 2:
+        return Model([], float(y.mean()) if len(y) else 0.5)
+    out = left_out(y)
+    learn, share = ~out, float(y.mean())
+    done: list[Round] = []
+    more = [(np.zeros((0, x.shape[1])), np.zeros(0)) for x in labelled]
+    count = np.zeros(2)
+    for turn in range(rounds + 1):
+        fitted = [_train(np.r_[x[learn], z], np.r_[y[learn], t], np.r_[np.ones(learn.sum()), np.full(len(t), 0.5)]) for x, (z, t) in zip(labelled, more, strict=True)]
+        if turn == rounds or not total:
+            break
+        counts = histograms(done, fitted)
+        cuts = [thresholds(counts[v], total, share, step, sure) for v in range(2)]
+        done.append(Round(fitted, [g for g, _ in cuts], [b for _, b in cuts]))
+        for v, (g, b) in enumerate(cuts):
+            count[1 - v] += counts[v][g:].sum() + counts[v][: max(0, min(b + 1, g))].sum()
+        more = taught(done, [min(1.0, most / n) if n else 1.0 for n in count])
+    calibrated(fitted, [x[out] if out.any() else x for x in labelled], y[out] if out.any() else y)
+    return Model(fitted, share)
+
+
+def fit(vectors: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = 4000, taught: int = 4000, rounds: int = 5, step: float = 0.05, sure: float = 0.9) -> Model:
+    """Learn from the vectors of all documents and the labels of some."""
+    told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("lid")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
+    n = told.count()
+    some = told.where(hash_unit(F.lit("labelled"), F.col("lid")) < min(1.0, labelled / max(1, n)))
+    known = vectors.join(some, F.col("id") == F.col("lid")).groupBy("id").agg(F.first("y").alias("y"), F.min_by(F.struct("c", "r"), "pick").alias("x")).select("id", "y", "x.c", "x.r").toArrow()
+    order = np.argsort(known.column("id").to_numpy(), kind="stable")
+    x = [v[order] for v in _unpacked(known.column("c").combine_chunks(), known.column("r").combine_chunks())]
+    y = known.column("y").to_numpy()[order]
+    pool = materialize(vectors.join(told.select("lid"), F.col("id") == F.col("lid"), "left_anti"), "unlabelled")
+    return cotrain(x, y, pool.count(), lambda *a: _histograms(pool, *a), lambda *a: _taught(pool, *a), rounds, step, sure, taught)
+
+
+def score(vectors: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """(id, quality_score, content_score, record_score, kept) for every row of ``vectors``."""
+    shared = vectors.sparkSession.sparkContext.broadcast(model)  # two weight vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                s, (c, r) = shared.value.score(*views(*(part.column(i).to_pylist() for i in (1, 2, 3))))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.astype(float)) for x in (s, c, r)), pa.array(s >= least)], ["id", "quality_score", "content_score", "record_score", "kept"])
+            s, (c, r) = shared.value.score(*_unpacked(b.column(1), b.column(2)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.astype(float)) for x in (s, c, r)), pa.array(s >= least)], ["id", "quality_score", "content_score", "record_score", "kept"])
 
-    return _input(docs, id_col, text_col, lang_col, source_col).mapInArrow(run, "id long, quality_score double, content_score double, record_score double, kept boolean")
+    return vectors.select("id", "c", "r").mapInArrow(run, "id long, quality_score double, content_score double, record_score double, kept boolean")

@@ -31,8 +31,8 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return cotraining.score(docs, cotraining.fit(docs, labels)).withColumnRenamed("id", "doc_id")
+    vectors = cotraining.vectors(table(spark, sf_dir, "documents"))
+    return cotraining.score(vectors, cotraining.fit(vectors, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

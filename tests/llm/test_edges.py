@@ -47,7 +47,7 @@ OPERATORS = {
     "simhash": lambda d, s, f: simhash.near_duplicate_groups(d),
     "language": lambda d, s, f: langid.identify(d, langid.fit(d, ~langid.held_out())),
     "rules": lambda d, s, f: rules.judge(d),
-    "quality": lambda d, s, f: cotraining.score(d, cotraining.fit(d, _labels(s))),
+    "quality": lambda d, s, f: (lambda v: cotraining.score(v, cotraining.fit(v, _labels(s))))(cotraining.vectors(d)),
     "sketch": lambda d, s, f: sketches.fingerprint_versions(d),
     "surrogates": lambda d, s, f: pii.surrogates(d, "k", count_col="n_entities"),
     "mixing": lambda d, s, f: mixing.mix(d),

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from narrata.llm import cotraining, html_text, langid, mixing, packing, pii, queries, rules, secrets, simhash, sketches
+from narrata.llm import html_text, langid, mixing, packing, pii, queries, rules, secrets, simhash, sketches
 
 # Near duplicates
 
@@ -157,24 +157,6 @@ def test_query_gives_the_rows_of_its_sql(spark, sf, name):
     assert got[cols].sort_values("doc_id").values.tolist() == want[cols].sort_values("doc_id").values.tolist()
 
 
-# Quality
-
-
-def test_quality_of_labelled_documents(spark, sf):
-    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    got = cotraining.score(docs, cotraining.fit(docs, labels)).join(labels.withColumnRenamed("doc_id", "id"), "id").toPandas()
-    assert (got.kept == (got.quality == 1)).mean() > 0.95 and got.quality_score.between(0, 1).all()
-
-
-def test_views_teach_each_other():
-    r = np.random.default_rng(1)
-    y = r.integers(0, 2, 2000).astype(float)
-    c, m = (np.c_[y[:, None] * 2 + r.normal(0, 1, (2000, 1)), r.normal(0, 1, (2000, 3))] for _ in range(2))
-    model = cotraining.cotrain((c[:20], m[:20]), y[:20], (c[20:], m[20:]))
-    assert ((model.score(c, m)[0] > 0.5) == y).mean() > 0.85
-    assert cotraining.cotrain((c[:5], m[:5]), np.ones(5), (c, m)).score(c, m)[0].tolist() == [1.0] * 2000
-
-
 # Packing
 
 
