@@ -75,6 +75,7 @@ class Block:
     boilerplate: bool
     heading: bool
     label: str = ""
+    stops: float = -1.0  #: share of stop words, once counted
 
 
 def _marked(attributes: str) -> bool:
@@ -224,12 +225,14 @@ def blocks(html: str) -> list[Block]:
 
 def _size(b: Block) -> int:
     """Characters, those of scripts without spaces between words threefold."""
-    return len(b.text) + 2 * len(_DENSE.findall(b.text))
+    return len(b.text) + (0 if b.text.isascii() else 2 * len(_DENSE.findall(b.text)))
 
 
 def _stops(b: Block) -> float:
-    words = _WORD.findall(b.text.lower())
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if b.stops < 0:
+        words = _WORD.findall(b.text.lower())
+        b.stops = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
+    return b.stops
 
 
 def _listed(found: list[Block]) -> bool:
