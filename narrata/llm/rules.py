@@ -1,16 +1,17 @@
 """Quality rules with host verdicts. DataFrame functions only.
 
 Each document is measured in its own row (no text or word is shuffled) and held against rules on length, repeated
-words, symbols and repeated lines. Failures are counted by host; a host's failure rate is shrunk towards
-a beta prior that the method of moments finds from all hosts (empirical Bayes), and a host whose shrunk rate exceeds
-``host_limit`` is refused. Its verdict is joined back to its documents.
+words, symbols and repeated lines. Failures of each rule are counted by host; a host's failure rate of a rule is shrunk towards
+a beta prior that the method of moments finds from all hosts (empirical Bayes), and a host is refused where a shrunk rate lies more than ``deviations``
+standard deviations of the prior above its mean, and is ``least_rate`` at least (what hosts have in common, or a few of many documents, refuses none). Its verdict is joined
+back to its documents.
 
 Words are runs of characters other than space and U+0009-U+000D. A word of a 3-word window that occurs twice
 or more in its text is a repeated word; windows are compared by a 64-bit hash of their three words.
 
 Defined results: a null text has no word and fails; null is a host of its own; a host with few documents
 stays near the prior; rows repeated under one id are measured and counted one by one; an empty table gives an empty result; other columns are
-ignored. The host column may be a domain of its own or the host of ``url_col``.
+ignored. The host may be a column or an expression, such as ``host_of`` an address.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from narrata.llm._work import SPACE, SPACE_CHARS, let, materialize
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 WINDOW = 3
+DEVIATIONS, LEAST_RATE = 3.0, 0.25
 
 
 def _repeat_words(words) -> F.Column:
@@ -66,31 +68,41 @@ def failures(least_words: int = LEAST_WORDS) -> dict[str, F.Column]:
     }
 
 
-def host_rates(measured: DataFrame) -> DataFrame:
-    """(host, docs, failed, prior_a, prior_b, rate): failure rates shrunk by a beta prior fitted to all hosts."""
-    fails = F.lit(False)
-    for rule in failures().values():
-        fails = fails | rule
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.sum(fails.cast("long")).alias("failed"))
-    n, f = F.col("docs").cast("double"), F.col("failed").cast("double")
-    mean, spread = F.col("f") / F.col("n"), F.col("sq") / F.col("n")
-    spread = spread - mean * mean - mean * (1 - mean) * F.col("h") / F.col("n")
-    strength = F.least(F.greatest(mean * (1 - mean) / F.greatest(spread, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1e6))
-    whole = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("sq"), F.count(F.lit(1)).cast("double").alias("h"))
-    a_, b_ = whole.select((mean * strength).alias("a"), ((1 - mean) * strength).alias("b")).first()  # two numbers; null without hosts
-    prior_a, prior_b = F.lit(a_).cast("double"), F.lit(b_).cast("double")
-    return hosts.withColumn("prior_a", prior_a).withColumn("prior_b", prior_b).withColumn("rate", (f + F.col("prior_a")) / (n + F.col("prior_a") + F.col("prior_b")))
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: F.Column | str = "source", host_limit: float = 0.5) -> DataFrame:
-    """The measures with base_failed, host_rate and kept, one row for each row of ``docs``."""
+def host_of(url) -> F.Column:
+    """The host of an address, in lower case; null if it has none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+
+
+def host_rates(measured: DataFrame, deviations: float = DEVIATIONS, least_rate: float = LEAST_RATE) -> DataFrame:
+    """(host, docs, refused) and for each rule (rate_.., limit_..): failure rates shrunk by a beta prior fitted to all hosts, and the rate above which a host is refused."""
+    rules = failures()
+    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(r.cast("long")).alias(k) for k, r in rules.items()])
+    n = F.col("docs").cast("double")
+    sums = [F.struct(F.sum(F.col(k).cast("double")).alias("f"), F.sum(F.col(k) * F.col(k) / n).alias("sq")).alias(k) for k in rules]
+    whole = hosts.agg(F.sum(n).alias("n"), F.count(F.lit(1)).cast("double").alias("h"), *sums).first()  # a few numbers; null without hosts
+    out, refused = hosts.select("host", "docs", *rules), F.lit(False)
+    for k in rules:
+        total, f, sq = whole["n"] or 1.0, whole[k]["f"] or 0.0, whole[k]["sq"] or 0.0
+        mean = f / total
+        noise = mean * (1 - mean)
+        spread = sq / total - mean * mean - noise * whole["h"] / total
+        strength = min(max(noise / max(spread, 1e-9) - 1, 1.0), 1e6)
+        limit = max(mean + deviations * (noise / (strength + 1)) ** 0.5, least_rate)
+        out = out.withColumn(f"rate_{k}", (F.col(k) + mean * strength) / (n + strength)).withColumn(f"limit_{k}", F.lit(limit))
+        refused = refused | (F.col(f"rate_{k}") > limit)
+    return out.drop(*rules).withColumn("refused", refused)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: F.Column | str = "source", deviations: float = DEVIATIONS, least_rate: float = LEAST_RATE) -> DataFrame:
+    """The measures with base_failed, host_refused and kept, one row for each row of ``docs``."""
     measured = materialize(measure(docs, id_col, text_col, host), "measures")
     rules = failures()
-    rates = host_rates(measured).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
-    rows = measured.withColumn("base_failed", rules["short"] | rules["repeats"]).join(rates, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit))
+    verdicts = host_rates(measured, deviations, least_rate).select(F.col("host").alias("_host"), F.col("refused").alias("host_refused"))
+    rows = measured.withColumn("base_failed", rules["short"] | rules["repeats"]).join(verdicts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("host_refused"))
 
 
+_RULES = {"short": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words", "symbols": "n_symbols * 5 > n_words", "lines": "n_dup_lines * 2 > n_lines"}
 ORACLE = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
@@ -99,11 +111,11 @@ win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FRO
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
 a AS (SELECT m.*, coalesce(rep.n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN rep USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols * 5 > n_words OR n_dup_lines * 2 > n_lines AS failed FROM a),
-h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (failed)::DOUBLE AS f FROM b GROUP BY source),
-s AS (SELECT sum(f) / sum(n) AS mu, sum(f * f / n) / sum(n) AS sq, count(*) / sum(n) AS hn FROM h),
-p AS (SELECT mu, least(greatest(mu * (1 - mu) / greatest(sq - mu * mu - mu * (1 - mu) * hn, 1e-9) - 1, 1.0), 1e6) AS k FROM s),
-r AS (SELECT source, (f + mu * k) / (n + mu * k + (1 - mu) * k) AS rate FROM h, p)
-SELECT b.doc_id, CAST(b.n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a),
+f AS (""" + " UNION ALL ".join(f"SELECT source, '{k}' AS rule, count(*)::DOUBLE AS n, count(*) FILTER ({r})::DOUBLE AS f FROM b GROUP BY source" for k, r in _RULES.items()) + """),
+s AS (SELECT rule, sum(f) / sum(n) AS mu, sum(f * f / n) / sum(n) AS sq, count(*) / sum(n) AS hn FROM f GROUP BY rule),
+p AS (SELECT rule, mu, least(greatest(mu * (1 - mu) / greatest(sq - mu * mu - mu * (1 - mu) * hn, 1e-9) - 1, 1.0), 1e6) AS k FROM s),
+r AS (SELECT source, bool_or((f + mu * k) / (n + k) > greatest(mu + 3.0 * sqrt(mu * (1 - mu) / (k + 1)), 0.25)) AS host_refused FROM f JOIN p USING (rule) GROUP BY source)
+SELECT b.doc_id, CAST(b.n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT host_refused AS kept, host_refused
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """

@@ -139,12 +139,23 @@ def test_measures_against_brute_force(spark):
 
 
 def test_hosts_are_shrunk_to_the_prior(spark):
-    good, bad = " ".join(f"w{i}" for i in range(60)), "too short"
-    rows = [(h * 1000 + i, bad if i < n else good, f"h{h}") for h, (n, of) in enumerate([(90, 100), (2, 100), (1, 1), (5, 100), (0, 100)]) for i in range(of)]
-    got = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    rate = {r.host: r.host_rate for r in got.select("host", "host_rate").distinct().collect()}
-    assert rate["h0"] > 0.5 > rate["h3"] and rate["h2"] < 1.0
-    assert got.where("host = 'h0' and kept").count() == 0 and got.where("host = 'h1' and kept").count() == 98
+    good, bad, loud = " ".join(f"w{i}" for i in range(60)), "too short", " ".join(f"w{i}#$" for i in range(60))
+    hosts = [(bad, 90, 100), (bad, 2, 100), (bad, 1, 1), (bad, 5, 100), (bad, 0, 100), (loud, 80, 100), (bad, 30, 100), *[(bad, 3, 100)] * 60]
+    rows = [(h * 1000 + i, text if i < n else good, f"h{h}") for h, (text, n, of) in enumerate(hosts) for i in range(of)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rate = {r.host: r for r in rules.host_rates(rules.measure(docs)).collect()}
+    assert {h for h, r in rate.items() if r.refused} == {"h0", "h5"} and rate["h0"].rate_short > rate["h0"].limit_short > rate["h6"].rate_short
+    assert rate["h5"].rate_symbols > 0.7 > 0.1 > rate["h5"].rate_short and 0.03 < rate["h2"].rate_short < 0.5  # rules apart; one document says little
+    got = rules.judge(docs)
+    kept = {r.host: r["n"] for r in got.where("kept").groupBy("host").agg(F.count("*").alias("n")).collect()}
+    assert "h0" not in kept and "h5" not in kept and kept["h1"] == 98 and kept["h6"] == 70
+    alike = spark.createDataFrame([(h * 100 + i, bad if i < 40 else good, f"h{h}") for h in range(20) for i in range(100)], "doc_id long, text string, source string")
+    assert not any(r.refused for r in rules.host_rates(rules.measure(alike)).collect())  # what all hosts share refuses none
+
+
+def test_hosts_of_addresses(spark):
+    urls = ["https://User:pw@Example.org:80/a?b", "//example.org?x", "ftp://a.b", "no address", None, "mailto:x@y.z"]
+    assert [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(rules.host_of(F.col("u"))).collect()] == ["example.org", "example.org", "a.b", None, None, None]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
