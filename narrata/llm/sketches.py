@@ -10,10 +10,11 @@ The likeness of two texts is their shared digests over all their digests (Jaccar
 
 ``neighbours`` pairs each document with the next one in descending id: rows are dealt to ranges of ids that
 hold about ``range_rows`` rows, and each range also gets a copy of the first row of the range after it, so that texts
-are shuffled once and no task sees more than its range.
+are shuffled once and no task sees more than its ranges. Ranges are of equal width at first; what holds too many rows is divided again, by id or, where all share one, by a hash of
+the text. The driver sees three numbers; what there is of each range is a table, and the pass that orders the ranges has a row for each ``range_rows`` rows.
 
 Defined results: a null text counts as empty and has the fingerprint of an empty text; null ids come after all
-others; rows that share an id follow in the order of their texts; a single row is its own next; an empty
+others; rows that share an id follow in the order of a hash of their texts; a single row is its own next; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -23,13 +24,16 @@ import hashlib
 import math
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from narrata.llm._work import materialize
+
 BASE = 8  #: cells in each of the three subtables of a fingerprint
 BLOCK = 32
 _SENTENCE = re.compile(r"(?<=[.!?]) +|\n")
@@ -50,12 +54,19 @@ def digests(text: str) -> np.ndarray:
     return np.unique(np.array(out, _U))
 
 
-def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    x = (x ^ _U(salt)) * _U(0xBF58476D1CE4E5B9)
+_SALTS = np.array([[0x9E37], [0x9E38], [0x9E39], [0xC0DE]], _U)  #: of the three subtables and of the check sums
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(29))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(32))
 
 
+def _check(items: np.ndarray) -> np.ndarray:
+    return _mix(items ^ _SALTS[3, 0])
+
+
 class Sketch:
     """Three subtables of ``width`` cells each."""
 
@@ -72,18 +83,18 @@ class Sketch:
             s._put(items, np.ones(len(items), np.int64))
         return s
 
-    def _cells(self, items: np.ndarray) -> np.ndarray:
-        return np.concatenate([(_mix(items, 0x9E37 + k) % _U(self.width)).astype(np.int64) + k * self.width for k in range(3)])
-
     def _put(self, items: np.ndarray, sign: np.ndarray) -> None:
-        at, check = self._cells(items), _mix(items, 0xC0DE)
-        np.add.at(self.count, at, np.concatenate([sign] * 3))
-        np.bitwise_xor.at(self.key, at, np.concatenate([items] * 3))
-        np.bitwise_xor.at(self.check, at, np.concatenate([check] * 3))
+        mixed = _mix(items ^ _SALTS)
+        at = (mixed[:3] % _U(self.width)).astype(np.int64)
+        at += np.array([[0], [self.width], [2 * self.width]])
+        at = at.reshape(-1)
+        np.add.at(self.count, at, np.concatenate((sign, sign, sign)))
+        np.bitwise_xor.at(self.key, at, np.concatenate((items, items, items)))
+        np.bitwise_xor.at(self.check, at, np.concatenate((mixed[3], mixed[3], mixed[3])))
 
     def minus(self, other: Sketch) -> Sketch:
-        s = Sketch(self.width)
-        s.count, s.key, s.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
+        s = Sketch.__new__(Sketch)
+        s.width, s.count, s.key, s.check = self.width, self.count - other.count, self.key ^ other.key, self.check ^ other.check
         return s
 
     def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
@@ -91,7 +102,9 @@ class Sketch:
         first, second = [], []
         for _ in range(3 * self.width):
             at = np.flatnonzero(np.abs(self.count) == 1)
-            at = at[_mix(self.key[at], 0xC0DE) == self.check[at]]
+            if not len(at):
+                break
+            at = at[_check(self.key[at]) == self.check[at]]
             if not len(at):
                 break
             items, where = np.unique(self.key[at], return_index=True)
@@ -116,7 +129,8 @@ def difference(a: np.ndarray, b: np.ndarray, sa: Sketch | None = None, sb: Sketc
         left = sa.minus(sb)
         # a digest adds 1 to the squares of its cell in each subtable, besides what the surplus of one text adds to all
         guess = (left.count @ left.count) / 3 - (len(a) - len(b)) ** 2 / width
-        if (got := left.peel()) is not None:
+        # a cell gives one digest at most, so a surplus beyond the cells can't be peeled, and a guess far beyond them hardly
+        if abs(len(a) - len(b)) <= 3 * width and guess <= 4 * width and (got := left.peel()) is not None:
             return got
         need = min(max(guess, 1), len(a) + len(b)) * 0.6
         width = max(4 * width, 1 << math.ceil(math.log2(max(1, need))))
@@ -135,45 +149,53 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _ranges(docs: DataFrame, id_col: str, range_rows: int) -> list[int]:
-    """Ascending ids that divide the table into parts of about ``range_rows`` rows."""
-    n = docs.count()
-    parts = n // range_rows
-    if parts < 1:
-        return []
-    got = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / (parts + 1) for i in range(1, parts + 1)], 100_000).alias("p")).first()["p"]
-    return sorted(set(got or []))
-
-
-def _range_of(bounds: list[int], key: F.Column) -> F.Column:
-    """How many bounds lie below the key: first among every k-th bound, then among the k of that stretch."""
-    if not bounds:
-        return F.lit(0)
-    k = max(1, math.isqrt(len(bounds)))
-    longs = lambda xs: F.array(*[F.lit(x) for x in xs])
-    stretches = [bounds[i : i + k] for i in range(0, len(bounds), k)]
-    coarse = F.size(F.filter(longs([s[-1] for s in stretches]), lambda b: b < key))
-    fine = F.get(F.array(*[longs(s) for s in stretches]), coarse)
-    return F.when(key.isNull(), F.lit(-1)).otherwise(coarse * k + F.coalesce(F.size(F.filter(fine, lambda b: b < key)), F.lit(0)))
-
-
-def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 4096) -> DataFrame:
-    """(range, halo, id, text): within a range, in the order of ``FOLLOW``, the row after each row is the next
+def _divide(keys: DataFrame, range_rows: int, most_rounds: int = 16) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``keys`` (id, h) with their range, and the function that gives any rows with id and h theirs."""
+    low, high, n = keys.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
+    parts, span = max(1, -(-n // range_rows)), float((high or 0) - (low or 0) + 1)
+    whole = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("id").cast("double") - F.lit(float(low or 0))) / F.lit(span) * F.lit(float(parts)))).cast("long")
+    divided: list[DataFrame] = []
+
+    def split(rows: DataFrame, large: DataFrame) -> DataFrame:
+        where = F.when(F.col("_same"), F.col("h")).otherwise(F.col("id")).cast("decimal(20,0)") - F.col("_low").cast("decimal(20,0)")
+        part = F.least(F.floor(where.cast("double") / F.col("_span") * F.col("_parts")), F.col("_parts") - 1)
+        both = rows.join(large, F.col("range") == F.col("_range"), "left")
+        return both.withColumn("range", F.when(F.col("_range").isNull(), F.col("range")).otherwise(F.xxhash64("range", part))).drop("_range", "_same", "_low", "_span", "_parts")
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("range", whole)
+        for large in divided:
+            rows = split(rows, large)
+        return rows
+
+    for _ in range(most_rounds):
+        sizes = ranged(keys).groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("i"), F.max("id").alias("j"), F.min("h").alias("p"), F.max("h").alias("q"))
+        same = F.col("i").eqNullSafe(F.col("j"))
+        large = sizes.where((F.col("n") > 2 * range_rows) & (~same | (F.col("p") < F.col("q"))))
+        width = F.when(same, F.col("q").cast("decimal(20,0)") - F.col("p")).otherwise(F.col("j").cast("decimal(20,0)") - F.col("i")).cast("double") + 1.0
+        large = materialize(large.select(F.col("range").alias("_range"), same.alias("_same"), F.when(same, F.col("p")).otherwise(F.col("i")).alias("_low"), width.alias("_span"), F.ceil(F.col("n") / range_rows).alias("_parts")), "large-ranges")
+        if large.isEmpty():
+            break
+        divided.append(large)
+    return ranged(keys), ranged
+
+
+def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 1024) -> DataFrame:
+    """(range, halo, id, h, text): within a range, in the order (halo, id descending, h, text), the row after each row is the next
     document; halo rows only stand in for the first row of the next range."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("range", _range_of(_ranges(docs, id_col, range_rows), F.col("id")))
-    heads = rows.groupBy("range").agg(F.max("id").alias("id")).orderBy(F.desc("range")).collect()  # a row for each range
-    if not heads:
-        return rows.select("range", F.lit(False).alias("halo"), "id", "text")
-    goes = [(h["id"], heads[i - 1]["range"]) for i, h in enumerate(heads)]  # the first range's head goes to the last range
-    to = docs.sparkSession.createDataFrame(goes, "head long, to int")
-    halo = rows.join(F.broadcast(to), F.col("id").eqNullSafe(F.col("head")))  # a row for each range
-    # of rows that share the head's id only the first is the next document
-    halo = halo.groupBy("to", "id").agg(F.min("text").alias("text"))
-    return rows.select("range", F.lit(False).alias("halo"), "id", "text").unionByName(halo.select(F.col("to").alias("range"), F.lit(True).alias("halo"), "id", "text"))
-
-
-def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 4096) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    keys, ranged = _divide(materialize(rows.select("id", "h"), "keys"), range_rows)
+    # a row for each range, in order; the head of each goes to the range before it, the first one's to the last
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), (-F.col("id").cast("decimal(20,0)")).alias("back"), "h", "id")).alias("head")
+    heads = keys.groupBy("range").agg(first)
+    order = W.partitionBy().orderBy("head")
+    last = F.last("range").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    goes = materialize(heads.select(F.col("head.id").alias("_id"), F.col("head.h").alias("_h"), F.coalesce(F.lag("range").over(order), last).alias("_to")), "heads")
+    halo = rows.join(goes, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).dropDuplicates(["_to"])
+    return ranged(rows).select("range", F.lit(False).alias("halo"), "id", "h", "text").unionByName(halo.select(F.col("_to").alias("range"), F.lit(True).alias("halo"), "id", "h", "text"))
+
+
+def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 1024) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row."""
     rows = neighbours(docs, id_col, text_col, range_rows)
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -213,5 +235,5 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    ordered = rows.repartition("range").sortWithinPartitions(F.desc("range"), "halo", F.desc_nulls_last("id"), "text")
+    ordered = rows.repartition("range").sortWithinPartitions("range", "halo", F.desc_nulls_last("id"), "h", "text")
     return ordered.select("range", "halo", "id", "text").mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -228,7 +228,7 @@ def test_versions_against_brute_force(spark, sf):
         a, b, c = (set(sketches.digests(t).tolist()) for t in (text, new, after))
         like = lambda p, q: len(p & q) / len(p | q) if p | q else 1.0
         want[key] = (len(text), hashlib.sha256(new.encode()).hexdigest(), like(a, b), like(a, c))
-    for size in (4096, 7):
+    for size in (1024, 7):
         got = sketches.fingerprint_versions(docs, range_rows=size).collect()
         assert {r.id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got} == want
     prints = {}
@@ -237,6 +237,24 @@ def test_versions_against_brute_force(spark, sf):
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_neighbours_at_any_spread_of_ids(spark):
+    """Ids far apart and close together, one id that many rows share, and rows without one."""
+    r = random.Random(7)
+    ids = [*range(400), *(1 << 40 | i for i in range(300)), -(1 << 63), (1 << 63) - 1, *[5] * 200, *[None] * 200]
+    rows = [(i, f"text {n}. Of {r.random()}") for n, i in enumerate(ids)]
+    got = sketches.neighbours(spark.createDataFrame(rows, "doc_id long, text string"), range_rows=16).collect()
+    sizes = {}
+    for x in got:
+        sizes[x.range] = sizes.get(x.range, 0) + (not x.halo)
+    assert max(sizes.values()) <= 32 and len([x for x in got if x.halo]) == len(sizes)
+    by_range = {}
+    for x in sorted(got, key=lambda x: (x.halo, x.id is None, -(x.id or 0), x.h)):
+        by_range.setdefault(x.range, []).append(x)
+    after = {(a.id, a.text): (b.id, b.text) for v in by_range.values() for a, b in zip(v, v[1:], strict=False)}
+    order = sorted((x for x in got if not x.halo), key=lambda x: (x.id is None, -(x.id or 0), x.h))
+    assert after == {(a.id, a.text): (b.id, b.text) for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+
+
 # Personal data
 
 PEOPLE = "Mr. John Smith met Mrs Anna Jones. Herr Müller, г-н Иван Петров and Dr Lee Wong. MR. JOHN SMITH."
