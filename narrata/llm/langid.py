@@ -3,16 +3,15 @@
 A text becomes a unit vector of hashed letter n-grams (1 to 3, words set apart by a space), weighted
 ``log(1 + count) * idf``. Each language has several centroids, found by spherical k-means over its own training vectors.
 A text gets the language of the nearest centroid by cosine; the cosine is the score. A text that lies
-further from every centroid than texts of its length did in training, with slack, is rejected; of fewer than 16 letters,
-only one without any is.
+further from every centroid than texts of its length did in training, with slack, is rejected; the fewer letters a text has, the more slack it gets.
 
 Document frequencies are counted over all training rows, by bucket. The centroids are fitted on a bounded sample: at most about ``per_lang`` documents of a language (expected number,
 picked by a hash of the id), which the driver receives as sparse vectors. Scoring runs over all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; with nothing to
 learn from, every text is ``und``; rows repeated under one id are scored alike; an empty table gives an
-empty result; other columns are ignored. Characters count as letters by their Unicode category. A text of more than
-``_PART`` characters is counted in parts; the n-grams across a cut are left out.
+empty result; other columns are ignored. Characters count as letters by their Unicode category; of equally near centroids the first in the order of the languages counts. A text of more than
+``_PART`` characters is counted in parts that overlap by two characters, so that every n-gram counts once.
 """
 
 from __future__ import annotations
@@ -30,7 +29,6 @@ from narrata.llm._work import hash_unit
 DIMS = 1 << 13
 _PART = 1 << 18
 _SMALL = 24  #: length classes: powers of two of the letters
-_TOO_SHORT = 4  #: texts of fewer than 2 ** 4 letters are too short to be rejected by distance
 UNDETERMINED = "und"
 
 _LETTER: list[np.ndarray] = []
@@ -49,19 +47,21 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     letters = np.zeros(len(texts), np.int64)
     flat = out.reshape(-1)
 
-    def add(codes: list[np.ndarray], rows: list[int]) -> None:
+    def add(codes: list[np.ndarray], rows: list[int], old: list[int]) -> None:
+        """Parts of texts; the first ``old`` characters of each were in the part before it."""
         c = np.concatenate(codes)
-        row = np.repeat(np.array(rows), [len(x) for x in codes])
-        is_letter = table[c]
-        np.add.at(letters, np.array(rows), [int(x) for x in np.add.reduceat(is_letter, np.r_[0, np.cumsum([len(x) for x in codes])[:-1]])])
-        c = np.where(is_letter, c, 32).astype(np.uint32)
-        keep = np.r_[True, (c[1:] != 32) | (c[:-1] != 32) | (row[1:] != row[:-1])]  # one space for a run
-        c, row = c[keep], row[keep]
-        two, three = row[1:] == row[:-1], row[2:] == row[:-2]
+        sizes = [len(x) for x in codes]
+        part = np.repeat(np.arange(len(codes)), sizes)
+        seen = np.concatenate([np.arange(n) < k for n, k in zip(sizes, old, strict=True)])
+        row = np.array(rows)[part]
+        is_letter = c != 32
+        np.add.at(letters, row[is_letter & ~seen], 1)
+        two, three = part[1:] == part[:-1], part[2:] == part[:-2]
         h1 = c * np.uint32(2654435761)
-        h2 = (h1[:-1] ^ (c[1:] * np.uint32(2246822519)))[two]
-        h3 = (h1[:-2] ^ (c[1:-1] * np.uint32(3266489917)) ^ (c[2:] * np.uint32(668265263)))[three]
-        for h, r in ((h1[c != 32], row[c != 32]), (h2, row[1:][two]), (h3, row[2:][three])):
+        h2 = (h1[:-1] ^ (c[1:] * np.uint32(2246822519)))[two & ~seen[1:]]
+        h3 = (h1[:-2] ^ (c[1:-1] * np.uint32(3266489917)) ^ (c[2:] * np.uint32(668265263)))[three & ~seen[2:]]
+        own = is_letter & ~seen
+        for h, r in ((h1[own], row[own]), (h2, row[1:][two & ~seen[1:]]), (h3, row[2:][three & ~seen[2:]])):
             h = (h ^ (h >> np.uint32(15))) * np.uint32(2654435769)
             where, n = np.unique(r * DIMS + (h >> np.uint32(19)), return_counts=True) if len(h) < 4096 else (None, None)
             if where is None:
@@ -70,20 +70,24 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             else:
                 flat[where] += n
 
-    codes, rows, size = [], [], 0
+    codes, rows, old, size = [], [], [], 0
     for i, t in enumerate(texts):
         if not t:
             continue
-        t = t.lower()
-        for at in range(0, len(t), _PART):
-            codes.append(np.frombuffer(f" {t[at : at + _PART]} ".encode("utf-32-le", "replace"), "<u4"))
+        c = np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "replace"), "<u4")
+        c = np.where(table[np.minimum(c, 0x10FFFF)], c, 32).astype(np.uint32)
+        c = c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]]  # one space for a run
+        for at in range(0, len(c), _PART):
+            first = max(0, at - 2)
+            codes.append(c[first : at + _PART])
             rows.append(i)
+            old.append(at - first)
             size += len(codes[-1])
             if size >= _PART:
-                add(codes, rows)
-                codes, rows, size = [], [], 0
+                add(codes, rows, old)
+                codes, rows, old, size = [], [], [], 0
     if codes:
-        add(codes, rows)
+        add(codes, rows, old)
     return out, letters
 
 
@@ -101,7 +105,11 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     langs: list[str]  #: of each centroid
-    least: np.ndarray = field(default_factory=lambda: np.zeros(_SMALL))  #: cosine below which a text of that length is rejected
+    least: np.ndarray = field(default_factory=lambda: np.zeros(_SMALL))  #: cosine below which a long text of that length class is rejected
+
+    def nearest(self, letters: np.ndarray) -> np.ndarray:
+        """The cosine below which texts of so many letters are rejected."""
+        return self.least[_length(letters)] * (1 - 1 / np.sqrt(1.0 + letters))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         x, letters = counts(texts)
@@ -112,7 +120,7 @@ class Model:
         score = np.clip(near[np.arange(len(texts)), best], 0, 1).astype(float)
         known = letters > 0
         score[~known] = 0
-        return [self.langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], score, ~known | (score < self.least[_length(letters)])
+        return [self.langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], score, ~known | (score < self.nearest(letters))
 
 
 def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -181,7 +189,6 @@ def fit(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str
     near, size = (x @ model.centroids.T).max(1), _length(letters)
     for k in range(_SMALL):  # texts at most as long are the yardstick; what is longer lies nearer
         model.least[k] = slack * near[size >= k].min() if (size >= k).any() else model.least[k - 1]
-    model.least[:_TOO_SHORT] = 0
     return model
 
 
