@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and U+0009-U+000D.
@@ -17,10 +18,12 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which every executor and the driver share.
 
-    Only where a session names none (tests on one machine) is a temporary one set.
+    Only where a session of one machine names none (tests) is a temporary one set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="narrata-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -67,3 +70,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def running(df: DataFrame, key: list[str], levels: list[str], value: str, into: str) -> DataFrame:
+    """(key, levels, into): the sum of ``value`` over all rows of the key that come before in the order of ``levels`` (coarse to fine, no nulls).
+    Each level is summed within the one above it, so no task orders more than one level's members."""
+    out = None
+    for i in range(len(levels), 0, -1):
+        have, above = key + levels[:i], key + levels[: i - 1]
+        sums = df.groupBy(*have).agg(F.sum(value).alias("_v"))
+        order = W.partitionBy(*above).orderBy(levels[i - 1]).rowsBetween(W.unboundedPreceding, -1)
+        sums = sums.select(*have, F.coalesce(F.sum("_v").over(order), F.lit(0)).alias("_b"))
+        if out is None:
+            out = sums.withColumnRenamed("_b", into)
+            continue
+        names = [f"_k{j}" for j in range(len(have))]
+        upper = sums.select(*[F.col(c).alias(n) for c, n in zip(have, names, strict=True)], "_b")
+        same = F.lit(True)
+        for c, n in zip(have, names, strict=True):
+            same = same & F.col(c).eqNullSafe(F.col(n))
+        out = out.join(upper, same).withColumn(into, F.col(into) + F.col("_b")).drop("_b", *names)
+    return out

@@ -10,12 +10,12 @@ Targets: sources stand in code-point order, null last; weights repeat along them
 ``share`` times all words. No target exceeds ``most`` times its source's size; what is over goes to the
 others by weight (a water level, solved from prefix sums over the sources instead of by rounds).
 
-How it is spread out: positions come from counts by (source, size) and, where one such cell is large, by
-ranges of the id's digest, so that no source is ever ordered in one task.
+How it is spread out: rows of the same id, source and size are counted as one first, as any of them may take any of their places. Positions come from counts by (source, size) and, where one such
+cell is large, by ranges of the id's digest, in prefix sums of several levels, so that no source is ever ordered in one task. The targets' pass has a row for each source.
 
 Defined results: a null text has size 0; a source whose size is 0 has target 0 and nothing of it is
-taken; null is a source of its own; rows repeated under one id count one by one and share their order; an
-empty table gives an empty result; other columns are kept by ``mixed`` and ignored by ``mix``.
+taken; null is a source of its own; rows repeated under one id count one by one and share their order; null ids stand
+together in their source and size; an empty table gives an empty result; other columns are kept by ``mixed`` and ignored by ``mix``.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narrata.llm._work import fresh, materialize, word_count
+from narrata.llm._work import fresh, materialize, running, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
+_STRETCH = 4096  #: rows of one key that are numbered or made at a time
 
 
 def _part(text) -> F.Column:
@@ -51,54 +52,79 @@ def source_targets(by_source: DataFrame, weights=WEIGHTS, share: float = SHARE,
     return ranked.withColumn("at", level).select("source", "source_size", F.least("cap", F.coalesce(F.col("at") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix", cell_rows: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix", cell_rows: int = 512) -> DataFrame:
     """(id, size, source, source_size, target, copies), one row for each row of ``docs``."""
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    sizes = materialize(sizes.withColumn("digest", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))), "sizes")
-    cells = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    cells = materialize(cells, "cells")
-    by_source = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    sizes = materialize(sizes.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    sizes = sizes.withColumn("digest", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    cells = materialize(sizes.groupBy("source", "size").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("ids")), "cells")
+    by_source = cells.groupBy("source").agg(F.sum(F.col("rows") * F.col("size")).alias("source_size"))
     targets = source_targets(by_source, weights, share, most)
-    hot = cells.where(F.col("n") > cell_rows).select(F.col("source").alias("hs"), F.col("size").alias("hz"), F.ceil(F.col("n") / cell_rows).alias("parts"))
+    hot = cells.where(F.col("ids") > cell_rows).select(F.col("source").alias("hs"), F.col("size").alias("hz"), F.ceil(F.col("ids") / cell_rows).alias("parts"))
     key = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
-    if not hot.isEmpty():
-        sizes = sizes.join(hot, F.col("source").eqNullSafe(F.col("hs")) & (F.col("size") == F.col("hz")), "left")
-        part = F.expr("coalesce(parts, 1)") * key / F.lit(4294967296)
-        # dealt by all three, or what the join was dealt by would do for the counts and keep a large cell in one task
-        sizes = sizes.withColumn("part", F.floor(part).cast("long")).drop("hs", "hz", "parts").repartition("source", "size", "part")
-    else:
-        sizes = sizes.withColumn("part", F.lit(0).cast("long"))
-    counted = sizes.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
-    run = W.partitionBy("source").orderBy("size", "part").rowsBetween(W.unboundedPreceding, -1)
-    based = counted.withColumn("base", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    sizes = sizes.join(hot, F.col("source").eqNullSafe(F.col("hs")) & (F.col("size") == F.col("hz")), "left")
+    part = F.floor(F.expr("coalesce(parts, 1)") * key / F.lit(4294967296)).cast("long")
+    # dealt by all three, or what the join was dealt by would do for the counts and keep a large cell in one task
+    sizes = sizes.withColumn("part", part).drop("hs", "hz", "parts").repartition("source", "size", "part")
+    counted = sizes.groupBy("source", "size", "part").agg(F.sum("rows").alias("n")).withColumn("z", F.floor(F.col("size") / 1024)).withColumn("p", F.floor(F.col("part") / 1024))
+    based = running(counted, ["source"], ["z", "size", "p", "part"], "n", "base")
     # the target is a value of the source: it rides along with the cell
     based = based.join(targets.withColumnRenamed("source", "ts"), F.col("source").eqNullSafe(F.col("ts"))).select(
         F.col("source").alias("bs"), F.col("size").alias("bz"), F.col("part").alias("bp"), "base", "source_size", "target"
     )
-    rows = sizes.withColumn("at", F.row_number().over(W.partitionBy("source", "size", "part").orderBy("digest", "id")))
+    before = F.sum("rows").over(W.partitionBy("source", "size", "part").orderBy("digest", "id").rowsBetween(W.unboundedPreceding, -1))
+    rows = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
     rows = rows.join(based, F.col("source").eqNullSafe(F.col("bs")) & (F.col("size") == F.col("bz")) & (F.col("part") == F.col("bp")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _part(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\x00"))))
-    rows = rows.withColumn("rate", rate).withColumn("offset", offset).withColumn("rank", F.col("base") + F.col("at"))
+    rows = rows.select("id", "size", "source", "source_size", "target", "rows", rate.alias("rate"), offset.alias("offset"), (F.col("base") + F.col("before")).alias("first"))
+    # a row for each of the rows counted as one: in stretches, and those dealt anew where there are many
+    stretch = lambda df: df.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("rows") - 1, F.lit(_STRETCH)))).withColumn("upto", F.least(F.col("k") + _STRETCH, F.col("rows")) - 1)
+    many = F.col("rows") > _STRETCH
+    if not cells.where(many).isEmpty():
+        rows = stretch(rows.where(~many)).unionByName(stretch(rows.where(many)).repartition("id", "k"))
+    else:
+        rows = stretch(rows)
+    rows = rows.withColumn("at", F.explode(F.sequence("k", "upto"))).withColumn("rank", F.col("first") + 1 + F.col("at"))
     crossed = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
     return rows.select("id", "size", "source", "source_size", "target", F.least(crossed, F.ceil("rate")).cast("long").alias("copies"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns, each as often as it is taken."""
-    taken = materialize(mix(docs, id_col, text_col, **options), "taken")
-    i, z, c, k, mz, mk, n = fresh(docs, "_id", "_size", "_copies", "_place", "_mysize", "_myplace", "_copy")
-    copies = taken.select(F.col("id").alias(i), F.col("size").alias(z), F.col("copies").alias(c))
+    taken = materialize(mix(docs, id_col, text_col, source_col, **options), "taken")
+    i, s, z, c, n, r, x = fresh(docs, "_id", "_source", "_size", "_copies", "_copy", "_row", "_place")
     here = F.col(id_col).eqNullSafe(F.col(i))
-    if taken.groupBy("id").count().where("count > 1").isEmpty():
-        # the copies grow with the documents: a merge join at every size, never a broadcast of them
-        rows = docs.join(copies.where(F.col(c) > 0).drop(z).hint("merge"), here)
-    else:  # rows that share an id are told apart by size and place
-        copies = copies.withColumn(k, F.row_number().over(W.partitionBy(i, z).orderBy(F.desc(c)))).where(F.col(c) > 0)
-        mine = docs.withColumn(mz, word_count(F.col(text_col)))
-        mine = mine.withColumn(mk, F.row_number().over(W.partitionBy(id_col, mz).orderBy(text_col)))
-        rows = mine.join(copies.hint("merge"), here & (F.col(mz) == F.col(z)) & (F.col(mk) == F.col(k)))
-    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(c).cast("int")))).select(*[F.col(f"`{x}`") for x in docs.columns])
+    columns = [F.col(f"`{k}`") for k in docs.columns]
+    repeated = materialize(taken.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias(i)), "repeated")
+    copies = lambda rows: rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(c).cast("int")))).select(*columns)
+    once = taken.where(F.col("copies") > 0).select(F.col("id").alias(i), F.col("copies").alias(c))
+    if repeated.isEmpty():
+        # the copies grow with the documents, so the planner may not take a small table's size for theirs: a merge join at every size
+        return copies(docs.join(once.hint("merge"), here))
+    # rows that share an id are told apart by source, size and place; places are counted within each part of a written table
+    alone = docs.join(repeated, here, "left_anti").join(once.join(repeated.withColumnRenamed(i, "_r"), F.col(i).eqNullSafe(F.col("_r")), "left_anti").hint("merge"), here)
+    mine = docs.join(repeated, here, "left_semi").withColumn(s, F.col(source_col).cast("string")).withColumn(z, word_count(F.col(text_col)))
+    mine = materialize(mine.withColumn(r, F.monotonically_increasing_id()), "rows-of-one-id")
+    theirs = taken.join(repeated, F.col("id").eqNullSafe(F.col(i)), "left_semi").select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias(c))
+    theirs = materialize(theirs.withColumn("_r", F.monotonically_increasing_id()), "takes-of-one-id")
+    mine = _numbered(mine, [id_col, s, z], r, x)
+    theirs = _numbered(theirs, ["_i", "_s", "_z"], "_r", "_x").drop("_r").where(F.col(c) > 0)
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(s).eqNullSafe(F.col("_s")) & (F.col(z) == F.col("_z")) & (F.col(x) == F.col("_x"))
+    return copies(alone).unionByName(copies(mine.join(theirs, same)))
+
+
+def _numbered(rows: DataFrame, key: list[str], row: str, into: str) -> DataFrame:
+    """Rows with their number among those of their key, counted in parts of ``_STRETCH`` consecutive rows (``row``) that are then set one behind the other."""
+    rows = rows.withColumn("_q", F.shiftright(row, 33)).withColumn("_p", F.floor(F.col(row) / _STRETCH))
+    base = running(rows.withColumn("_one", F.lit(1)), key, ["_q", "_p"], "_one", "_base")
+    names = [f"_b{j}" for j in range(len(key))]
+    base = base.select(*[F.col(k).alias(a) for k, a in zip(key, names, strict=True)], F.col("_p").alias("_bp"), "_base")
+    same = F.col("_p") == F.col("_bp")
+    for k, a in zip(key, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(a))
+    at = F.row_number().over(W.partitionBy(*key, "_p").orderBy(row))
+    return rows.withColumn("_at", at).join(base, same).withColumn(into, F.col("_base") + F.col("_at")).drop("_q", "_p", "_at", "_bp", "_base", *names)
 
 
 ORACLE = """

@@ -356,6 +356,25 @@ def test_mix_meets_its_targets(spark):
     assert all(abs(level[s] - by.target[s]) < 1e-3 for s in by.index)
 
 
+def test_rows_of_one_id_and_without_one_are_taken_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_STRETCH", 8)
+    rows = [(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(300)] + [(None, "w " * (i % 3), "a") for i in range(200)] + [(7, "x y z", "b")] * 50 + [(7, "q r s", "b")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(docs, cell_rows=16).toPandas()
+    assert len(taken) == len(rows) and sorted(taken["size"]) == sorted(len(t.split()) for _, t, _ in rows)
+    whole = mixing.mix(docs, cell_rows=4096).toPandas()
+    by = ["id", "size", "source", "copies"]
+    assert taken[by].fillna(-1).sort_values(by).values.tolist() == whole[by].fillna(-1).sort_values(by).values.tolist()
+    out = mixing.mixed(docs, cell_rows=16).collect()
+    assert len(out) == taken.copies.sum()
+    limit = {(i, t): c * 2 for (i, t, _), c in {r: rows.count(r) for r in rows}.items()}
+    seen = {}
+    for r in out:
+        seen[r.doc_id, r.text] = seen.get((r.doc_id, r.text), 0) + 1
+    assert all(n <= limit[k] for k, n in seen.items())
+    assert sum(len(r.text.split()) for r in out) == (taken["size"] * taken.copies).sum()
+
+
 # Secrets
 
 
