@@ -7,23 +7,23 @@ round in which a packet is served is known at once: ``ceil(tokens of the source
 the whole schedule is prefix sums: deficits carry over windows and partitions without any sequential task. Packets in
 the order (round, source, place) fill the windows one after the other, so only the last sequence is short.
 
-Quanta follow ``targets`` (source to weight) or, without them, each source's share of all tokens, so
-that every window holds the corpus's own proportions to the end. With targets, a source that runs dry leaves
+Quanta follow ``targets``: source to weight (a source without one is an error unless ``other`` gives its weight), or a sequence of weights that repeats along the sources in code-point order, null
+last. Without targets a quantum is the source's share of all tokens, so that every window holds the corpus's own proportions to the end. With targets, a source that runs dry leaves
 its share to the rest.
 
-How it is spread out: places within a source are prefix sums over ranges of a hash of the id, and places
+How it is spread out: places within a source are prefix sums over ranges of a hash of id and content (without an id, of the row too), in levels, and places
 in the stream are prefix sums over blocks of rounds; no task orders a source or the stream as a whole.
 Token ids are written once (two bytes each where the vocabulary allows) and met again by row.
 
 Defined results: a null text is empty and has one token, the end mark; null is a source of its own; rows
-repeated under one id are packed one by one; an empty table gives an empty result; other columns are ignored.
+repeated under one id are packed one by one; documents of equal hash follow by id, content and row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from narrata.llm._work import hash_unit, materialize
+from narrata.llm._work import hash_unit, materialize, running
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -110,33 +110,39 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return materialize(rows.mapInArrow(run, "row long, id long, source string, n long, crc long, wide boolean, ids binary"), "tokens")
 
 
-def _running(df: DataFrame, block: str, value: str, into: str) -> DataFrame:
-    """(block, into): the sum of ``value`` over all smaller blocks; blocks are longs from 0 on.
-    Two levels, so that the ordered pass over all has a row for 4,096 blocks."""
-    sums = df.groupBy(block).agg(F.sum(value).alias("v")).withColumn("over", F.floor(F.col(block) / 4096))
-    upper = sums.groupBy("over").agg(F.sum("v").alias("v"))
-    upper = upper.select("over", F.coalesce(F.sum("v").over(W.partitionBy().orderBy("over").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = F.coalesce(F.sum("v").over(W.partitionBy("over").orderBy(block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sums.withColumn("within", within).join(upper, "over").select(block, (F.col("base") + F.col("within")).alias(into))
+def turn_of(source) -> F.Column:
+    """The order in which sources are served within a round."""
+    return F.xxhash64(F.lit("queue"), source)
 
 
-def schedule(tokens: DataFrame, window: int = WINDOW, least_piece: int = LEAST_PIECE, targets: dict[str, float] | None = None, part_rows: int = 4096, part_rounds: int = 64) -> DataFrame:
+def _weighed(by_source: DataFrame, targets: Mapping[str, float] | Sequence[float] | None, other: float | None) -> DataFrame:
+    """``by_source`` with each source's weight ``w``."""
+    if not targets:
+        return by_source.withColumn("w", F.col("tokens").cast("double"))
+    if isinstance(targets, Mapping):
+        weigh = F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, float(v))])
+        weight = F.coalesce(weigh[F.coalesce("source", F.lit(""))], F.lit(other).cast("double"))
+        weighed = by_source.withColumn("w", weight)
+        if (missing := weighed.where("w is null").first()) is not None:
+            raise ValueError(f"no target for source {missing['source']!r}")
+        return weighed
+    cycle = F.array(*[F.lit(float(w)) for w in targets])
+    return by_source.withColumn("w", F.element_at(cycle, (F.row_number().over(W.partitionBy().orderBy(F.col("source").asc_nulls_last())) - 1) % len(targets) + 1))
+
+
+def schedule(tokens: DataFrame, window: int = WINDOW, least_piece: int = LEAST_PIECE, targets: Mapping[str, float] | Sequence[float] | None = None, other: float | None = None, part_rows: int = 4096, part_rounds: int = 64) -> DataFrame:
     """(row, start, length, sequence_id, offset) for every piece of (row, id, source, n, crc)."""
     rows = tokens.select("row", "id", "source", "n", "crc")
     by_source = materialize(rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")), "queues")
-    if targets:
-        weigh = F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, float(v))])
-        weighed = by_source.withColumn("w", F.coalesce(weigh[F.col("source")], F.lit(float(min(targets.values())))))
-    else:
-        weighed = by_source.withColumn("w", F.col("tokens").cast("double"))
+    weighed = _weighed(by_source, targets, other)
     total = weighed.agg(F.sum("w")).first()[0] or 1.0
     queues = weighed.select(
-        F.col("source").alias("qs"), F.ceil(F.col("rows") / part_rows).alias("parts"), (F.col("w") / F.lit(float(total)) * window).alias("quantum"), F.xxhash64(F.lit("queue"), "source").alias("turn"),
+        F.col("source").alias("qs"), F.ceil(F.col("rows") / part_rows).alias("parts"), (F.col("w") / F.lit(float(total)) * window).alias("quantum"), turn_of(F.col("source")).alias("turn"),
     )
     here = F.col("source").eqNullSafe(F.col("qs"))
-    placed = rows.join(queues, here).withColumn("h", hash_unit(F.lit("place"), F.col("id"))).withColumn("part", F.floor(F.col("h") * F.col("parts")))
-    sums = placed.groupBy("source", "part").agg(F.sum("n").alias("v"))
-    sums = sums.select(F.col("source").alias("bs"), F.col("part").alias("bp"), F.coalesce(F.sum("v").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    place = F.when(F.col("id").isNull(), hash_unit(F.lit("place"), F.col("crc"), F.col("row"))).otherwise(hash_unit(F.lit("place"), F.col("id"), F.col("crc")))
+    placed = rows.join(queues, here).withColumn("h", place).withColumn("part", F.floor(F.col("h") * F.col("parts"))).withColumn("over", F.floor(F.col("part") / 1024))
+    sums = running(placed, ["source"], ["over", "part"], "n", "base").select(F.col("source").alias("bs"), F.col("part").alias("bp"), "base")
     run = W.partitionBy("source", "part").orderBy("h", "id", "crc", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("within", F.coalesce(F.sum("n").over(run), F.lit(0)))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("bs")) & (F.col("part") == F.col("bp")))
@@ -148,7 +154,7 @@ def schedule(tokens: DataFrame, window: int = WINDOW, least_piece: int = LEAST_P
     packets = packets.withColumn("from", F.greatest("first", F.floor((F.col("k") - 1) * F.col("packet")))).withColumn("to", F.least("last", F.floor(F.col("k") * F.col("packet")))).where("`to` > `from`")
     packets = packets.select("row", "turn", "to", (F.col("from") - F.col("first")).alias("start"), (F.col("to") - F.col("from")).alias("length"), F.ceil(F.col("k") * F.col("packet") / F.col("quantum") - 1e-6).alias("round"))
     packets = materialize(packets.withColumn("block", F.floor(F.col("round") / part_rounds)), "packets")
-    bases = _running(packets, "block", "length", "base").withColumnRenamed("block", "bb")
+    bases = running(packets.withColumn("over", F.floor(F.col("block") / 4096)), [], ["over", "block"], "length", "base").select(F.col("block").alias("bb"), "base")
     run = W.partitionBy("block").orderBy("round", "turn", "to", "row").rowsBetween(W.unboundedPreceding, -1)
     stream = packets.withColumn("within", F.coalesce(F.sum("length").over(run), F.lit(0))).join(bases, F.col("block") == F.col("bb"))
     stream = stream.withColumn("g", F.col("base") + F.col("within"))
@@ -160,13 +166,13 @@ def schedule(tokens: DataFrame, window: int = WINDOW, least_piece: int = LEAST_P
     return stream.select("row", F.explode(F.when(F.col("length") <= room, one).otherwise(two)).alias("p")).select("row", "p.*")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str | None = None, end_id: int = END_ID, window: int = WINDOW, least_piece: int = LEAST_PIECE, targets: dict[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str | None = None, end_id: int = END_ID, window: int = WINDOW, least_piece: int = LEAST_PIECE, targets: Mapping[str, float] | Sequence[float] | None = None, other: float | None = None) -> DataFrame:
     """(id, source, start, length, ids, doc_tokens, sequence_id, offset): every piece with its ids (binary, 2 or 4
     bytes each, little-endian, by ``wide``)."""
     if least_piece > window:
         raise ValueError("a piece is no longer than a window")
     tokens = tokenize(docs, id_col, text_col, source_col, path, end_id)
-    pieces = schedule(tokens, window, least_piece, targets).groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+    pieces = schedule(tokens, window, least_piece, targets, other).groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     held = tokens.select("row", "id", "source", F.col("n").alias("doc_tokens"), "wide", "ids").join(pieces, "row")
     each = F.col("p.length") * F.when(F.col("wide"), 4).otherwise(2)
     from_ = F.col("p.start") * F.when(F.col("wide"), 4).otherwise(2) + 1

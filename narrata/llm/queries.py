@@ -12,6 +12,8 @@ from narrata.llm._work import table
 
 #: The key of the surrogates; a deployment sets its own.
 PII_KEY = "narrata-surrogates"
+#: Weights of the sources in a window, repeating along their names.
+PACK_TARGETS = (5, 2, 1)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), targets=PACK_TARGETS)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", packing.widened_crc32().alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
