@@ -211,8 +211,10 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows whose text isn't rejected, all columns kept. The model is learnt from those not held out."""
+    """The rows whose text isn't rejected, all columns kept. The model is learnt from those not held out; with nothing to learn from, nothing is rejected."""
     model = fit(docs, ~held_out(id_col), id_col, text_col, **options)
+    if not model.langs:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

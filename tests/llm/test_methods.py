@@ -13,7 +13,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from narrata.llm import html_text, langid, mixing, packing, pii, queries, rules, secrets, simhash, sketches
 
 # Near duplicates
@@ -399,16 +398,3 @@ def test_every_planted_token_is_masked(spark, sf, forest):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert secrets.redact(docs, forest).where("text rlike '(?i)token = .[0-9a-f]{40}'").count() == 0
     assert secrets.redact(docs, forest).join(docs.withColumnRenamed("text", "old"), "doc_id").where("text <> old and not old rlike '(?i)token'").count() == 0
-
-
-# Pipeline
-
-
-def test_pipeline_stage_by_stage(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    packed = corpus_pipeline.run(spark, sf).toPandas()
-    prints = {r.doc_id: _fingerprint(r.text) for r in docs.collect()}
-    comp = _components(list(prints), list(prints.values()))
-    assert set(packed.doc_id) <= set(comp.values())
-    assert (packed.length == packed.ids.map(len) // 2).all()
-    assert packed.groupby("sequence_id").length.sum().iloc[:-1].eq(4096).all()
