@@ -26,7 +26,7 @@ class Conf:
     comma_as_period: bool = False
     paradox_words: tuple[str, ...] = ()
     word_overrides: tuple[tuple[str, str], ...] = ()
-    hard_consonant_rules: tuple[tuple[str, str], ...] = (("интерне", "интэрнэ"), ("темп", "тэмп"), ("тест", "тэст"), ("стенд", "стэнд"), ("модел", "модэл"), ("кафе", "кафэ"))
+    hard_consonant_rules: tuple[tuple[str, str], ...] = russian.HARD_CONSONANTS
     number_nouns: tuple[tuple[str, str, str], ...] = ()  #: noun form, gender, case
     replacements: tuple[tuple[str, str], ...] = ()
     models: dict[str, Callable] = field(default_factory=dict, compare=False)  #: step name to Column function; identity where there is none
@@ -55,7 +55,7 @@ REGISTRY: dict[str, Callable[[Column, Column, Conf], Column]] = {
     "ru_time": _only_russian(lambda t, c: russian.clock_times(t)),
     "ru_numbers": _only_russian(lambda t, c: russian.numbers(t, {n: (g, k) for n, g, k in c.number_nouns} or None)),
     "ru_roman_numerals": _only_russian(lambda t, c: russian.roman_numerals(t)),
-    "tts_hard_consonants": _only_russian(lambda t, c: russian.pattern_overrides(t, list(c.hard_consonant_rules), dict(c.word_overrides))),
+    "tts_hard_consonants": _only_russian(lambda t, c: russian.pattern_overrides(t, c.hard_consonant_rules, russian.HARD_WORDS | {k.lower(): v for k, v in c.word_overrides})),
     "tts_safe_split": _any(lambda t, c: splitting.safely_split(t, c.safe_max_chars, c.comma_as_period)),
     "tts_llm_safe_split": _model("tts_llm_safe_split"),
     "ru_proper_names": lambda t, lang, c: F.when(is_russian(lang), russian.paradox_overrides(_model("ru_proper_names")(t, lang, c), list(c.paradox_words))).otherwise(t),

@@ -62,7 +62,18 @@ SAFE_SPLIT = pairs(
 )
 COSY = pairs(("привет", "Привет"), ("я", "- Я"), ("a b", "- A b"), ("Да", "Да"), ("1 раз", "1 раз"))
 PARADOX = pairs(("большая часть", "бо́льшая часть"), ("Большая игра", "Бо́льшая игра"), ("замо́к стоит", "замок стоит"), ("БОЛЬШАЯ", "БО́ЛЬШАЯ"), ("ничего", "ничего"))
-HARD = pairs(("Тестовый темп", "Тэстовый тэмп"), ("ТЕСТ", "ТЭСТ"), ("в интернете", "в интэрнэте"), ("стол", "стол"))
+HARD = pairs(
+    ("доступ в интернет есть", "доступ в интэрнэт есть"), ("Интернете", "Интэрнэте"), ("ИНТЕРНЕТ", "ИНТЭРНЭТ"), ("зинтернет", "зинтэрнет"), ("Менеджер", "Мэнэджер"), ("суперменеджер", "суперменеджер"), ("менеджмент", "мэнэджмент"),
+    ("модем и модель", "модэм и модэль"), ("индекс", "индэкс"), ("шедевр", "шэдэвр"), ("тенденция", "тэндэнция"), ("тендерный", "тэндэрный"), ("мегатендер", "мегатендер"), ("стюардесса", "стюардэсса"), ("демпинг", "дэмпинг"), ("дедукция", "дэдукция"),
+    ("компьютер, принтер", "компьютэр, принтэр"), ("контент", "контэнт"), ("мегаконтент", "мегаконтент"), ("бактерия", "бактэрия"), ("альтернатива", "альтэрнатива"), ("антенна", "антэнна"), ("роутер", "роутэр"), ("бартер", "бартэр"),
+    ("синтез", "синтэз"), ("синтетика", "синтэтика"), ("протез", "протэз"), ("эстет", "эстэт"), ("интенсивный", "интэнсивный"), ("теннис", "тэннис"), ("тент", "тэнт"), ("экстент", "экстент"), ("Тестирование", "Тэстирование"), ("протест", "протест"),
+    ("тезис", "тэзис"), ("тембр", "тэмбр"), ("термос", "тэрмос"), ("термин", "термин"), ("бультерьер", "бультэрьер"), ("артерия", "артэрия"), ("критерий", "критэрий"), ("партер", "партэр"), ("пантера", "пантэра"), ("потенциал", "потэнциал"),
+    ("бижутерия", "бижутэрия"), ("бифштекс", "бифштэкс"), ("коктейль", "коктэйль"), ("свитер", "свитэр"), ("бизнес", "бизнэс"), ("кларнет", "кларнэт"), ("суперкларнет", "суперкларнет"), ("энергия", "энэргия"), ("майонезный", "майонэзный"),
+    ("панель", "панэль"), ("тоннель", "тоннэль"), ("туннель", "туннэль"), ("тунель", "тунэль"), ("портмоне", "портмонэ"), ("турне", "турнэ"), ("турнепс", "турнепс"), ("плеер", "плэер"), ("отелей", "отэлей"), ("ОТЕЛЬ", "ОТЭЛЬ"), ("мотель", "мотель"),
+    ("телефон", "телефон"), ("тема", "тема"), ("деревня", "деревня"), ("energy", "energy"), ("эссе у шоссе", "эссэ у шоссэ"), ("пюре", "пюрэ"), ("тире", "тирэ"), ("ДЕТЕКТИВ", "ДЭТЭКТИВ"), ("супердетектив", "супердетектив"), ("Несессер", "Нэсэссэр"),
+    ("резюме", "рэзюмэ"), ("резюмировать", "резюмировать"), ("Супермен", "Супермэн"), ("псевдосупермен", "псевдосупермен"), ("модное ателье мод", "модное атэлье мод"), ("диспансерный", "диспансэрный"), ("сервис", "сэрвис"), ("сервер", "сервер"),
+    ("регби", "рэгби"), ("кафедра и кафе", "кафедра и кафе"), ("Слово Кофе-брейк", "Слово Кофе-брэйк"),
+)
 STRESS = pairs(("з+амок", "за" + A + "мок"), ("a+b", "ab"), (f"за{A}мо{A}к", f"замо{A}к"), ("нет", "нет"))
 MARKS = pairs(("лет,[chunk_eof] вы", "лет,[chunk_eof]Вы"), ("a[chunk_eof] b[chunk_eof]  c", "a[chunk_eof]B[chunk_eof]C"), ("без", "без"))
 FORCED = pairs(("Конец.", "Конец[chunk_eof]"), ("Он сказал «да.»", "Он сказал «да»[chunk_eof]"), ("так?", "так?[chunk_eof]"), ("уже [chunk_eof]", "уже[chunk_eof]"), ("  ", ""))

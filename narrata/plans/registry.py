@@ -288,7 +288,7 @@ literal("numbers_ru", fx.NUMBERS, _step("ru_numbers"))
 literal("safe_split", fx.SAFE_SPLIT, _step("tts_safe_split", safe_max_chars=60))
 literal("cosy_voice", fx.COSY, _step("cosy_voice"))
 literal("paradox_words", fx.PARADOX, _step("ru_proper_names", paradox_words=("бо́льшая", "замок")))
-literal("hard_consonants", fx.HARD, _step("tts_hard_consonants"))
+literal("hard_consonants", fx.HARD, _step("tts_hard_consonants", word_overrides=(("кофе-брейк", "кофе-брэйк"),)))
 literal("plus_stress", fx.STRESS, lambda rows: clean.plus_to_stress(F.col("input")))
 literal("chunk_mark_tidy", fx.MARKS, lambda rows: clean.tidy_chunk_marks(F.col("input")))
 literal("chunk_mark_forced", fx.FORCED, lambda rows: clean.ensure_chunk_mark(F.col("input")))
