@@ -16,8 +16,11 @@ THRESHOLD = 0.70
 def similarities(rows: DataFrame, original: str = "original_text", transcription: str = "transcription") -> DataFrame:
     """Adds the comparison forms and both likenesses: of letters and of sounds."""
     rows = rows.withColumn("o_form", compare.comparison_form(F.col(original))).withColumn("t_form", compare.comparison_form(F.col(transcription)))
+    rows = rows.withColumn("_op", compare.phonetic_form(F.col("o_form"))).withColumn("_tp", compare.phonetic_form(F.col("t_form")))
     rows = rows.withColumn("similarity_orth", compare.similarity("o_form", "t_form"))
-    return rows.withColumn("similarity_phon", compare.similarity(compare.phonetic_form(F.col("o_form")), compare.phonetic_form(F.col("t_form"))))
+    same = (F.col("_op") == F.col("o_form")) & (F.col("_tp") == F.col("t_form"))  # no sound differs from its letters
+    heard = compare.similarity(F.when(~same, F.col("_op")), F.when(~same, F.col("_tp")))
+    return rows.withColumn("similarity_phon", F.when(same, F.col("similarity_orth")).otherwise(heard)).drop("_op", "_tp")
 
 
 def _blank(c: str) -> Column:

@@ -16,26 +16,9 @@ from narrata.functions import changes, clean, compare, russian, signal, splittin
 from narrata.operators import checks, lexicon, review, state, steps
 from narrata.operators import chunks as ch
 from narrata.plans import fixtures as fx
+from narrata.plans.base import ORACLES, QUERIES, literal, query, read
 from narrata.sources import books, mappings, runs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 # Chunking over documents -----------------------------------------------------------------------------------
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -212,9 +195,15 @@ def lexicon_join(spark, sf_dir):
     return found.groupBy("surface_form").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("n_entries"))
 
 
-@query()
+_HEARD = r"regexp_replace(text, '\s+\S+$', '')"
+_COMPARED = r"trim(regexp_replace(regexp_replace(strip_accents(lower(replace({}, '+', ''))), '[^\pL\pN_ ]|[0-9_]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+# a transcription that starts its text is one matching block
+@query(f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, r AS similarity_orth, r AS similarity_phon FROM (SELECT doc_id, pos, CASE WHEN o = t THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * length(t) / (length(o) + length(t)), 6) END AS r FROM
+(SELECT doc_id, pos, {_COMPARED.format('text')} AS o, {_COMPARED.format(_HEARD)} AS t FROM {_sentences('text', 3)}))""")
 def similarity_ratio(spark, sf_dir):
-    """Likeness of each document's first 40 sentences' forms with the last word dropped; held against the standard library in tests."""
+    """Likeness of each chunk to itself without its last word; other pairs are held against the standard library in tests."""
     rows = _chunks(spark, sf_dir).select("doc_id", "pos", F.col("text").alias("original_text"), F.regexp_replace("text", r"\s+\S+$", "").alias("transcription"))
     return checks.similarities(rows).select("doc_id", "pos", F.round("similarity_orth", 6).alias("similarity_orth"), F.round("similarity_phon", 6).alias("similarity_phon"))
 
@@ -265,16 +254,6 @@ def change_blocks(spark, sf_dir):
 # Literal pairs ---------------------------------------------------------------------------------------------
 
 
-def literal(name: str, fixture: fx.Fixture, step: Callable[[DataFrame], object], column: str = "output", drop=()) -> None:
-    """A query that runs a step over a fixture's inputs; its SQL is the expected output."""
-    def run(spark, sf_dir):
-        rows = fixture.df(spark).drop(column)
-        return rows.select("id", step(rows).alias(column))
-
-    run.__name__ = name
-    query(f"SELECT id, {column} FROM {fixture.sql()}")(run)
-
-
 def _step(name: str, **conf) -> Callable:
     return lambda rows: steps.chain(F.col("input"), name, F.lit("ru-RU"), steps.Conf(**conf))
 
