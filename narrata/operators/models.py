@@ -45,26 +45,26 @@ def apply_choices(chapters: DataFrame, items: DataFrame, selections: DataFrame,
     return chapters.join(spans, key, "left").withColumn(text, F.when(F.col("spans").isNotNull(), steps.splice(F.col(text), F.col("spans"))).otherwise(F.col(text))).drop("spans")
 
 
-def prompt_lines(items: DataFrame) -> DataFrame:
-    """(context, first_num, line): each context once, its candidates replaced by their numbered options. ``items`` has num, context, source_text, options."""
+def prompt_lines(items: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(by, context, first_num, line): each context once, its candidates replaced by their numbered options. ``items`` has num, context, source_text, options."""
     shown = F.filter("options", lambda o: o["option_id"] != "original")
     inline = F.concat(F.lit("("), F.array_join(F.transform(shown, lambda o, k: F.concat(F.col("num").cast("string"), F.lit("."), (k + 1).cast("string"), F.lit("."), o["text"])), "|"), F.lit(")"))
-    each = items.select("context", "num", "source_text", inline.alias("inline"))
-    grouped = each.groupBy("context").agg(F.min("num").alias("first_num"), F.array_sort(F.collect_list(F.struct("num", "source_text", "inline"))).alias("c"))
+    each = items.select(*by, "context", "num", "source_text", inline.alias("inline"))
+    grouped = each.groupBy(*by, "context").agg(F.min("num").alias("first_num"), F.array_sort(F.collect_list(F.struct("num", "source_text", "inline"))).alias("c"))
 
     def put(line: Column, x: Column) -> Column:
         at = F.instr(line, x["source_text"])
         replaced = F.concat(F.substring(line, F.lit(1), at - 1), x["inline"], F.substring(line, at + F.length(x["source_text"]), F.length(line)))
         return F.when(at > 0, replaced).otherwise(F.concat(line, F.lit(" ["), x["source_text"], F.lit("→"), x["inline"], F.lit("]")))
 
-    return grouped.select("context", "first_num", F.aggregate("c", F.col("context"), put).alias("line"))
+    return grouped.select(*by, "context", "first_num", F.aggregate("c", F.col("context"), put).alias("line"))
 
 
-def selections(answers: DataFrame, items: DataFrame) -> DataFrame:
-    """Answers (response) of ``N.K`` lines to (item_id, option_id); an option that isn't there means the original."""
-    picked = answers.select(F.explode(steps.parse_choices(F.col("response"))).alias("p")).select("p.item", "p.option").dropDuplicates(["item"])
+def selections(answers: DataFrame, items: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Answers (by, response) of ``N.K`` lines to (by, item_id, option_id, custom_text); an option that isn't there means the original."""
+    picked = answers.select(*by, F.explode(steps.parse_choices(F.col("response"))).alias("p")).select(*by, F.col("p.item").alias("num"), "p.option").dropDuplicates([*by, "num"])
     shown = F.transform(F.filter("options", lambda o: o["option_id"] != "original"), lambda o: o["option_id"])
-    return items.join(picked, F.col("num") == F.col("item")).select("item_id", F.coalesce(F.when(F.col("option") > 0, F.get(shown, F.col("option") - 1)), F.lit("original")).alias("option_id"), F.lit(None).cast("string").alias("custom_text"))
+    return items.join(picked, [*by, "num"]).select(*by, "item_id", F.coalesce(F.when(F.col("option") > 0, F.get(shown, F.col("option") - 1)), F.lit("original")).alias("option_id"), F.lit(None).cast("string").alias("custom_text"))
 
 
 def long_sentences(chapters: DataFrame, most: int = 180, key: str = "chapter_key", text: str = "text") -> DataFrame:

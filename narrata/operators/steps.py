@@ -105,8 +105,10 @@ def chain(text: Column, names: str | list[str], lang: Column | None = None, conf
 
 
 def signature(name: str, conf: Conf, version: int = 1) -> str:
-    """A digest of the step, its version and all parameters."""
-    values = {k: sorted(v) if k == "models" else v for k, v in ((k, getattr(conf, k)) for k in asdict(Conf()) )}
+    """A digest of the step, its version and all parameters. A model counts by its name and its ``signature``, if it has one: whoever changes
+    a model behind one name says so there."""
+    told = lambda f: f"{getattr(f, '__module__', '')}.{getattr(f, '__qualname__', type(f).__qualname__)}:{getattr(f, 'signature', '')}"
+    values = {k: {n: told(f) for n, f in sorted(v.items())} if k == "models" else v for k, v in ((k, getattr(conf, k)) for k in asdict(Conf()))}
     return sha256(json.dumps({"step": name, "version": version, "conf": values}, sort_keys=True, default=str).encode()).hexdigest()
 
 

@@ -614,3 +614,5 @@ def backend_payload(spark, sf_dir):
     row = spark.createDataFrame([("ru-RU", '{"voice": "v2", "x": null}', '{"a": [{"k": "b"}]}', '{"A": "x", "B": "y"}')], "locale string, extra string, doc string, speakers string")
     fields = {"model": F.lit("m"), "voice": F.lit("v1"), "speed": F.lit(1.0), "instructions": F.lit(None)}
     return row.select(backends.language_name(F.lit(""), F.col("locale")).alias("language"), backends.payload(fields, "speed", F.col("extra")).alias("payload"), backends.json_path(F.col("doc"), "a.0.k").alias("found"), F.size(backends.speaker_map(F.col("speakers"))).alias("speakers"))
+
+from narrata.plans import asking as _asking  # noqa: E402, F401  registers its queries
