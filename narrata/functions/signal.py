@@ -6,6 +6,7 @@ The merge of a chapter is a grouped map in the order of its chunks; between chun
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -282,3 +283,29 @@ def window_stats(samples: Column, rate: int, window_ms: int = 20, hop_ms: int =
         return s.map(one, na_action="ignore")
 
     return run(samples)
+
+
+def cleaned(samples: Column, rate: int, step: Callable[[np.ndarray, int], np.ndarray], channels: int = 1) -> Column:
+    """A cleaning step on a column of samples (array<int>, channels interleaved)."""
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: step(np.asarray(x, np.int16).reshape(-1, channels), rate).ravel().astype(int).tolist(), na_action="ignore")
+
+    return run(samples)
+
+
+def measured(samples: Column, rate: int, frames: Callable[[np.ndarray, int], int], channels: int = 1) -> Column:
+    """What a function of a signal counts, as a column."""
+    @F.pandas_udf("int")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: frames(np.asarray(x, np.int16).reshape(-1, channels), rate), na_action="ignore")
+
+    return run(samples)
+
+
+def levels(samples: Column) -> Column:
+    """struct<n, mean, rms, peak> of a signal, as an expression."""
+    total = lambda f: F.aggregate(F.transform(samples, f), F.lit(0.0), lambda a, x: a + x)
+    n = F.size(samples)
+    whole = F.nullif(n, F.lit(0)).cast("double")
+    return F.struct(n.cast("long").alias("n"), (total(lambda x: x.cast("double")) / whole).alias("mean"), F.sqrt(total(lambda x: x.cast("double") * x) / whole).alias("rms"), F.array_max(F.transform(samples, lambda x: F.abs(x))).alias("peak"))
