@@ -57,3 +57,19 @@ def snapshot(conf: dict[str, Any], path: str | Path, section: str = "run") -> No
     parser[section] = {k: str(v) for k, v in sorted(conf.items()) if v is not None and v is not False}
     with open(path, "w", encoding="utf-8") as f:
         parser.write(f)
+
+
+def point_to_book(output: str | Path, book: str | Path) -> None:
+    """Remember, in the output folder, the book that it was made from."""
+    folder = Path(output) / "_state"
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / "book_source.txt").write_text(str(Path(book).resolve()), encoding="utf-8")
+
+
+def source_book(output: str | Path) -> Path | None:
+    """The remembered book; None where none is."""
+    try:
+        text = (Path(output) / "_state" / "book_source.txt").read_text(encoding="utf-8").strip()
+    except FileNotFoundError:
+        return None
+    return Path(text) if text else None

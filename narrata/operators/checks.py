@@ -114,3 +114,10 @@ def recalculate(cache: DataFrame) -> DataFrame:
 
 def action_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+def check_counts(rows: DataFrame) -> DataFrame:
+    """(checked, disputed, skipped) of rows (action, has_audio, text, error, disputed); one row. Skipped are resolved fresh ones, those without audio or text, and
+    those whose transcription failed."""
+    skipped = (F.col("action") == "skip") | ~F.col("has_audio") | _blank("text") | F.col("error").isNotNull()
+    return rows.agg(F.count_if(~skipped).alias("checked"), F.count_if(~skipped & F.col("disputed")).alias("disputed"), F.count_if(skipped).alias("skipped"))

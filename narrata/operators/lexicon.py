@@ -87,3 +87,10 @@ def proper_name(word: Column, before: Column, stop_words: list[str] = ()) -> Col
 def build_needed(wanted: DataFrame, state: DataFrame) -> DataFrame:
     """Sources (source, content_hash) that the state table doesn't hold in this version."""
     return wanted.join(state.where("built"), ["source", "content_hash"], "left_anti")
+
+
+def lemmas(words: DataFrame, parses: DataFrame, most: int = 4, word: str = "word") -> DataFrame:
+    """Words with the distinct lemmas of their ``most`` likeliest parses (surface_form, place, lemma), likeliest first."""
+    ranked = parses.withColumn("_n", F.row_number().over(W.partitionBy("surface_form").orderBy("place"))).where(F.col("_n") <= most)
+    found = ranked.groupBy("surface_form").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_n", "lemma"))), lambda x: x["lemma"])).alias("lemmas"))
+    return words.join(found, F.lower(F.col(word)) == F.col("surface_form"), "left").drop("surface_form")

@@ -103,13 +103,15 @@ def predecessors(versions: DataFrame) -> DataFrame:
 
 def version_chain(spark: SparkSession, versions: DataFrame, most: int = 100) -> DataFrame:
     """(start_hash, sentence_hash, depth): every text with all its successors. A cycle ends at ``most`` steps."""
-    versions.createOrReplaceTempView("narrata_versions")
-    return spark.sql(f"""
+    return spark.sql(
+        f"""
         WITH RECURSIVE chain MAX RECURSION LEVEL {most + 1} AS (
-          SELECT sentence_hash AS start_hash, sentence_hash, replaced_by_hash, 0 AS depth FROM narrata_versions
+          SELECT sentence_hash AS start_hash, sentence_hash, replaced_by_hash, 0 AS depth FROM {{versions}}
           UNION ALL
-          SELECT c.start_hash, v.sentence_hash, v.replaced_by_hash, c.depth + 1 FROM chain c JOIN narrata_versions v ON v.sentence_hash = c.replaced_by_hash WHERE c.depth < {most - 1})
-        SELECT start_hash, sentence_hash, depth FROM chain""")
+          SELECT c.start_hash, v.sentence_hash, v.replaced_by_hash, c.depth + 1 FROM chain c JOIN {{versions}} v ON v.sentence_hash = c.replaced_by_hash WHERE c.depth < {most - 1})
+        SELECT start_hash, sentence_hash, depth FROM chain""",
+        versions=versions,
+    )
 
 
 def retry_counts(deletions: DataFrame) -> DataFrame:

@@ -616,4 +616,5 @@ def backend_payload(spark, sf_dir):
     return row.select(backends.language_name(F.lit(""), F.col("locale")).alias("language"), backends.payload(fields, "speed", F.col("extra")).alias("payload"), backends.json_path(F.col("doc"), "a.0.k").alias("found"), F.size(backends.speaker_map(F.col("speakers"))).alias("speakers"))
 
 from narrata.plans import asking as _asking  # noqa: E402, F401  these register their queries
+from narrata.plans import more as _more  # noqa: E402, F401
 from narrata.plans import sound as _sound  # noqa: E402, F401

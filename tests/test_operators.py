@@ -84,7 +84,7 @@ def test_chunks_share_a_hash_whatever_the_voice(spark):
 
 def test_followed_folder_is_synthesized_once(spark, tmp_path):
     source, schema = str(tmp_path / "in"), "chapter_key string, text string"
-    done = state.Table(spark, str(tmp_path / "done"), "chapter_key string, sentence_hash string, status string")
+    done = worker.Log(spark, str(tmp_path / "done"))
     seen = []
 
     def synthesize(df):
@@ -98,6 +98,16 @@ def test_followed_folder_is_synthesized_once(spark, tmp_path):
     step([("c1", "One here. Two here.")])
     step([("c1", "Two here. Three here.")])
     assert seen == [2, 1] and done.read().count() == 3
+    done.append(1, spark.createDataFrame([("c1", "x", "success")], worker.DONE))  # the batch runs again
+    assert done.read().count() == 3 and done.read(but=1).count() == 2
+    done.compact()
+    assert done.read().count() == 3 and os.listdir(tmp_path / "done") == ["batch=-1"]
+
+
+def test_chains_of_two_tables_do_not_meet(spark):
+    rows = lambda *v: spark.createDataFrame([(a, a, b, None) for a, b in v], state.VERSIONS)
+    one, two = state.version_chain(spark, rows(("a", "b"), ("b", None))), state.version_chain(spark, rows(("x", None)))
+    assert one.count() == 3 and two.count() == 1
 
 
 def test_retry_loop(spark):
