@@ -9,7 +9,7 @@ sets of shingles have a Jaccard similarity of ``least`` or more: bits of two suc
 ``acos(2 * least / (1 + least)) / pi`` (15 % at 0.8), too many for one trie of 64 bits, so the fingerprint is wider. It is cut into blocks, the trie is
 entered at the nodes of every block (difference 0) and walked on through the 64 bits after it, and every pair that it gives is verified on the whole
 sets. ``plan`` derives the blocks from the wanted recall: a pair exactly at ``least`` is a candidate with a probability of ``recall``,
-a more similar one with more. A block is as wide as keeps its units small however many texts there are, but at least 16 bits.
+a more similar one with more. The budget goes on over the whole fingerprint before anything is verified, so that families of texts that are alike, but less than ``least``, don't end in all their pairs. A block is as wide as keeps its units small however many texts there are, but at least 16 bits.
 
 How it is spread out. Two 64-bit fingerprints that differ in at most ``k`` bits agree on at least one of ``k + 1`` blocks, so that trie
 is entered at the nodes of each of ``k + 1`` blocks too. Each entered node is a unit of work. A unit of more than ``leaf_rows`` rows is opened level by level
@@ -17,8 +17,8 @@ with DataFrame joins of child nodes, under the same budget, until every unit is
 task walks a few units at a time, merges what it has linked as it goes, and drops pairs of subtrees that are in one component already, so that
 groups of copies give a forest, not all pairs.
 
-Links of ``similar_groups`` are verified ones, which a forest of candidates could miss. So a first pass verifies a forest (large units only
-in parts, each part's rows with the row most like all of them), and a second pass walks all pairs across the components of the first.
+Links of ``similar_groups`` are verified ones, which a forest of candidates could miss. So a first pass verifies a forest over a few blocks (large units only
+in parts, each part's rows with the row most like all of them), which joins groups of copies, and a second pass walks all pairs of all blocks across the components of the first.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked
 like any other by ``near_duplicate_groups``, and only with other texts without words by ``similar_groups``; equal texts share a component; rows repeated under one id give as many equal rows; a
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ SEED = 42
 SHINGLE = 3
 _COUNTED = 240  #: shingles whose bits are counted at a time, in bytes
 _GROUP = 1 << 15  #: rows of units that are walked at a time
+_COMPARED = 1 << 15  #: pairs of whole fingerprints that are compared at a time
 _U = np.uint64
 
 
@@ -252,9 +254,10 @@ def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _linked(ready: DataFrame, budget: int, least: float = 0.0, forest: bool = True) -> DataFrame:
-    """(a, b) of rows (u, side, value[, node, comp, n]): links within the budget, all of them or a forest of each task's units; between
-    different components, where there are, and of sizes that allow a similarity of ``least``."""
+def _linked(ready: DataFrame, budget: int, least: float = 0.0, emit: str = "forest", whole_budget: int = 0) -> DataFrame:
+    """Links within the budget of rows (u, side, value[, node, comp, n, fp]) between different components, where there are, and of sizes that
+    allow a similarity of ``least``. ``emit``: "forest" gives (a, b) of a forest of each task's units, "pairs" all whose whole fingerprints (fp) differ in ``whole_budget`` bits at most,
+    and "rows" the rows (u, side, value, node) that have a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_units(batches):
@@ -268,49 +271,62 @@ def _linked(ready: DataFrame, budget: int, least: float = 0.0, forest: bool = Tr
             unit, side, value = unit[keep], side[keep], value[keep].view(_U)
             order = np.lexsort((value, side, unit))
             keep, unit, side, value = keep[order], unit[order], side[order], value[order]
-            node = column("node")
-            node = value.view(np.int64) if node is None else node[keep]
-            comp, n = column("comp"), column("n")
-            comp = None if comp is None else comp[keep]
-            n = None if n is None else n[keep]
+            node, comp, n = (None if (x := column(name)) is None else x[keep] for name in ("node", "comp", "n"))
+            node = value.view(np.int64) if node is None else node
+            whole = np.frombuffer(b"".join(t.column("fp").take(pa.array(keep)).to_pylist()), _U).reshape(len(keep), -1) if emit == "pairs" else None
 
-            def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            def fitting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 ok = node[a] != node[b]  # noqa: B023
                 if comp is not None:  # noqa: B023
                     ok &= comp[a] != comp[b]  # noqa: B023
                 if n is not None:  # noqa: B023
                     ok &= np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9  # noqa: B023
-                if ok.any():
-                    x, y = node[a[ok]], node[b[ok]]  # noqa: B023
+                a, b = a[ok], b[ok]
+                if whole is not None and len(a):  # noqa: B023
+                    near = [np.bitwise_count(whole[a[i : i + _COMPARED]] ^ whole[b[i : i + _COMPARED]]).sum(1, dtype=np.int32) <= whole_budget for i in range(0, len(a), _COMPARED)]  # noqa: B023
+                    near = np.concatenate(near)
+                    a, b = a[near], b[near]
+                return a, b
+
+            def pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+                if len(a):
+                    x, y = node[a], node[b]  # noqa: B023
                     both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-            if not forest:
-                for a, b in trie_pairs(unit, side, value, budget, comp):
-                    yield from out(a, b)
+            if emit == "forest":
+                tree = _Forest(len(value))
+                a, b = _near_rows(unit, side, value, budget)
+                yield from pairs(*fitting(a, b))
+                tree.add(a, b)
+                for a, b in trie_pairs(unit, side, value, budget, tree.roots().copy()):
+                    new_ = tree.add(a, b)
+                    yield from pairs(*fitting(a[new_], b[new_]))
                 continue
-            tree = _Forest(len(value))
-            a, b = _near_rows(unit, side, value, budget)
-            yield from out(a, b)
-            tree.add(a, b)
-            for a, b in trie_pairs(unit, side, value, budget, tree.roots().copy()):
-                new_ = tree.add(a, b)
-                yield from out(a[new_], b[new_])
+            seen = np.zeros(len(value), bool)
+            for a, b in trie_pairs(unit, side, value, budget, comp):
+                a, b = fitting(a, b)
+                if emit == "pairs":
+                    yield from pairs(a, b)
+                else:
+                    seen[a] = seen[b] = True
+            if seen.any():
+                yield pa.RecordBatch.from_arrays([pa.array(unit[seen]), pa.array(side[seen]), pa.array(value[seen].view(np.int64)), pa.array(node[seen])], ["u", "side", "value", "node"])
 
-    return ready.repartition("u").sortWithinPartitions("u").mapInArrow(run, "a long, b long")
+    return ready.repartition("u").sortWithinPartitions("u").mapInArrow(run, "u long, side int, value long, node long" if emit == "rows" else "a long, b long")
 
 
 def _open_units(rows: DataFrame, budget: int, leaf_rows: int, step: int, label: str) -> DataFrame:
     """Rows (u, side, diff, pos, rot, ...) with every unit of more than ``leaf_rows`` rows opened into small ones."""
     keep = [c for c in rows.columns if c not in ("diff", "pos", "rot")]
-    counts = rows.groupBy("u").agg(F.count(F.lit(1)).alias("m"), *([F.min("comp").alias("lo"), F.max("comp").alias("hi")] if "comp" in rows.columns else []))
-    if "comp" in rows.columns:  # a unit of one component has no link to give
-        counts = materialize(counts.where("lo <> hi").select("u", "m"), f"{label}-units")
-        rows = rows.join(counts.select("u"), "u", "left_semi")
-    busy = materialize(counts.where(F.col("m") > leaf_rows).select("u"), f"{label}-hot-units")
+    parts = [F.min("comp").alias("lo"), F.max("comp").alias("hi")] if "comp" in rows.columns else [F.lit(0).alias("lo"), F.lit(1).alias("hi")]
+    counts = rows.groupBy("u").agg(F.count(F.lit(1)).alias("m"), *parts).where(F.col("m") > leaf_rows)
+    counts = materialize(counts.select("u", (F.col("lo") < F.col("hi")).alias("open")), f"{label}-hot-units")
+    busy = counts.where("open").select("u")  # a unit of one component has no link to give
     ready = rows.select(*keep)
+    if not counts.isEmpty():
+        ready = rows.join(counts, "u", "left_anti").select(*keep)
     if not busy.isEmpty():
-        ready = rows.join(busy, "u", "left_anti").select(*keep)
         hot = materialize(rows.join(busy, "u", "left_semi"), f"{label}-hot")
         for level in range(BITS):
             opened = materialize(_descend(hot, budget, step), f"{label}-hot-{level}")
@@ -419,6 +435,12 @@ def plan(texts: int, least: float = 0.8, recall: float = 0.999, narrowest: int =
     return width, math.ceil(math.log1p(-recall) / math.log1p(-one)), budget
 
 
+def whole_budget(bits: int, least: float = 0.8, recall: float = 0.995) -> int:
+    """The differing bits of whole fingerprints within which a pair at ``least`` stays with probability ``recall`` (normal approximation)."""
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    return math.ceil(bits * p + NormalDist().inv_cdf(recall) * math.sqrt(bits * p * (1 - p)))
+
+
 def node_of(text) -> F.Column:
     """XXH64 of a text's words as ``words`` finds them, as a signed long; texts of the same words are one node."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -493,25 +515,31 @@ def _sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(run, "node long, grams binary")
 
 
-def similar_links(texts: DataFrame, nodes: DataFrame, least: float, shingle: int, blocks: tuple[int, int, int], wide: int, leaf_rows: int = 8192) -> DataFrame:
+def similar_links(texts: DataFrame, nodes: DataFrame, least: float, shingle: int, blocks: tuple[int, int, int], wide: int, leaf_rows: int = 8192, first_blocks: int = 4) -> DataFrame:
     """(node, root) of all nodes (node, n, fp) that have a verified link; ``texts`` are (node, text)."""
     width, count, budget = blocks
-    rows = _entries(nodes, width, count, wide)
-    # a forest is enough here, so a large unit is dealt in parts
+    # a forest over the first blocks joins groups of copies; it need not be whole, so a large unit is dealt in parts
+    rows = _entries(nodes, width, min(count, first_blocks), wide)
     large = materialize(rows.groupBy("u").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > leaf_rows).select("u", F.ceil(F.col("m") / leaf_rows).alias("parts")), "large-units")
     if not large.isEmpty():
         split = rows.join(large, "u", "left").withColumn("u", F.expr("if(parts is null, u, xxhash64(u, pmod(xxhash64(node, u), parts)))"))
         rows = split.select("u", "value", "node", "n")
     first = materialize(_linked(rows.withColumn("side", F.lit(0)), budget, least).distinct(), "candidates")
-    alive = materialize(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "alive")
-    sets = materialize(_sets(texts, alive, shingle), "shingles")
+    known = materialize(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "known")
+    sets = materialize(_sets(texts, known, shingle), "shingles")
     edges = materialize(_verified(first, sets, least), "links")
     roots = components(edges)
-    # all pairs across components: whatever has a candidate in a unit is alive
-    labelled = nodes.join(alive, "node").join(roots, "node", "left").select("node", "n", "fp", F.coalesce("root", "node").alias("comp"))
+    # then all pairs of all blocks across the components
+    labelled = nodes.join(roots, "node", "left").select("node", "n", "fp", F.coalesce("root", "node").alias("comp"))
+    labelled = materialize(labelled, "labelled")
     rows = _entries(labelled, width, count, wide).select("u", F.lit(0).alias("side"), F.lit(0).alias("diff"), F.lit(0).alias("pos"), F.col("value").alias("rot"), "value", "node", "n", "comp")
-    rest = _linked(_open_units(rows, budget, leaf_rows, 4, "across"), budget, least, forest=False).distinct()
-    more = materialize(_verified(rest.join(first, ["a", "b"], "left_anti"), sets, least), "links")
+    # only rows that have a link in their unit take the whole fingerprint along, and only pairs that are near in all of it go on
+    linked = materialize(_linked(_open_units(rows, budget, leaf_rows, 4, "across"), budget, least, "rows"), "linked-rows")
+    wanted = linked.join(labelled, "node").select("u", "side", "value", "node", "n", "comp", "fp")
+    across = materialize(_linked(wanted, budget, least, "pairs", whole_budget(wide * BITS, least)).distinct(), "across")
+    rest = across.join(first, ["a", "b"], "left_anti")
+    new = across.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti")
+    more = materialize(_verified(rest, sets.unionByName(materialize(_sets(texts, new, shingle), "shingles")), least), "links")
     return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
