@@ -75,12 +75,13 @@ def grammeme_labels(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("surface_form", "spoken_form").agg(F.array_distinct(F.filter(F.transform(ordered, lambda x: x["label"]), lambda x: x != "")).alias("labels"))
 
 
-def proper_name(word: Column, before: Column, stop_words: list[str] = ()) -> Column:
+def proper_name(word: Column, before: Column, stop_words: list[str] = (), quotes_start: bool = True) -> Column:
     """Whether a capitalised word is a name, from what stands before it: not stressed, two letters or more, not all capitals, no stop
-    word; after initials always, at the start of a sentence never."""
+    word; after initials always, at the start of a sentence never. A sentence starts after its mark and white space and, where ``quotes_start``, opening quotes and brackets
+    (then also after an ellipsis sign)."""
     shaped = F.regexp_like(word, F.lit(r"^\p{Lu}\p{L}*\p{Ll}[\p{L}\-]*$")) & ~stressed_already(word) & ~F.lower(word).isin(list(stop_words) or [""])
     initials = F.regexp_like(before, F.lit(r"(?:^|[^\p{L}])\p{Lu}\.\s*$"))
-    starts = F.regexp_like(before, F.lit(r"(?:^|[.!?…])[\s«“„\"'(\[]*$"))
+    starts = F.regexp_like(before, F.lit(r"(?:^|[.!?…])[\s«“„\"'(\[]*$" if quotes_start else r"(?:^|[.!?])\s*$"))
     return shaped & (initials | ~starts)
 
 

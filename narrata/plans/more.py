@@ -76,6 +76,11 @@ literal(
     )),
     lambda rows: lexicon.proper_name(F.col("word"), F.col("before"), ["но"]),
 )
+literal(
+    "proper_name_plain_start",
+    fx.Fixture("id int, word string, before string, output boolean", ((1, "Анна", "«", True), (2, "Анна", "Да… ", True), (3, "Анна", "Да. ", False), (4, "Анна", "Да.«", True), (5, "Анна", "", False))),
+    lambda rows: lexicon.proper_name(F.col("word"), F.col("before"), [], quotes_start=False),
+)
 literal("break_strings", fx.Fixture("id int, input string, output string", tuple((i, b, s) for i, (b, s) in enumerate(sorted(clean.BREAKS.items()), 1))), lambda rows: clean.break_string_of(F.col("input")))
 literal("share_paths", fx.pairs(("smb://nas/books/a b.epub", "/mnt/books/a b.epub"), ("SMB://x/y", "/mnt/y")), lambda rows: clean.smb_path(F.col("input"), "/mnt/"))
 literal("stress_positions", fx.Fixture("id int, input string, output string", ((1, "замок", f"за{A}мок"), (2, "мука", f"му{A}ка"), (3, "он", f"о{A}н"))), lambda rows: russian.stress_at(F.col("input"), F.when(F.col("id") == 3, F.array(F.lit(0))).otherwise(F.array(F.lit(1)))))
