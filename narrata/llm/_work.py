@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives a lost
-    executor, and gives the planner real sizes. The table goes when the session ends."""
+    executor, and gives the planner real sizes. The table goes when the session ends, or with ``release``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/narrata/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -42,6 +42,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this session has written so far. Whoever keeps a session for many runs calls it between them; results that
+    have not been written or collected by then are lost."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/narrata/{spark.sparkContext.applicationId}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

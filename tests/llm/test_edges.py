@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from narrata.llm import cotraining, html_text, langid, mixing, packing, pii, rules, secrets, simhash, sketches
+from narrata.llm import _work, cotraining, html_text, langid, mixing, packing, pii, rules, secrets, simhash, sketches
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "the long text goes on and on " * 4000
+#: One token of 300,000 characters, then 400,000 letters of short words on one line.
+WIDE = "x1" * 150_000 + " " + "ab cd " * 100_000
 ROWS = [
     (1, "a short text of some words", "en", "s", 26),
     (1, "a short text of some words", "en", "s", 26),
@@ -86,6 +88,25 @@ def test_stages(spark, sf, odd, empty, name, stage):
     assert stage(spark, empty, sf).collect() == []
 
 
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="did not settle in 2 rounds"):
+        simhash.components(chain, most_rounds=2)
+    assert {r.root for r in simhash.components(chain).collect()} == {0}
+
+
+def test_a_shared_folder_must_be_named_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        _work.shared_dir(Session)
+
+
 def test_defined_results(spark, odd):
     comp = {(r.id, r.fp): r.component_id for r in simhash.near_duplicate_groups(odd).collect()}
     assert comp[2, 0] == comp[3, 0] == comp[4, 0] == 2
@@ -97,3 +118,12 @@ def test_defined_results(spark, odd):
     assert all(r.copies == 0 for r in taken if r.source_size == 0)
     again = mixing.mixed(odd)
     assert again.count() == sum(r.copies for r in taken)
+
+
+def test_release_takes_the_written_tables_away(spark):
+    kept = _work.materialize(spark.range(3), "some")
+    assert kept.count() == 3
+    _work.release(spark)
+    with pytest.raises(Exception, match=r"(?i)path|file"):
+        spark.read.parquet(*kept.inputFiles()).count()
+    assert _work.materialize(spark.range(2), "again").count() == 2
