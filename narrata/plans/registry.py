@@ -226,7 +226,17 @@ def checker_first_last_word(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(full & ~compare.starts_with_word(word(1), F.col("t_form"))).alias("n_first"), F.count_if(full & ~compare.ends_with_word(word(-1), F.col("t_form"))).alias("n_last"))
 
 
-@query()
+_UNSPACED = _STRIP.format("left(rest, edge)")
+_EDGE = "coalesce(" + ", ".join(f"CASE WHEN contains(left(rest, 400), '{c}') THEN 400 - length(split_part(left(rest, 400), '{c}', -1)) END" for c in splitting.CUTS) + ", 400)"
+_WHOLE = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: length(x) >= 1)"
+
+
+# sentences, the pieces of those over 400 characters, and the fold that joins what fits ("J" may join what is before it, "B" may not)
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, unnest(range(0, len(p))) AS i, unnest(p) AS t FROM (SELECT doc_id, {_WHOLE} AS p FROM documents)),
+c AS (SELECT doc_id, i, 0 AS k, '' AS piece, t AS rest FROM s WHERE length(t) > 400 UNION ALL SELECT doc_id, i, k + 1, {_UNSPACED}, substr(rest, edge + 1) FROM (SELECT *, {_EDGE} AS edge FROM c WHERE length(rest) > 400)),
+tokens AS (SELECT doc_id, i, 0 AS k, 'J' || t AS x FROM s WHERE length(t) <= 400 UNION ALL SELECT doc_id, i, k, 'B' || piece FROM c WHERE k > 0 UNION ALL SELECT doc_id, i, k + 1, 'B' || rest FROM c WHERE length(rest) BETWEEN 1 AND 400),
+units AS (SELECT doc_id, list_filter(list_transform(string_split(list_reduce(list(x ORDER BY i, k), lambda acc, x: CASE WHEN starts_with(x, 'J') AND length(split_part(acc, chr(2), -1)) + length(x) <= 400 + CASE WHEN contains(acc, chr(2)) THEN 0 ELSE 1 END THEN acc || ' ' || substr(x, 2) ELSE acc || chr(2) || substr(x, 2) END), chr(2)), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS u FROM tokens GROUP BY doc_id)
+SELECT doc_id, CAST(unnest(range(0, len(u))) AS INTEGER) AS pos, CASE WHEN unnest(range(0, len(u))) = 0 THEN substr(unnest(u), 2) ELSE unnest(u) END AS text FROM units""")
 def split_text_size(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(splitting.sized_chunks(F.col("text"), 400)).alias("pos", "text"))
 
@@ -236,7 +246,10 @@ def safe_split_documents(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", splitting.safely_split(F.col("text"), 180).alias("text"))
 
 
-@query()
+_SAID = f"list_filter(list_transform(string_split(regexp_replace(CASE WHEN role = 'user' THEN '«' || replace(replace(text, '«', ''), '»', '') || '».' ELSE text END, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: length(x) >= 3)"
+
+
+@query(f"SELECT conv_id, turn, role, CAST(unnest(range(0, len(s))) AS INTEGER) AS pos, unnest(s) AS text, CASE WHEN role = 'user' THEN 'second' END AS voice FROM (SELECT conv_id, turn, role, {_SAID} AS s FROM conversations)")
 def voiced_split(spark, sf_dir):
     """Turns of conversations; what users say is quoted and so has the second voice."""
     quoted = F.when(F.col("role") == "user", F.concat(F.lit("«"), F.replace(F.replace("text", F.lit("«"), F.lit("")), F.lit("»"), F.lit("")), F.lit("»."))).otherwise(F.col("text"))
