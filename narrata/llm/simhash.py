@@ -43,7 +43,7 @@ BITS = 64
 SEED = 42
 SHINGLE = 3
 _COUNTED = 240  #: shingles whose bits are counted at a time, in bytes
-_GROUP = 1 << 15  #: rows of units that are walked at a time
+_GROUP = 1 << 14  #: rows of units that are walked at a time
 _COMPARED = 1 << 15  #: pairs of whole fingerprints that are compared at a time
 _U = np.uint64
 
@@ -113,9 +113,9 @@ def _products(pairs: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.nda
         yield a[keep], b[keep]
 
 
-def trie_pairs(unit: np.ndarray, side: np.ndarray, value: np.ndarray, budget: int, comp: np.ndarray | None = None, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(unit: np.ndarray, side: np.ndarray, value: np.ndarray, budget: int, comp: np.ndarray | None = None, most: int = 1 << 17, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the budget in the same unit. ``side`` is 0 where a unit joins with itself, else 1 and 2; pairs of
-    subtrees that are in one component (``comp``) are dropped.
+    subtrees that are in one component (``comp``) are dropped, and pairs of which ``skip`` holds all (the caller may fill it on the way).
 
     The trie over (unit, side, value) is a sorted array, a node is a range of it; a pair of leaves is compared at once. ``most`` bounds
     the node pairs that are held; more are walked in parts.
@@ -142,6 +142,10 @@ def trie_pairs(unit: np.ndarray, side: np.ndarray, value: np.ndarray, budget: in
             alo, ahi, blo, bhi = pairs
             open_ = ~((comp[alo] == comp[blo]) & (same_to[alo] >= ahi) & (same_to[blo] >= bhi))
             pairs, diff = pairs[:, open_], diff[open_]
+        if skip is not None and pairs.shape[1]:
+            count = np.r_[0, np.cumsum(~skip[order])]
+            open_ = (count[pairs[1]] > count[pairs[0]]) | (count[pairs[3]] > count[pairs[2]])
+            pairs, diff = pairs[:, open_], diff[open_]
         if not pairs.shape[1]:
             continue
         if pairs.shape[1] > most:
@@ -304,7 +308,7 @@ def _linked(ready: DataFrame, budget: int, least: float = 0.0, emit: str = "fore
                     yield from pairs(*fitting(a[new_], b[new_]))
                 continue
             seen = np.zeros(len(value), bool)
-            for a, b in trie_pairs(unit, side, value, budget, comp):
+            for a, b in trie_pairs(unit, side, value, budget, comp, skip=seen if emit == "rows" else None):
                 a, b = fitting(a, b)
                 if emit == "pairs":
                     yield from pairs(a, b)

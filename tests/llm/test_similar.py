@@ -93,3 +93,15 @@ def test_stage_on_the_tables(spark, sf):
     want = _want([r.text for r in rows])
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows), sf)
     assert {r.doc_id for r in kept.collect()} == {rows[k].doc_id for k in set(want.values())}
+
+
+def test_rows_that_are_seen_end_the_walk_and_none_is_missed():
+    r = np.random.default_rng(5)
+    v = np.concatenate([(1 << 40) ^ np.packbits((r.random((600, 64)) < 0.12).astype(np.uint8), axis=1).view("<u8")[:, 0], r.integers(0, 1 << 63, 600, np.uint64)])
+    unit, side = np.zeros(len(v), np.int64), np.zeros(len(v), np.int32)
+    every = {int(i) for a, b in simhash.trie_pairs(unit, side, v, 12, most=500) for i in np.r_[a, b]}
+    seen, walked = np.zeros(len(v), bool), 0
+    for a, b in simhash.trie_pairs(unit, side, v, 12, most=500, skip=seen):
+        walked += len(a)
+        seen[a] = seen[b] = True
+    assert set(np.flatnonzero(seen).tolist()) == every and 0 < walked < sum(len(a) for a, b in simhash.trie_pairs(unit, side, v, 12, most=500))
