@@ -142,6 +142,11 @@ def voiced_chunks(text: Column, voice: str | None) -> Column:
     return run(text)
 
 
+def display_chunks(text: Column) -> Column:
+    """The sentences that a reader is shown: those of a text with a second voice, whether there is one or not."""
+    return F.transform(voiced_chunks(text, "shown"), lambda c: c["text"])
+
+
 def plain_chunks(text: Column) -> Column:
     """The same without a second voice, as an expression: parts of three characters or more, stray closers rejoined."""
     parts = sentences(text)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
+import tempfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,3 +125,41 @@ def check_counts(rows: DataFrame) -> DataFrame:
     those whose transcription failed."""
     skipped = (F.col("action") == "skip") | ~F.col("has_audio") | _blank("text") | F.col("error").isNotNull()
     return rows.agg(F.count_if(~skipped).alias("checked"), F.count_if(~skipped & F.col("disputed")).alias("disputed"), F.count_if(skipped).alias("skipped"))
+
+
+def command_score(audio: Column, text: Column, command: list[str], timeout: float = 600.0) -> Column:
+    """struct<score, payload, error> of an external command, one call a row: it gets ``--audio`` and ``--text-file`` behind its own arguments, and the last line that it
+    prints is a JSON object with a score. Another exit code than 0, no output and no score are errors of the row."""
+    def one(path: str, words: str) -> tuple[float, str]:
+        with tempfile.NamedTemporaryFile("w", encoding="utf-8", suffix=".txt") as f:  # read by the command on the same machine
+            f.write(words)
+            f.flush()
+            done = subprocess.run([*command, "--audio", path, "--text-file", f.name], capture_output=True, text=True, errors="replace", timeout=timeout, check=False)
+        if done.returncode:
+            raise RuntimeError(f"exit code {done.returncode}: {done.stderr.strip() or done.stdout.strip()}")
+        if not done.stdout.strip():
+            raise RuntimeError("no output")
+        last = done.stdout.strip().splitlines()[-1]
+        got = json.loads(last)
+        if got.get("score") is None:
+            raise RuntimeError("no score")
+        return float(got["score"]), last
+
+    @F.pandas_udf("struct<score: double, payload: string, error: string>")
+    def run(paths: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, t in zip(paths, texts, strict=True):
+            try:
+                rows.append((*one(p, t), None) if p is not None and t is not None else (None, None, "nothing to compare"))
+            except Exception as error:  # a row's failure is its own
+                rows.append((None, None, f"{type(error).__name__}: {error}"))
+        return pd.DataFrame(rows, columns=["score", "payload", "error"])
+
+    return run(audio, text)
+
+
+def reference_check(rows: DataFrame, command: list[str], threshold: float | None = None, audio: str = "path", text: str = "original_text") -> DataFrame:
+    """``rows`` with reference_check_score, _threshold, _status and _payload from an external command."""
+    limit = F.lit(threshold).cast("double")
+    got = rows.withColumn("_r", command_score(F.col(audio), F.col(text), command))
+    return got.select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_r.score").alias("reference_check_score"), limit.alias("reference_check_threshold"), reference_status(F.col("_r.score"), limit, F.col("_r.error")).alias("reference_check_status"), F.col("_r.payload").alias("reference_check_payload"))

@@ -374,6 +374,65 @@ def latest_state(spark, sf_dir):
     return state.latest(rows, ["user_id"], "ts").select("user_id", "event_id")
 
 
+@query("SELECT * FROM (VALUES ('a', '61622e63642e', 2, NULL), ('b', NULL, 2, 'RuntimeError: refused'), ('c', '656667682e', 1, NULL), ('d', '', 0, NULL)) t(id, sound, n_calls, error)")
+def back_end_calls(spark, sf_dir):
+    """Texts in pieces that a back end takes; a piece that fails for good is the text's error."""
+    from narrata.functions import backends
+    from narrata.functions.remote import Retry
+
+    def speak(piece):
+        if "x" in piece:
+            raise RuntimeError("refused")
+        return piece.encode()
+
+    how = backends.backend("qwen", speak, most_chars=6, retry=Retry(2, 0.0))
+    rows = spark.createDataFrame([("a", "ab. cd."), ("b", "ab. xx."), ("c", "efgh."), ("d", None)], "id string, t string")
+    return rows.withColumn("s", backends.synthesized(F.col("t"), how)).select("id", F.lower(F.hex("s.sound")).alias("sound"), "s.n_calls", "s.error")
+
+
+@query("SELECT * FROM (VALUES ('one two', 2.0::DOUBLE, 'suspicious'), ('one', 1.0, 'ok'), ('', NULL, 'error'), (NULL, NULL, 'error')) t(original_text, score, status)")
+def external_checks(spark, sf_dir):
+    """A command that counts words and has nothing to say of an empty text."""
+    import sys
+
+    code = "import json, sys; n = len(open(sys.argv[sys.argv.index('--text-file') + 1]).read().split()); print('log'); print(json.dumps({'score': n}) if n else '{}')"
+    rows = spark.createDataFrame([("a.wav", "one two"), ("b.wav", "one"), ("c.wav", ""), ("d.wav", None)], "path string, original_text string")
+    got = checks.reference_check(rows, [sys.executable, "-c", code], 1.5)
+    return got.select("original_text", F.col("reference_check_score").alias("score"), F.col("reference_check_status").alias("status"))
+
+
+@query(f"SELECT conv_id, turn, CAST(unnest(range(0, len(s))) AS INTEGER) AS pos, unnest(s) AS text FROM (SELECT conv_id, turn, {_PARTS.format('text', least=3)} AS s FROM conversations)")
+def display_split(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.posexplode(splitting.display_chunks(F.col("text"))).alias("pos", "text"))
+
+
+@query("SELECT * FROM (VALUES ('c1', 'замок', 2)) t(chapter_key, surface_form, n)")
+def stress_candidates_without(spark, sf_dir):
+    """Stop words are no candidates, however they are written."""
+    texts = spark.createDataFrame([("c1", "Замок и замок, мука; Москва и за́мок. Дом.")], "chapter_key string, text string")
+    return lexicon.stress_candidates(texts, fx.LEXICON.df(spark), [f"Мука{A}"]).select("chapter_key", "surface_form", F.col("n").cast("int").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('c1', 0, 'one', 'known'), ('c1', 1, NULL, 'to run')) t(chapter_key, unit_index, output, what)")
+def unit_reuse(spark, sf_dir):
+    """Results of units under (chapter, step, unit, input, settings); one that failed or whose input is another is run again."""
+    keys = ["chapter_key", "step_index", "unit_index", "input_hash", "config_hash"]
+    schema = "chapter_key string, step_index int, unit_index int, input_hash string, config_hash string"
+    inputs = spark.createDataFrame([("c1", 0, 0, "i0", "k"), ("c1", 0, 1, "i1", "k")], schema)
+    known = spark.createDataFrame([("c1", 0, 0, "i0", "k", "success", "one"), ("c1", 0, 1, "i9", "k", "success", "two"), ("c1", 0, 1, "i1", "k", "failed", None)], schema + ", status string, output string")
+    done, todo = steps.reuse(inputs, known, keys)
+    return done.select("chapter_key", "unit_index", "output", F.lit("known").alias("what")).unionByName(todo.select("chapter_key", "unit_index", F.lit(None).cast("string").alias("output"), F.lit("to run").alias("what")))
+
+
+literal("accent_marks_kept", fx.pairs((f"за{A}мо{A}к", f"замо{A}к"), (f"за{A}мок", f"за{A}мок"), ("нет", "нет")), lambda rows: steps.chain(F.col("input"), "ru_tsnorm", F.lit("ru")))
+literal(
+    "agreed_numbers",
+    fx.pairs(("1 книга", "одна книга"), ("2 книги", "две книги"), ("5 книг", "пять книг"), ("1 столу", "одному столу"), ("2 столами", "двумя столами"), ("21 стол", "двадцать один стол")),
+    lambda rows: steps.chain(F.col("input"), "ru_numbers", F.lit("ru"), steps.Conf(number_nouns=(("книга", "f", "n"), ("книги", "f", "n"), ("столу", "m", "d"), ("столами", "m", "i"), ("стол", "m", "n")))),
+)
+
+
 # Files and streams -----------------------------------------------------------------------------------------
 
 

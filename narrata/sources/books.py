@@ -31,9 +31,15 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", book_format("path").alias("format"))
 
 
+#: File suffix to format; more can be added, with a function that makes documents or sections of the format's files.
+FORMATS: dict[str, str] = {".epub": "epub", ".fb2": "fb2"}
+
+
 def book_format(path) -> Column:
-    low = F.lower(path)
-    return F.when(F.endswith(low, F.lit(".epub")), "epub").when(F.endswith(low, F.lit(".fb2")), "fb2").otherwise(F.raise_error(F.concat(F.lit("neither an EPUB nor an FB2 file: "), path)))
+    """The format of a file by its suffix, in any case; a suffix of no known format is an error."""
+    path = F.col(path) if isinstance(path, str) else path
+    found = F.coalesce(*[F.when(F.endswith(F.lower(path), F.lit(suffix)), name) for suffix, name in FORMATS.items()])
+    return F.coalesce(found, F.raise_error(F.concat(F.lit(f"none of {', '.join(FORMATS)}: "), path)))
 
 
 def _local(e: ET.Element) -> str:
