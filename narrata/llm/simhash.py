@@ -389,19 +389,37 @@ def links(nodes: DataFrame, budget: int = 2, leaf_rows: int = 8192) -> DataFrame
     return _linked(_open_units(rows, budget, leaf_rows, 8, "trie"), budget)
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(node, root): every node of ``edges`` (a, b) with the smallest node it can reach. Each round at least halves the longest way."""
+def _solved(edges: DataFrame) -> DataFrame:
+    """(node, root) of edges that one task holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            t = pa.Table.from_batches(parts)
+            names, code = np.unique(np.concatenate([t.column(0).to_numpy(), t.column(1).to_numpy()]), return_inverse=True)
+            tree = _Forest(len(names))
+            tree.add(code[: t.num_rows], code[t.num_rows :])
+            root = tree.roots()
+            below = root != np.arange(len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names[below]), pa.array(names[root[below]])], ["node", "root"])
+
+    return edges.repartition(1).mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, most_rounds: int = 64, small: int = 1 << 18) -> DataFrame:
+    """(node, root): every node of ``edges`` (a, b) that can reach a smaller one, with the smallest. Up to ``small`` edges are joined in one task (4 MB at 16 bytes each); more by
+    rounds of large-star and small-star steps, each of which at least halves the longest way. The result is the same."""
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    if now.isEmpty():
-        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if now.count() <= small:
+        return materialize(_solved(now), "components")
     state = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        now = materialize(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        joined = large.join(least, "a")
+        now = materialize(joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         seen = now.agg(F.count(F.lit(1)), F.sum(F.expr("cast(xxhash64(a, b) as decimal(38, 0))"))).first()
         if tuple(seen) == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

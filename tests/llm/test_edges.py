@@ -91,8 +91,10 @@ def test_stages(spark, sf, odd, empty, name, stage):
 def test_components_that_do_not_settle_are_an_error(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError, match="did not settle in 2 rounds"):
-        simhash.components(chain, most_rounds=2)
-    assert {r.root for r in simhash.components(chain).collect()} == {0}
+        simhash.components(chain, most_rounds=2, small=0)
+    for small in (0, 100):
+        assert {(r.node, r.root) for r in simhash.components(chain, small=small).collect()} == {(i, 0) for i in range(1, 41)}
+    assert simhash.components(chain.where("a < 0")).collect() == []
 
 
 def test_a_shared_folder_must_be_named_on_a_cluster():

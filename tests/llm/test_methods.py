@@ -60,7 +60,7 @@ def test_components_are_those_of_all_pairs(spark, leaf):
     prints = [c ^ sum(1 << b for b in r.sample(range(64), r.randrange(5))) for c in centers for _ in range(25)]
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     nodes = spark.createDataFrame([(s,) for s in set(signed)], "fp long")
-    roots = {x.node: x.root for x in simhash.components(simhash.links(nodes, 2, leaf)).collect()}
+    roots = {x.node: x.root for x in simhash.components(simhash.links(nodes, 2, leaf), small=0 if leaf == 8 else 1 << 18).collect()}
     want = _components(range(len(prints)), prints)
     groups = {}
     for i, s in enumerate(signed):
