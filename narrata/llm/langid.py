@@ -167,14 +167,18 @@ def fit(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
                 x, letters = counts(part.column(1).to_pylist())
-                at_ = [np.flatnonzero(r).astype(np.int32) for r in x]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(letters), pa.array([i.tolist() for i in at_], pa.list_(pa.int32())), pa.array([r[i].tolist() for r, i in zip(x, at_, strict=True)], pa.list_(pa.float32()))], ["lang", "letters", "at", "n"])
+                row, at_ = np.nonzero(x)
+                cuts = pa.array(np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (at_.astype(np.int32), x[row, at_])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(letters), *lists], ["lang", "letters", "at", "n"])
 
     got = picked.mapInArrow(vectors, "lang string, letters long, at array<int>, n array<float>").toArrow()
     lang, letters = np.array(got.column("lang").to_pylist(), object), got.column("letters").to_numpy()
     x = np.zeros((len(lang), DIMS), np.float32)
-    for i, (at, n) in enumerate(zip(got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True)):
-        x[i, at] = n
+    if len(lang):
+        at, n = (got.column(k).combine_chunks() for k in ("at", "n"))
+        x[np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = n.flatten().to_numpy()
+    del got
     has = letters > 0
     lang, letters, x = lang[has], letters[has], x[has]
     if not len(lang):
@@ -183,7 +187,7 @@ def fit(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str
     lang, letters, x = lang[order], letters[order], x[order]
     having, total = frequencies(labelled.select(F.col(text_col).alias("text")))
     idf = np.log((1 + total) / (1 + having)).astype(np.float32) + 1
-    x = _unit(np.log1p(x) * idf)
+    x = _unit(np.log1p(x, out=x) * idf)
     found = {name: _spherical_kmeans(x[lang == name], clusters) for name in sorted(set(lang))}
     model = Model(idf, np.concatenate(list(found.values())).astype(np.float32), [k for k, c in found.items() for _ in c])
     near, size = (x @ model.centroids.T).max(1), _length(letters)
