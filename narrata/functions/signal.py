@@ -1,13 +1,14 @@
 """Sample arrays of speech: reading, cleaning and joining. Everything works on (frames, channels) arrays of 16-bit samples.
 
-The merge of a chapter is a grouped map in the order of its chunks; between chunks it holds a crossfade tail only.
+The merge of a chapter runs over its chunks in order, as a grouped map, or in pieces as a stream that holds a crossfade tail only.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -227,10 +228,9 @@ def crossfade(a: np.ndarray, b: np.ndarray, frames: int) -> np.ndarray:
     return np.concatenate([a[:-n], mixed, b[n:]])
 
 
-def join(chunks: list[np.ndarray], rate: int, how: Join = Join()) -> np.ndarray:
-    """Chunks in order, cleaned, with silence and crossfades between them. Linear: only a tail is held between chunks."""
+def joined(chunks: Iterable[np.ndarray], rate: int, how: Join = Join()) -> Iterator[np.ndarray]:
+    """Chunks in order, cleaned, with silence and crossfades between them, piece by piece: only a tail is held between chunks."""
     frames = int(rate * how.crossfade_ms / 1000)
-    done: list[np.ndarray] = []
     tail: np.ndarray | None = None
     for x in chunks:
         if how.offset:
@@ -244,16 +244,39 @@ def join(chunks: list[np.ndarray], rate: int, how: Join = Join()) -> np.ndarray:
             if tail is not None:
                 p = crossfade(tail, p, frames)
             keep = min(frames, len(p)) if frames else 0
-            done.append(p[: len(p) - keep])
+            yield p[: len(p) - keep]
             tail = p[len(p) - keep :]
     if tail is not None:
-        done.append(tail)
+        yield tail
+
+
+def join(chunks: Iterable[np.ndarray], rate: int, how: Join = Join()) -> np.ndarray:
+    """All pieces of ``joined`` as one."""
+    done = list(joined(chunks, rate, how))
     return np.concatenate(done) if done else np.zeros((0, 1), np.int16)
 
 
+def merge_pieces(chunks: DataFrame, how: Join = Join()) -> DataFrame:
+    """(chapter_key, pos, content) to (chapter_key, piece, framerate, nchannels, n_frames, data): the samples of each chapter's file in pieces, for chapters that
+    no task holds. Chunks stream through in order; a task holds one batch of them and a crossfade tail. Chunks that can't be read, or have another form than the chapter's first, are left out."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((k, c) for b in batches for k, c in zip(b.chapter_key, b.content, strict=True))
+        for key, mine in groupby(rows, key=lambda r: r[0]):
+            waves = (w for w in (read_wave(c) for _, c in mine) if w and samples_of(w) is not None)
+            first = next(waves, None)
+            if first is None:
+                continue
+            same = (samples_of(w) for w in chain((first,), waves) if w.channels == first.channels)
+            for i, x in enumerate(joined(same, first.rate, how)):
+                yield pd.DataFrame({"chapter_key": [key], "piece": [i], "framerate": [first.rate], "nchannels": [first.channels], "n_frames": [len(x)], "data": [x.astype("<i2").tobytes()]})
+
+    ordered = chunks.select("chapter_key", "pos", "content").repartition("chapter_key").sortWithinPartitions("chapter_key", "pos").select("chapter_key", "content")
+    return ordered.mapInPandas(run, "chapter_key string, piece long, framerate int, nchannels int, n_frames long, data binary")
+
+
 def merge_chapters(chunks: DataFrame, how: Join = Join()) -> DataFrame:
     """(chapter_key, pos, content) to (chapter_key, n_chunks, seconds, content): one file a chapter, in the order of ``pos``. Chunks
-    that can't be read are left out and counted; a chapter is as large as a task holds."""
+    that can't be read are left out and counted; a chapter is as large as a task holds (``merge_pieces`` has no such bound)."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         waves = [w for w in map(read_wave, g.sort_values("pos").content) if w]
         got = [x for x in map(samples_of, waves) if x is not None and x.shape[1] == waves[0].channels]

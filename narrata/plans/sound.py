@@ -115,3 +115,19 @@ def sound_crossfade(spark, sf_dir):
     both = signal.crossfade(np.full((6, 1), 1000, np.int16), np.zeros((5, 1), np.int16), 4)
     rows = spark.createDataFrame([(both.ravel().tolist(),)], "v array<int>")
     return rows.select(F.posexplode("v").alias("pos", "value"))
+
+
+@query("SELECT * FROM (VALUES ('c1', 5760, true), ('c2', 2000, true)) t(chapter_key, n_frames, same)")
+def sound_pieces(spark, sf_dir):
+    """Chapters merged in pieces hold what they hold merged whole: 4,000 and 2,000 frames crossed over 240."""
+    import pandas as pd
+
+    from narrata.plans import fixtures as fx
+
+    rows = pd.DataFrame({"chapter_key": ["c1", "c1", "c2", "c2"], "pos": [1, 0, 0, 1], "content": [fx.wave(0.25), fx.wave(0.5), fx.wave(0.25), b"no file"]})
+    chunks = spark.createDataFrame(rows, "chapter_key string, pos int, content binary")
+    pieces = signal.merge_pieces(chunks)
+    data = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "data"))), lambda x: F.hex(x["data"])), "")
+    merged = pieces.groupBy("chapter_key").agg(F.sum("n_frames").cast("int").alias("n_frames"), data.alias("data"))
+    whole = signal.merge_chapters(chunks).select("chapter_key", F.hex(F.expr("substring(content, 45)")).alias("whole"))  # behind the head of a file
+    return merged.join(whole, "chapter_key").select("chapter_key", "n_frames", (F.col("data") == F.col("whole")).alias("same"))
