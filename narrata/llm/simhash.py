@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -44,7 +45,7 @@ SEED = 42
 SHINGLE = 3
 _COUNTED = 240  #: shingles whose bits are counted at a time, in bytes
 _GROUP = 1 << 14  #: rows of units that are walked at a time
-_COMPARED = 1 << 15  #: pairs of whole fingerprints that are compared at a time
+_COMPARED = 1 << 14  #: pairs of whole fingerprints that are compared at a time
 _U = np.uint64
 
 
@@ -258,10 +259,35 @@ def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _linked(ready: DataFrame, budget: int, least: float = 0.0, emit: str = "forest", whole_budget: int = 0) -> DataFrame:
-    """Links within the budget of rows (u, side, value[, node, comp, n, fp]) between different components, where there are, and of sizes that
-    allow a similarity of ``least``. ``emit``: "forest" gives (a, b) of a forest of each task's units, "pairs" all whose whole fingerprints (fp) differ in ``whole_budget`` bits at most,
-    and "rows" the rows (u, side, value, node) that have a link."""
+@dataclass(frozen=True)
+class Whole:
+    """What the whole fingerprints of two rows in a unit say: whether they are within the budget of all bits, and whether their pair is this block's to give. Of the blocks in which
+    two rows meet (equal block, the 64 bits after it within the budget) the first gives the pair, so that it comes once."""
+
+    width: int
+    blocks: int
+    budget: int
+    bits: int  #: that may differ in all
+
+    def keeps(self, differ: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Which rows of ``differ`` (bytes of two fingerprints, one XOR the other), found in ``block``, are kept."""
+        keep = np.bitwise_count(differ).sum(1, dtype=np.int32) <= self.bits
+        at = np.flatnonzero(keep)
+        for first in range(0, len(at), 1024):
+            part = at[first : first + 1024]
+            bits = np.unpackbits(differ[part], axis=1)
+            bits = np.concatenate([bits, bits[:, : self.width + BITS]], axis=1)
+            sums = np.concatenate([np.zeros((len(part), 1), np.int32), np.cumsum(bits, axis=1, dtype=np.int32)], axis=1)
+            start = np.arange(self.blocks) * self.width
+            off, after = sums[:, start + self.width] - sums[:, start], sums[:, start + self.width + BITS] - sums[:, start + self.width]
+            keep[part] = ((off == 0) & (after <= self.budget)).argmax(1) == block[part]
+        return keep
+
+
+def _linked(ready: DataFrame, budget: int, least: float = 0.0, emit: str = "forest", whole: Whole | None = None) -> DataFrame:
+    """Links within the budget of rows (u, side, value[, node, comp, n, block, fp]) between different components, where there are, and of sizes that
+    allow a similarity of ``least``. ``emit``: "forest" gives (a, b) of a forest of each task's units, "pairs" all that ``whole`` keeps, and "rows" the
+    rows (u, side, value, block, node) that have a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_units(batches):
@@ -275,9 +301,9 @@ def _linked(ready: DataFrame, budget: int, least: float = 0.0, emit: str = "fore
             unit, side, value = unit[keep], side[keep], value[keep].view(_U)
             order = np.lexsort((value, side, unit))
             keep, unit, side, value = keep[order], unit[order], side[order], value[order]
-            node, comp, n = (None if (x := column(name)) is None else x[keep] for name in ("node", "comp", "n"))
+            node, comp, n, block = (None if (x := column(name)) is None else x[keep] for name in ("node", "comp", "n", "block"))
             node = value.view(np.int64) if node is None else node
-            whole = np.frombuffer(b"".join(t.column("fp").take(pa.array(keep)).to_pylist()), _U).reshape(len(keep), -1) if emit == "pairs" else None
+            prints = np.frombuffer(b"".join(t.column("fp").take(pa.array(keep)).to_pylist()), np.uint8).reshape(len(keep), -1) if whole else None
 
             def fitting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 ok = node[a] != node[b]  # noqa: B023
@@ -286,9 +312,8 @@ def _linked(ready: DataFrame, budget: int, least: float = 0.0, emit: str = "fore
                 if n is not None:  # noqa: B023
                     ok &= np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9  # noqa: B023
                 a, b = a[ok], b[ok]
-                if whole is not None and len(a):  # noqa: B023
-                    near = [np.bitwise_count(whole[a[i : i + _COMPARED]] ^ whole[b[i : i + _COMPARED]]).sum(1, dtype=np.int32) <= whole_budget for i in range(0, len(a), _COMPARED)]  # noqa: B023
-                    near = np.concatenate(near)
+                if whole and len(a):
+                    near = np.concatenate([whole.keeps(prints[a[i : i + _COMPARED]] ^ prints[b[i : i + _COMPARED]], block[a[i : i + _COMPARED]]) for i in range(0, len(a), _COMPARED)])  # noqa: B023
                     a, b = a[near], b[near]
                 return a, b
 
@@ -315,9 +340,9 @@ def _linked(ready: DataFrame, budget: int, least: float = 0.0, emit: str = "fore
                 else:
                     seen[a] = seen[b] = True
             if seen.any():
-                yield pa.RecordBatch.from_arrays([pa.array(unit[seen]), pa.array(side[seen]), pa.array(value[seen].view(np.int64)), pa.array(node[seen])], ["u", "side", "value", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(unit[seen]), pa.array(side[seen]), pa.array(value[seen].view(np.int64)), pa.array(block[seen]), pa.array(node[seen])], ["u", "side", "value", "block", "node"])
 
-    return ready.repartition("u").sortWithinPartitions("u").mapInArrow(run, "u long, side int, value long, node long" if emit == "rows" else "a long, b long")
+    return ready.repartition("u").sortWithinPartitions("u").mapInArrow(run, "u long, side int, value long, block int, node long" if emit == "rows" else "a long, b long")
 
 
 def _open_units(rows: DataFrame, budget: int, leaf_rows: int, step: int, label: str) -> DataFrame:
@@ -490,7 +515,7 @@ def _prints(rows: DataFrame, shingle: int, wide: int) -> DataFrame:
 
 
 def _entries(nodes: DataFrame, width: int, blocks: int, wide: int) -> DataFrame:
-    """(u, value, node, n[, comp]) for each block of (node, n, fp[, comp]): the node entered and the 64 bits after it."""
+    """(u, value, node, n[, comp, block]) for each block of (node, n, fp[, comp]): the node entered and the 64 bits after it."""
     labelled = "comp" in nodes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,9 +530,9 @@ def _entries(nodes: DataFrame, width: int, blocks: int, wide: int) -> DataFrame:
                     key[:, BITS - width :] = bits[:, i * width : (i + 1) * width]
                     key = np.packbits(key, axis=1).view(">u8")[:, 0].astype(np.int64) + (i << width)
                     value = np.packbits(bits[:, (i + 1) * width : (i + 1) * width + BITS], axis=1).view(">u8")[:, 0].astype(_U).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value), b.column(0), b.column(1), *([b.column(3)] if labelled else [])], ["u", "value", "node", "n", *(["comp"] if labelled else [])])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value), b.column(0), b.column(1), *([b.column(3), pa.array(np.full(b.num_rows, i, np.int32))] if labelled else [])], ["u", "value", "node", "n", *(["comp", "block"] if labelled else [])])
 
-    return nodes.select("node", "n", "fp", *(["comp"] if labelled else [])).mapInArrow(run, "u long, value long, node long, n long" + (", comp long" if labelled else ""))
+    return nodes.select("node", "n", "fp", *(["comp"] if labelled else [])).mapInArrow(run, "u long, value long, node long, n long" + (", comp long, block int" if labelled else ""))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -554,11 +579,11 @@ def similar_links(texts: DataFrame, nodes: DataFrame, least: float, shingle: int
     # then all pairs of all blocks across the components
     labelled = nodes.join(roots, "node", "left").select("node", "n", "fp", F.coalesce("root", "node").alias("comp"))
     labelled = materialize(labelled, "labelled")
-    rows = _entries(labelled, width, count, wide).select("u", F.lit(0).alias("side"), F.lit(0).alias("diff"), F.lit(0).alias("pos"), F.col("value").alias("rot"), "value", "node", "n", "comp")
+    rows = _entries(labelled, width, count, wide).select("u", F.lit(0).alias("side"), F.lit(0).alias("diff"), F.lit(0).alias("pos"), F.col("value").alias("rot"), "value", "node", "n", "comp", "block")
     # only rows that have a link in their unit take the whole fingerprint along, and only pairs that are near in all of it go on
     linked = materialize(_linked(_open_units(rows, budget, leaf_rows, 4, "across"), budget, least, "rows"), "linked-rows")
-    wanted = linked.join(labelled, "node").select("u", "side", "value", "node", "n", "comp", "fp")
-    across = materialize(_linked(wanted, budget, least, "pairs", whole_budget(wide * BITS, least)).distinct(), "across")
+    wanted = linked.join(labelled, "node").select("u", "side", "value", "block", "node", "n", "comp", "fp")
+    across = materialize(_linked(wanted, budget, least, "pairs", Whole(width, count, budget, whole_budget(wide * BITS, least))).distinct(), "across")
     rest = across.join(first, ["a", "b"], "left_anti")
     new = across.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti")
     more = materialize(_verified(rest, sets.unionByName(materialize(_sets(texts, new, shingle), "shingles")), least), "links")

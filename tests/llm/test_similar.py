@@ -105,3 +105,23 @@ def test_rows_that_are_seen_end_the_walk_and_none_is_missed():
         walked += len(a)
         seen[a] = seen[b] = True
     assert set(np.flatnonzero(seen).tolist()) == every and 0 < walked < sum(len(a) for a, b in simhash.trie_pairs(unit, side, v, 12, most=500))
+
+
+def test_a_pair_is_given_by_the_first_block_in_which_it_meets():
+    width, count, budget = simhash.plan(1000)
+    wide = -(-width * count // 64)
+    whole = simhash.Whole(width, count, budget, simhash.whole_budget(wide * 64))
+    r = np.random.default_rng(2)
+    differ = np.packbits((r.random((400, wide * 64)) < 0.13).astype(np.uint8), axis=1)
+    given = np.zeros(400, int)
+    for row, bytes_ in enumerate(differ):
+        bits = np.unpackbits(bytes_)
+        bits = np.concatenate([bits, bits[: width + 64]])
+        meets = [i for i in range(count) if not bits[i * width : (i + 1) * width].any() and bits[(i + 1) * width :][:64].sum() <= budget]
+        for i in meets:
+            kept = whole.keeps(differ[row : row + 1], np.array([i], np.int32))[0]
+            assert kept == (i == meets[0] and np.unpackbits(bytes_).sum() <= whole.bits)
+            given[row] += kept
+    assert given.max() == 1 and given.mean() > 0.9
+    far = np.packbits((r.random((50, wide * 64)) < 0.3).astype(np.uint8), axis=1)
+    assert not whole.keeps(far, np.zeros(50, np.int32)).any()
