@@ -20,7 +20,6 @@ repeated under one id are treated alike; an empty table gives an empty result; o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from narrata.llm._work import fresh, let, materialize
