@@ -3,8 +3,9 @@
 One classifier sees the text's content (shares of character classes, word forms, repetition, all its words hashed), the other the
 record around it (language, source, length, layout of its lines). Both start from the labelled documents; in each round each
 view names the unlabelled documents it is surest of, as many good ones to bad ones as among the labels, and the other view learns
-them as if they were labelled. At the end each view is calibrated on labelled documents left out of training
-(logistic scaling), and the mean of the calibrated log-odds scores every document.
+them as if they were labelled. How sure a view may be is seen on labelled documents left out of training: it names only where 90 % of those, beyond doubt, are what it says, so that a view
+that knows little teaches little. At the end each view is calibrated on them (logistic scaling), and the sum of the calibrated log-odds, less
+the prior's that both hold, scores every document.
 
 The vectors of all documents are made once and kept (``vectors``, 640 bytes a document). Every round runs over all unlabelled documents: each view's log-odds are
 counted in a histogram of fixed size, which gives the round's thresholds; whether a document was named in an earlier round is known by
@@ -132,7 +133,8 @@ class Model:
             same = np.full(len(content), self.share)
             return same, [same, same]
         odds = [v.odds(x) for v, x in zip(self.views, (content, record), strict=True)]
-        return 1 / (1 + np.exp(-(odds[0] + odds[1]) / 2)), [1 / (1 + np.exp(-o)) for o in odds]
+        prior = np.log(self.share / (1 - self.share))
+        return 1 / (1 + np.exp(-np.clip(odds[0] + odds[1] - prior, -30, 30))), [1 / (1 + np.exp(-o)) for o in odds]
 
 
 _EDGE, _BINS = 30.0, 6000  #: histograms of log-odds: range and bins
@@ -162,12 +164,30 @@ def named(rounds: list[Round], x: list[np.ndarray]) -> np.ndarray:
     return told
 
 
-def thresholds(counts: np.ndarray, total: int, share: float, step: float, sure: float) -> tuple[int, int]:
+def at_least(right: np.ndarray, n: np.ndarray, doubt: float) -> np.ndarray:
+    """The share that is right at least, ``right`` of ``n`` being seen: Wilson's lower bound, ``doubt`` standard deviations below."""
+    n = np.maximum(n, 1e-9)
+    p, z = right / n, doubt * doubt / n
+    return (p + z / 2 - np.sqrt(z * (p * (1 - p) + z / 4))) / (1 + z)
+
+
+def sure_bins(odds: np.ndarray, y: np.ndarray, sure: float, doubt: float) -> tuple[int, int]:
+    """(lowest bin from which on, highest up to which) a view may name: of the labelled rows left out that lie there, ``sure`` at least are good, or bad, beyond ``doubt``.
+    A view that tells nothing names nothing."""
+    at = _bin(odds)
+    good, bad = (np.cumsum(np.bincount(at, y == k, _BINS)) for k in (1, 0))
+    n = good + bad
+    up, above = good[-1] - np.r_[0, good[:-1]], n[-1] - np.r_[0, n[:-1]]  # from each bin on
+    may = (above > 0) & (at_least(up, above, doubt) >= sure)
+    low = (n > 0) & (at_least(bad, n, doubt) >= sure)
+    return int(np.argmax(may)) if may.any() else _BINS, int(_BINS - 1 - np.argmax(low[::-1])) if low.any() else -1
+
+
+def thresholds(counts: np.ndarray, total: int, share: float, step: float, may: tuple[int, int]) -> tuple[int, int]:
     """(first good bin, last bad bin) of a view, from the counts of the rows that are free to be named."""
-    edge = np.log(sure / (1 - sure))
     good, bad = int(np.ceil(step * total * share)), int(np.ceil(step * total * (1 - share)))
     top, low = np.cumsum(counts[::-1])[::-1], np.cumsum(counts)
-    return max(int(_bin(np.array([edge]))[0]) + 1, int(np.searchsorted(-top, -good, "right")) - 1), min(int(_bin(np.array([-edge]))[0]) - 1, int(np.searchsorted(low, bad, "left")))
+    return max(may[0], int(np.searchsorted(-top, -good, "right")) - 1), min(may[1], int(np.searchsorted(low, bad, "left")))
 
 
 def calibrated(views: list[Logistic], x: list[np.ndarray], y: np.ndarray) -> None:
@@ -247,7 +267,7 @@ def _taught(pool: DataFrame, rounds: list[Round], parts: list[float]) -> list[tu
     return out
 
 
-def cotrain(labelled: list[np.ndarray], y: np.ndarray, total: int, histograms: Callable, taught: Callable, rounds: int = 5, step: float = 0.05, sure: float = 0.9, most: int = 4000) -> Model:
+def cotrain(labelled: list[np.ndarray], y: np.ndarray, total: int, histograms: Callable, taught: Callable, rounds: int = 5, step: float = 0.05, sure: float = 0.9, doubt: float = 2.58, most: int = 4000) -> Model:
     """``labelled`` holds the two views of the labelled rows; ``histograms(rounds, views)`` and ``taught(rounds, parts)`` look at the ``total`` unlabelled ones."""
     if len(set(y.tolist())) < 2:
         return Model([], float(y.mean()) if len(y) else 0.5)
@@ -261,7 +281,8 @@ def cotrain(labelled: list[np.ndarray], y: np.ndarray, total: int, histograms: C
         if turn == rounds or not total:
             break
         counts = histograms(done, fitted)
-        cuts = [thresholds(counts[v], total, share, step, sure) for v in range(2)]
+        tried = out if out.any() else learn
+        cuts = [thresholds(counts[v], total, share, step, sure_bins(fitted[v].raw(labelled[v][tried]), y[tried], sure, doubt)) for v in range(2)]
         done.append(Round(fitted, [g for g, _ in cuts], [b for _, b in cuts]))
         for v, (g, b) in enumerate(cuts):
             count[1 - v] += counts[v][g:].sum() + counts[v][: max(0, min(b + 1, g))].sum()
@@ -270,7 +291,7 @@ def cotrain(labelled: list[np.ndarray], y: np.ndarray, total: int, histograms: C
     return Model(fitted, share)
 
 
-def fit(vectors: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = 4000, taught: int = 4000, rounds: int = 5, step: float = 0.05, sure: float = 0.9) -> Model:
+def fit(vectors: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = 4000, taught: int = 4000, rounds: int = 5, step: float = 0.05, sure: float = 0.9, doubt: float = 2.58) -> Model:
     """Learn from the vectors of all documents and the labels of some."""
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("lid")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
     n = told.count()
@@ -280,7 +301,7 @@ def fit(vectors: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     x = [v[order] for v in _unpacked(known.column("c").combine_chunks(), known.column("r").combine_chunks())]
     y = known.column("y").to_numpy()[order]
     pool = materialize(vectors.join(told.select("lid"), F.col("id") == F.col("lid"), "left_anti"), "unlabelled")
-    return cotrain(x, y, pool.count(), lambda *a: _histograms(pool, *a), lambda *a: _taught(pool, *a), rounds, step, sure, taught)
+    return cotrain(x, y, pool.count(), lambda *a: _histograms(pool, *a), lambda *a: _taught(pool, *a), rounds, step, sure, doubt, taught)
 
 
 def score(vectors: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
