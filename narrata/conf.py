@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import configparser
+import shutil
 from pathlib import Path
 from typing import Any
 
@@ -73,3 +74,15 @@ def source_book(output: str | Path) -> Path | None:
     except FileNotFoundError:
         return None
     return Path(text) if text else None
+
+
+def copied_book(book: str | Path, folder: str | Path) -> tuple[Path, bool]:
+    """The book's copy in a folder, and whether it had to be made: one of the same size and second of change is taken for the same."""
+    book, target = Path(book), Path(folder) / Path(book).name
+    target.parent.mkdir(parents=True, exist_ok=True)
+    if target.exists():
+        a, b = book.stat(), target.stat()
+        if (a.st_size, int(a.st_mtime)) == (b.st_size, int(b.st_mtime)):
+            return target, False
+    shutil.copy2(book, target)
+    return target, True

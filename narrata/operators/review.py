@@ -103,3 +103,30 @@ def recover_from_files(files: DataFrame, versions: DataFrame) -> DataFrame:
 
 def unknown_files(files: DataFrame, versions: DataFrame) -> DataFrame:
     return files.join(versions.select("sentence_hash"), "sentence_hash", "left_anti")
+
+
+def concat_lists(chunks: DataFrame, audio: DataFrame) -> DataFrame:
+    """(chapter_key, n_files, files) for a tool that joins files of other formats than WAV: a line for each chunk's file, in order; a quote in a path is escaped."""
+    quoted = F.concat(F.lit("file '"), F.replace("path", F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    rows = chunks.join(audio.select(*KEY, "path"), KEY).select("chapter_key", "pos", quoted.alias("line"))
+    return rows.groupBy("chapter_key").agg(F.count(F.lit(1)).alias("n_files"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("files"))
+
+
+def tempo_plan(chunks: DataFrame, audio: DataFrame, tempos: DataFrame, primary: str) -> DataFrame:
+    """(chapter_key, sentence_hash, path, tempo, filter) of the files whose voice (voice, tempo) isn't spoken at its own speed, with the filter for a tool that changes it."""
+    from narrata.functions.clean import tempo_filter
+
+    rows = chunks.withColumn("voice", F.coalesce("voice", F.lit(primary))).join(tempos, "voice").join(audio.select(*KEY, "path"), KEY)
+    return rows.withColumn("filter", tempo_filter(F.col("tempo"))).where("filter is not null").select(*KEY, "path", "tempo", "filter")
+
+
+def packing_file(marks: DataFrame, books: DataFrame, book: str = "book") -> DataFrame:
+    """(book, metadata): the text that a muxer reads for a packed book, from ``packing_marks`` and the books' (book, title, author). A book's chapters come together."""
+    from narrata.functions.clean import escape_metadata
+
+    lines = ["[CHAPTER]", "TIMEBASE=1/1000", F.concat(F.lit("START="), F.col("start_ms").cast("string")), F.concat(F.lit("END="), F.col("end_ms").cast("string")), F.concat(F.lit("title="), F.col("title"))]
+    one = F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
+    parts = marks.groupBy(book).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "chapter_idx", one.alias("text")))), lambda x: x["text"]), "\n").alias("chapters"))
+    title, author = escape_metadata(F.col("title")), escape_metadata(F.col("author"))
+    head = [F.lit(";FFMETADATA1"), F.concat(F.lit("title="), title), F.concat(F.lit("artist="), author), F.concat(F.lit("album="), title)]
+    return books.join(parts, book).select(book, F.concat(F.concat_ws("\n", *head, F.col("chapters")), F.lit("\n")).alias("metadata"))

@@ -630,4 +630,5 @@ def backend_payload(spark, sf_dir):
 
 from narrata.plans import asking as _asking  # noqa: E402, F401  these register their queries
 from narrata.plans import more as _more  # noqa: E402, F401
+from narrata.plans import packing as _packing  # noqa: E402, F401
 from narrata.plans import sound as _sound  # noqa: E402, F401
