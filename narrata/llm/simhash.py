@@ -102,15 +102,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _products(pairs: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (a, b) of all members of pairs of ranges; a range with itself gives each pair once."""
-    sizes = (pairs[1] - pairs[0]) * (pairs[3] - pairs[2])
-    for first in range(0, pairs.shape[1], 1 + most // max(1, int(sizes.max(initial=1)))):
-        part = pairs[:, first : first + 1 + most // max(1, int(sizes.max(initial=1)))]
-        size, width = (part[1] - part[0]) * (part[3] - part[2]), part[3] - part[2]
-        each = np.repeat(np.arange(part.shape[1]), size)
-        k = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-        a, b = part[0][each] + k // width[each], part[2][each] + k % width[each]
-        keep = (part[0] != part[2])[each] | (a < b)
+    """Positions (a, b) of all members of pairs of ranges, at most ``most`` at a time, of one pair of ranges too; a range with itself gives each pair once."""
+    width = pairs[3] - pairs[2]
+    size = (pairs[1] - pairs[0]) * width
+    end = np.cumsum(size)
+    for first in range(0, int(end[-1]), most):
+        k = np.arange(first, min(first + most, int(end[-1])))
+        each = np.searchsorted(end, k, "right")
+        k -= (end - size)[each]
+        a, b = pairs[0][each] + k // width[each], pairs[2][each] + k % width[each]
+        keep = (pairs[0] != pairs[2])[each] | (a < b)
         yield a[keep], b[keep]
 
 

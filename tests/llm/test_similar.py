@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -125,3 +126,24 @@ def test_a_pair_is_given_by_the_first_block_in_which_it_meets():
     assert given.max() == 1 and given.mean() > 0.9
     far = np.packbits((r.random((50, wide * 64)) < 0.3).astype(np.uint8), axis=1)
     assert not whole.keeps(far, np.zeros(50, np.int32)).any()
+
+
+def test_equal_values_of_two_components_are_walked_in_bounded_memory():
+    """A unit of texts that agree in the block and the 64 bits after it, one of them in another component: its pairs are some 4 million, which held at once took 209 MB."""
+    n, zero = 2048, np.zeros(2048, np.int64)
+    comp = zero.copy()
+    comp[n // 2] = 1
+    tracemalloc.start()
+    got = [set(zip(a.tolist(), b.tolist())) for a, b in simhash.trie_pairs(zero, zero.astype(np.int32), zero.view(np.uint64), 16, comp)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set().union(*got) == {(min(i, n // 2), max(i, n // 2)) for i in range(n) if i != n // 2} and sum(map(len, got)) == n - 1
+    assert peak < 40e6
+
+
+def test_products_are_those_of_all_ranges_in_parts_of_any_size():
+    ranges = np.array([[0, 3, 0, 3], [0, 3, 3, 8], [8, 9, 8, 9], [9, 10, 10, 14], [14, 18, 14, 18]]).T
+    want = [(a, b) for alo, ahi, blo, bhi in ranges.T.tolist() for a in range(alo, ahi) for b in range(blo, bhi) if alo != blo or a < b]
+    for most in (1, 4, 7, 1000):
+        parts = list(simhash._products(ranges, most))
+        assert [(int(x), int(y)) for a, b in parts for x, y in zip(a, b)] == want and max(len(a) for a, _ in parts) <= most
