@@ -12,10 +12,14 @@ from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from narrata.functions.slices import slices
+
 PCM = T.StructType([*[T.StructField(n, T.IntegerType()) for n in ("nchannels", "sampwidth", "framerate")], T.StructField("data", T.BinaryType())])
 
 
@@ -295,15 +299,24 @@ def segment_merge(segments: DataFrame) -> DataFrame:
 
 def window_stats(samples: Column, rate: int, window_ms: int = 20, hop_ms: int = 10) -> Column:
     """array<struct<start, zcr, lfr, rms>> of a mono signal's sliding windows."""
-    @F.pandas_udf("array<struct<start:int,zcr:double,lfr:double,rms:double>>")
-    def run(s: pd.Series) -> pd.Series:
-        def one(x):
-            v = np.asarray(x, float)
-            v = v / max(np.abs(v).max(initial=0), 1e-9)
-            w, h = max(2, rate * window_ms // 1000), max(1, rate * hop_ms // 1000)
-            return [dict(zip(("start", "zcr", "lfr", "rms"), (at, *_window_stats(v[at : at + w], max(1, rate * 2 // 1000))), strict=True)) for at in range(0, len(v), h)]
-
-        return s.map(one, na_action="ignore")
+    w, h, smooth = max(2, rate * window_ms // 1000), max(1, rate * hop_ms // 1000), max(1, rate * 2 // 1000)
+
+    def one(v: np.ndarray) -> np.ndarray:
+        v = v / max(np.abs(v).max(initial=0), 1e-9)
+        return np.array([_window_stats(v[at : at + w], smooth) for at in range(0, len(v), h)], float).reshape(-1, 3)
+
+    # the results stay arrays, as objects of every window would take many times the samples
+    @F.arrow_udf("array<struct<start:int,zcr:double,lfr:double,rms:double>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in slices(batch):
+                flat = part.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
+                found = [one(v) for v in np.split(flat, ends[:-1])]
+                starts = np.concatenate([np.arange(len(f)) * h for f in found])
+                stats = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), *map(pa.array, np.concatenate(found).T)], ["start", "zcr", "lfr", "rms"])
+                at = np.cumsum([0, *map(len, found)])
+                yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), stats, mask=part.is_null())
 
     return run(samples)
 
