@@ -11,8 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narrata.functions.patterns import strip
-
 
 def _bases() -> tuple[str, str]:
     """Letters with marks, and what is left of each: all of the alphabetic planes up to U+2FFF, by canonical decomposition."""
@@ -30,9 +28,10 @@ _MARKED, _BARE = _bases()
 
 def comparison_form(text: Column) -> Column:
     """Lower-case letters and single spaces: marks, digits, underscores and all else go. "й" counts as "и", "ё" as "е"."""
-    t = F.translate(F.replace(text, F.lit("+"), F.lit("")), _MARKED, _BARE)
-    t = F.lower(F.regexp_replace(t, r"\p{Mn}", ""))
-    return strip(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N} ]|[0-9]", " "), r"(?U)\s+", " "))
+    t = F.replace(text, F.lit("+"), F.lit(""))
+    # in ASCII there are no marks; signs, digits and spaces next to each other become one space
+    t = F.lower(F.when(F.octet_length(text) == F.length(text), t).otherwise(F.regexp_replace(F.translate(t, _MARKED, _BARE), r"\p{Mn}", "")))
+    return F.trim(F.regexp_replace(t, r"[[^\p{L}\p{N}]0-9]+", " "))
 
 
 def comparison_form_of(text: str) -> str:
@@ -61,6 +60,7 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(F.coalesce(plain, _ratio(F.when(open_, a), F.when(open_, b))))
 
 
+_CYRILLIC = "[\u0400-\u04ff]"
 _VOWELS, _CONSONANTS = "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ"
 
 
@@ -73,12 +73,13 @@ def sound_key(word: Column) -> Column:
     k = F.regexp_replace(k, "^б", "п")
     for voiced, voiceless in zip("бвгджз", "пфктшс", strict=True):
         k = F.regexp_replace(k, f"{voiced}(?=[{_CONSONANTS}]|$)", voiceless)
-    return F.when(F.contains(word, F.lit(" ")), word).otherwise(k)
+    # the rules touch Cyrillic letters only
+    return F.when(F.contains(word, F.lit(" ")) | ~F.regexp_like(word, F.lit(_CYRILLIC)), word).otherwise(k)
 
 
 def phonetic_form(form: Column) -> Column:
     """Sound keys of the words of a text in comparison form. Only Cyrillic letters change."""
-    return F.when(F.regexp_like(form, F.lit("[\u0400-\u04ff]")), F.array_join(F.transform(F.split(form, " "), sound_key), " ")).otherwise(form)
+    return F.when(F.regexp_like(form, F.lit(_CYRILLIC)), F.array_join(F.transform(F.split(form, " "), sound_key), " ")).otherwise(form)
 
 
 def boundary_words_match(a: Column, b: Column, lemmas_a: Column | None = None, lemmas_b: Column | None = None) -> Column:
